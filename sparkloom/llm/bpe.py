@@ -17,8 +17,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 #: Distinct pieces contracted together, occurrences held before that, and pieces remembered.
-CHUNK, HELD, KNOWN = 200_000, 6_000_000, 1_000_000
+CHUNK, HELD, KNOWN = 100_000, 4_000_000, 300_000
 #: Pieces longer than this many bytes are contracted with a heap: a recursion would need a step for every merge.
 LONG = 200
 
@@ -98,7 +100,7 @@ class Contractor:
         for token, rank in self.ranks.items():
             if len(token) == 1:
                 self.start[token[0]] = rank
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = pa.table({"pair": (np.array(left, np.int64) << 20) | np.array(right, np.int64), "merged": np.array(merged, np.int32)})
         byte = pa.table({"id": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merge", pairs), ("bytes", byte)):
@@ -129,7 +131,7 @@ class Contractor:
             place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
             rows = pa.table({"w": np.repeat(np.array(open_, np.int32), length), "p": place.astype(np.int32), "id": flat})
             self.db.register("piece", rows)
-            done = self.db.execute(_STEP).to_arrow_table()
+            done = self.db.sql(_STEP).to_arrow_table()
             self.db.unregister("piece")
             for k, i, n, h in zip(*(done.column(c).to_pylist() for c in ("w", "ids", "n", "hex"))):
                 ids[k], counts[k], back[k] = i, n, bytes.fromhex(h)
@@ -205,6 +207,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     columns are ignored.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encoder(path, pattern, keep_ids), schema)
 

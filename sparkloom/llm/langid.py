@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 #: Families of closely related languages; a language not named is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -126,6 +128,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     learned.  Ids may be null or repeat; other columns are not looked at.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator) -> Iterator:
         import re
 

@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` texts to a Python worker at once, for the session: texts can be long."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Tables of one operator run, under one folder of the shared directory."""
 
@@ -38,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
+        bound_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""

@@ -98,7 +98,7 @@ def _short(words: np.ndarray) -> int:
     return value
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20):
+def pieces(texts: list[bytes], limit: int = 1 << 20):
     """Consecutive index ranges of ``texts`` of about ``limit`` bytes each (one text at least)."""
     start = size = 0
     for k, t in enumerate(texts):

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 SAMPLE, FEATURES, FOLDS = 6000, 400, 5
 #: Lengths of word beginnings used as features, besides whole words.
 STEMS = (4, 5, 6, 7)
@@ -127,6 +129,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
     text without any known word; without a chain all are 0.  Ids may be null or
     repeat, and other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     names = chain.categories if chain else ["toxic"]
 
     def run(batches: Iterator) -> Iterator:
@@ -148,6 +151,7 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, category: str = "toxic", th
 
     if chain is None:
         return docs
+    bound_batches(docs.sparkSession)
     at = chain.categories.index(category)
 
     @pandas_udf("double")
