@@ -13,8 +13,8 @@ two levels of equal size are merged into one of the next size.
 
 Only windows around repeated suffixes can be repeated.  A suffix whose whole
 run of windows occurs elsewhere is settled by one fingerprint of that run.  For
-the others, which stand at the ends of matches, every window of the run is
-fingerprinted and counted.  All counts are pre-aggregated, so no passage, however
+the others, which stand at the ends of matches, windows are dealt into bins; bins
+whose shared bytes occur elsewhere have each window fingerprinted and counted.  All counts are pre-aggregated, so no passage, however
 common, meets in one task.
 """
 
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-GRAM, SEGMENT = 48, 1 << 20
-_RAW = "doc_id long, tk long, n_bytes long, sha string, suffixes array<struct<k1:long,k2:long,s:int,e:int>>"
+GRAM, STEP, SEGMENT = 64, 16, 1 << 20
+_RAW = "doc_id long, tk long, n_bytes long, sha string, suffixes array<struct<k1:long,k2:long,p:int,s:int,e:int>>"
 
 
 def _sampler(width: int):
     def sample(np, buf, bounds):
-        """Sampled suffixes of the texts in ``buf``: k1, k2, first and last window."""
+        """Sampled suffixes of the texts in ``buf``: k1, k2, place, first and last window."""
         from .texthash import RollingHash, mix
 
         span = width - GRAM + 1
@@ -64,7 +64,7 @@ def _sampler(width: int):
         hi = at[np.concatenate([cut - 1, [len(at) - 1]])]
         a = anchor[np.concatenate([[0], cut])]
         shape = mix(((a - lo) * 65536 + (hi - lo)).astype(np.uint64))
-        return gram[a], mix(rolling.slices(lo, hi + width) ^ shape), lo, hi
+        return gram[a], mix(rolling.slices(lo, hi + width) ^ shape), a, lo, hi
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -86,13 +86,13 @@ def _sampler(width: int):
                 got = sample(np, np.frombuffer(b"".join(p[2] for p in parts[x:y]), np.uint8), bounds)
                 if got is None:
                     continue
-                k1, k2, lo, hi = got
+                k1, k2, at, lo, hi = got
                 part = np.searchsorted(bounds, lo, "right") - 1
                 shift = np.array([p[1] for p in parts[x:y]])[part] - bounds[part]
                 np.add.at(count, np.array([p[0] for p in parts[x:y]])[part], 1)
-                found.append((k1.view(np.int64), k2.view(np.int64), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32)))
-            columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64 if c < 2 else np.int32) for c in range(4)]
-            struct = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "s", "e"])
+                found.append((k1.view(np.int64), k2.view(np.int64), (at + shift).astype(np.int32), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32)))
+            columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64 if c < 2 else np.int32) for c in range(5)]
+            struct = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "p", "s", "e"])
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -108,8 +108,20 @@ def _sampler(width: int):
     return run
 
 
-def _windows(width: int):
-    """Fingerprints of every window of the given runs of a text."""
+def _expand(np, first, last):
+    """All integers of the ranges ``first`` to ``last``, and the number of the range of each."""
+    length = last - first + 1
+    number = np.repeat(np.arange(len(first)), length)
+    return np.arange(len(number)) - np.repeat(np.cumsum(length) - length, length) + first[number], number
+
+
+def _probe(width: int, cores: bool):
+    """Fingerprints of parts of texts around the given suffixes.
+
+    Windows are dealt into bins by how far before the suffix they start, ``STEP``
+    to a bin.  With ``cores``, one row for each bin: the bytes that all its
+    windows share.  Without, one row for each window of the given bins.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -117,22 +129,34 @@ def _windows(width: int):
 
         from .texthash import RollingHash, as_bytes, mix
 
+        names = ["w", "tk", "n_bytes", "p", "s", "e", "j"] if cores else ["w", "tk", "n_bytes", "p", "i"]
+        out: list = []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(len(names))], names=names)
+
+        rows = 0
         for batch in batches:
             key, size, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
-            out: list = []
-            rows = 0
             for k, (t, runs) in enumerate(zip(texts, batch.column(3).to_pylist())):
                 rolling = RollingHash(np.frombuffer(t, np.uint8))
-                first = np.array([r["s"] for r in runs], np.int64)
-                length = np.array([r["e"] for r in runs], np.int64) - first + 1
-                i = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                out.append((mix(rolling.slices(i, i + width)).view(np.int64), np.full(len(i), key[k]), np.full(len(i), size[k]), np.repeat(first, length), i))
-                rows += len(i)
-                if rows >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(5)], names=["w", "tk", "n_bytes", "s", "i"])
+                p, s, e = (np.array([r[c] for r in runs], np.int64) for c in "pse")
+                if cores:
+                    j, of = _expand(np, (p - e) // STEP, (p - s) // STEP)
+                    w = mix(rolling.slices(p[of] - STEP * j, p[of] - STEP * (j + 1) + 1 + width) ^ mix(j.astype(np.uint64)))
+                    more = (p[of], s[of], e[of], j)
+                else:
+                    j = np.array([r["j"] for r in runs], np.int64)
+                    i, of = _expand(np, np.maximum(s, p - STEP * (j + 1) + 1), np.minimum(e, p - STEP * j))
+                    w = mix(rolling.slices(i, i + width))
+                    more = (p[of], i)
+                out.append((w.view(np.int64), np.full(len(w), key[k]), np.full(len(w), size[k]), *more))
+                rows += len(w)
+                if rows >= 100_000:
+                    yield batch_of()
                     out, rows = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(5)], names=["w", "tk", "n_bytes", "s", "i"])
+        if out:
+            yield batch_of()
 
     return run
 
@@ -240,23 +264,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = scratch.save(entry.join(family.matches(), "k1", "left_semi"), "seen")
 
     # A run that occurs again as a whole is settled; the rest of its suffix's runs are looked into.
-    runs = seen.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n_bytes", "s", "e")).alias("r"))
+    runs = seen.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n_bytes", "p", "s", "e")).alias("r"))
     runs = scratch.save(runs, "runs")
     mixed = runs.groupBy("k1").agg(F.count("*").alias("d")).where("d > 1").select("k1")
-    single = runs.join(mixed, "k1", "left_semi").select("r.*")
     settled = seen.join(runs.where("c > 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
     settled = settled.select("tk", "n_bytes", F.col("s").alias("a"), (F.col("e") + min_bytes).alias("b")).distinct()
-    open_runs = scratch.save(single.distinct().groupBy("tk", "n_bytes").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "open")
-    needed = settled.select("tk", "n_bytes").unionByName(open_runs.select("tk", "n_bytes")).distinct()
+    settled = scratch.save(settled, "settled")
+    scratch.drop("seen")
+    text_id = ["tk", "n_bytes"]
+    open_runs = scratch.save(runs.join(mixed, "k1", "left_semi").select("r.*").distinct().groupBy(*text_id).agg(F.collect_list(F.struct("p", "s", "e")).alias("runs")), "open")
+    needed = settled.select(*text_id).unionByName(open_runs.select(*text_id)).distinct()
     sized = texts.select("tk", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    some = scratch.save(sized.join(needed, ["tk", "n_bytes"], "left_semi").groupBy("tk", "n_bytes").agg(F.first("text").alias("text")), "texts")
-
-    windows = some.join(open_runs, ["tk", "n_bytes"]).select("tk", "n_bytes", "text", "runs")
-    windows = scratch.save(windows.mapInArrow(_windows(min_bytes), "w long, tk long, n_bytes long, s long, i long"), "windows")
-    again = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    ends = windows.join(again, "w", "left_semi").groupBy("tk", "n_bytes", "s").agg(F.min("i").cast("int").alias("a"), (F.max("i") + min_bytes).cast("int").alias("b"))
-    spans = settled.unionByName(ends.select("tk", "n_bytes", "a", "b")).groupBy("tk", "n_bytes").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cutout = some.join(spans, ["tk", "n_bytes"]).select("tk", "n_bytes", "text", "spans")
+    some = scratch.save(sized.join(needed, text_id, "left_semi").groupBy(*text_id).agg(F.first("text").alias("text")), "texts")
+
+    # Bins whose shared bytes occur nowhere else hold no repeated window.
+    def again(rows: DataFrame, name: str) -> DataFrame:
+        rows = scratch.save(rows, name)
+        return rows.join(rows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "w", "left_semi")
+
+    probes = some.join(open_runs, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, True), "w long, tk long, n_bytes long, p long, s long, e long, j long")
+    bins = again(probes, "cores").groupBy(*text_id).agg(F.collect_list(F.struct("p", "s", "e", "j")).alias("runs"))
+    windows = some.join(bins, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, False), "w long, tk long, n_bytes long, p long, i long")
+    ends = again(windows, "windows").groupBy(*text_id, "p").agg(F.min("i").cast("int").alias("a"), (F.max("i") + min_bytes).cast("int").alias("b"))
+    spans = settled.unionByName(ends.select(*text_id, "a", "b")).groupBy(*text_id).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    cutout = some.join(spans, text_id).select(*text_id, "text", "spans")
     schema = "tk long, n_bytes long, n_removed long, n_spans long, kept_sha string, spans array<struct<a:int,b:int>>"
     return raw, scratch.save(cutout.mapInArrow(_digest, schema), "digest"), whole
 
