@@ -24,22 +24,27 @@ CHUNK, HELD, KNOWN = 100_000, 4_000_000, 300_000
 #: Pieces longer than this many bytes are contracted with a heap: a recursion would need a step for every merge.
 LONG = 200
 
+#: A row: a piece's number, a token's place and id, and whether the piece has no pair left.
+#: ``best`` packs the lowest rank of a piece and, below 12 bits, its leftmost place.
 _STEP = """
-with recursive step(w, p, id, n) as (
-  select w, p, id, 0 from piece
+with recursive step(w, p, id, done) as (
+  select w, p, id, false from piece
   union all
   select * from (
-    with pair as (select *, lead(id) over (partition by w order by p) as nid from step),
-    ranked as (select pair.*, m.merged from pair left join merge m on m.pair = (pair.id::bigint << 20) | pair.nid),
-    low as (select *, min(merged) over (partition by w) as least from ranked),
-    pick as (select *, min(case when merged = least then p end) over (partition by w) as spot from low where least is not null),
-    gone as (select *, lag(p) over (partition by w order by p) as prev from pick)
-    select w, p, case when p = spot then least else id end, n + 1 from gone where prev is distinct from spot
+    with pair as materialized (
+      select w, p, id, lead(id) over run as nid, lag(p) over run as prev
+      from step where not done window run as (partition by w order by p)
+    ), ranked as materialized (
+      select w, min((m.merged::bigint << 12) | pair.p) as best
+      from pair join merge m on m.pair = (pair.id::bigint << 20) | pair.nid group by w
+    )
+    select pair.w, pair.p, case when pair.p = (best & 4095) then (best >> 12)::int else id end, best is null
+    from pair left join ranked on pair.w = ranked.w
+    where best is null or prev is distinct from (best & 4095)
   )
-), last as (select w, max(n) as n from step group by w)
-select s.w as w, string_agg(s.id::varchar, ',' order by s.p) as ids, count(*) as n, string_agg(b.hex, '' order by s.p) as hex
-from step s join last l on s.w = l.w and s.n = l.n join bytes b on b.id = s.id
-group by s.w order by s.w
+)
+select w, string_agg(step.id::varchar, ',' order by p) as ids, count(*) as n, string_agg(hex, '' order by p) as hex
+from step join bytes on bytes.id = step.id where done group by w
 """
 
 
