@@ -12,7 +12,7 @@ of a text doesn't drown the few words that matter.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from .scratch import bound_batches
 
-SAMPLE, FEATURES, FOLDS = 6000, 400, 5
+SAMPLE, FEATURES, FOLDS, BUCKETS = 5000, 400, 5, 1 << 22
 #: Lengths of word beginnings used as features, besides whole words.
 STEMS = (4, 5, 6, 7)
 _WORD = r"[^\W\d_]+"
 
 
-def word_features(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in STEMS if len(word) >= n)]
+def word_features(word: str) -> list[int]:
+    """Buckets of a word and its beginnings."""
+    raw = [b"=" + word.encode()] + [word[:n].encode() for n in STEMS if len(word) >= n]
+    return [zlib.crc32(r) % BUCKETS for r in raw]
 
 
 class Chain:
@@ -35,32 +37,41 @@ class Chain:
 
     def __init__(self, texts: list[str], labels: dict[str, list[int]], folds: int = FOLDS, features: int = FEATURES):
         import re
-        import zlib
 
         import numpy as np
 
         from .linear import logistic, sigmoid
 
-        find = re.compile(_WORD).findall
-        held = [{f for w in set(find(t.lower())) for f in word_features(w)} for t in texts]
+        find, of = re.compile(_WORD).findall, {}
+        held = []
+        for t in texts:
+            words = set(find(t.lower()))
+            of.update((w, word_features(w)) for w in words - of.keys())
+            held.append(np.unique(np.array([f for w in words for f in of[w]], np.int32)))
+            if len(of) > 200_000:
+                of.clear()
+        every = np.zeros(BUCKETS, np.int32)
+        for h in held:
+            every[h] += 1
         self.categories = list(labels)
-        self.index: dict[str, int] = {}
-        every = Counter(f for h in held for f in h)
-        every = {f: c for f, c in every.items() if c >= 5}
+        self.index: dict[int, int] = {}
+        names = np.flatnonzero(every >= 5)
         for name in self.categories:
             y = np.array(labels[name])
-            inside = Counter(f for h, v in zip(held, y) if v for f in h if f in every)
+            inside = np.zeros(BUCKETS, np.int32)
+            for h, v in zip(held, y):
+                if v:
+                    inside[h] += 1
             p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-            names = list(every)
-            a = np.array([inside.get(f, 0) for f in names])
-            b = np.array([every[f] for f in names]) - a
+            a, b = inside[names], every[names] - inside[names]
             odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
             z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             for k in np.argsort(-z, kind="stable")[:features].tolist() + np.argsort(z, kind="stable")[: features // 4].tolist():
-                self.index.setdefault(names[k], len(self.index))
-        x = np.zeros((len(texts), len(self.index)))
+                self.index.setdefault(int(names[k]), len(self.index))
+        x = np.zeros((len(texts), len(self.index)), np.float32)
         for k, h in enumerate(held):
-            x[k, [self.index[f] for f in h if f in self.index]] = 1
+            x[k, [self.index[f] for f in h.tolist() if f in self.index]] = 1
+        del held, every
         fold = np.array([zlib.crc32(t.encode()) % folds for t in texts])  # copies of a text share a fold
         self.models = []
         chain = x
@@ -72,7 +83,7 @@ class Chain:
                     w, b = logistic(chain[fold != f], y[fold != f], l2=1e-4, rounds=400)
                     out[fold == f] = sigmoid(chain[fold == f] @ w + b)
             self.models.append(logistic(chain, y, l2=1e-4, rounds=400))
-            chain = np.hstack([chain, out[:, None]])
+            chain = np.hstack([chain, out[:, None].astype(np.float32)])
         self.out_of_fold = chain[:, x.shape[1] :]
         self._known: dict[str, tuple[int, ...]] = {}
 
