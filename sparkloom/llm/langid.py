@@ -22,7 +22,7 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-DIMENSIONS, SAMPLE = 8192, 6000
+DIMENSIONS, SAMPLE = 4096, 3000
 
 
 def _family(lang: str) -> str:
@@ -39,7 +39,7 @@ def _grams(np, buf):
     h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(19)).astype(np.int64)
+    return (h >> np.uint32(20)).astype(np.int64)
 
 
 def featurize(texts: list[bytes]):
@@ -61,7 +61,7 @@ class Model:
 
         from .linear import svm
 
-        x, y = featurize(texts).astype(np.float64), np.array(langs)
+        x, y = featurize(texts), np.array(langs)
         groups = np.array([_family(v) for v in langs])
         self.families = {f: sorted(set(y[groups == f].tolist())) for f in sorted(set(groups.tolist()))}
         self.machines: list[tuple[str, str, str]] = []  # (level, for, against)
