@@ -22,7 +22,7 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-DIMENSIONS, SAMPLE = 4096, 3000
+DIMENSIONS, SAMPLE, READ = 4096, 2000, 8000
 
 
 def _family(lang: str) -> str:
@@ -104,13 +104,13 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` labelled texts of up to 20,000 characters each, by smallest text hash.
+    """A model of at most ``sample`` labelled texts of up to ``READ`` characters each, by smallest text hash.
 
     The bound is on what is fitted, not on what is judged.  Null labels and null
     texts are left out; None if no label is left.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.substring(F.col(text_col), 1, 20000).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, lang_col).alias("h"))
+    rows = rows.select(F.substring(F.col(text_col), 1, READ).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, lang_col).alias("h"))
     # Thin out by hash first, so that only about the sample is sorted.
     total = rows.count()
     if total > 2 * sample:
@@ -118,7 +118,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     picked = rows.orderBy("h").limit(sample).collect()
     if not picked:
         return None
-    return Model([r["t"].encode() for r in picked], [r["l"] for r in picked])
+    texts, langs = [r["t"].encode() for r in picked], [r["l"] for r in picked]
+    del picked
+    return Model(texts, langs)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,19 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
-def sigmoid(x):
+def sigmoid(x):  # stays in the type of ``x``: matrices of samples are 32-bit
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
 def _descend(x: np.ndarray, grad, rounds: int):
     """Accelerated gradient descent for ``grad(weights, bias) -> (gw, gb)`` with a fixed step."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], x.dtype), 0.0
     vw, vb = w.copy(), b
-    step = 1.0 / max(1e-9, _largest(x))
+    step = x.dtype.type(1.0 / max(1e-9, _largest(x)))
     for k in range(rounds):
         gw, gb = grad(vw, vb)
         nw, nb = vw - step * gw, vb - step * gb
-        m = k / (k + 3.0)
+        m = x.dtype.type(k / (k + 3.0))
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
     return w, b
@@ -25,7 +25,7 @@ def _descend(x: np.ndarray, grad, rounds: int):
 
 def _largest(x: np.ndarray) -> float:
     """An estimate of the largest eigenvalue of the mean of outer products, with the bias."""
-    v = np.full(x.shape[1], x.shape[1] ** -0.5)
+    v = np.full(x.shape[1], x.shape[1] ** -0.5, x.dtype)
     u = 1.0
     value = 1.0
     for _ in range(20):
@@ -41,8 +41,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300,
     c = np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) if balanced else np.ones(len(y))
 
     def grad(w, b):
-        r = c * (sigmoid(x @ w + b) - y) / len(y)
-        return x.T @ r + l2 * w, float(r.sum())
+        r = (c * (sigmoid(x @ w + b) - y) / len(y)).astype(x.dtype)
+        return x.T @ r + x.dtype.type(l2) * w, float(r.sum())
 
     return _descend(x, grad, rounds)
 
@@ -52,7 +52,7 @@ def svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300):
 
     def grad(w, b):
         short = np.maximum(0.0, 1.0 - y * (x @ w + b))
-        r = -y * short / len(y)
-        return x.T @ r + l2 * w, float(r.sum())
+        r = (-y * short / len(y)).astype(x.dtype)
+        return x.T @ r + x.dtype.type(l2) * w, float(r.sum())
 
     return _descend(x, grad, rounds)
