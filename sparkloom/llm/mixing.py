@@ -62,7 +62,7 @@ def _with_source(rows: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
     if not many:  # checked: at most SMALL rows
         return rows.join(F.broadcast(sources), same).drop("_source")
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
-    copies = sources.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = sources.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", salt).join(copies, same & (F.col("_salt") == F.col("_copy"))).drop("_source", "_salt", "_copy")
 
 

@@ -84,5 +84,23 @@ def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), k=20, step=20)
 
 
+def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media: every row of ``embeddings`` is played as a recording."""
+    from .audio import align_recordings, fingerprint, melody
+    from .scratch import bound_batches
+
+    bound_batches(spark, 256)
+    prints = fingerprint(melody(_table(spark, sf_dir, "embeddings")), "id", "media")
+    return align_recordings(prints, step=20).withColumnRenamed("id", "vec_id")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_store import token_round_trip
+
+    return token_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
