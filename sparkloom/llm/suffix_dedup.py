@@ -120,7 +120,8 @@ def _probe(width: int, cores: bool):
 
     Windows are dealt into bins by how far before the suffix they start, ``STEP``
     to a bin.  With ``cores``, one row for each bin: the bytes that all its
-    windows share.  Without, one row for each window of the given bins.
+    windows share, and the bytes that any of them covers.  Without, one row for
+    each window of the given bins.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -129,7 +130,7 @@ def _probe(width: int, cores: bool):
 
         from .texthash import RollingHash, as_bytes, mix
 
-        names = ["w", "tk", "n_bytes", "p", "s", "e", "j"] if cores else ["w", "tk", "n_bytes", "p", "i"]
+        names = ["w", "h", "tk", "n_bytes", "p", "lo", "hi"] if cores else ["w", "tk", "n_bytes", "p", "i"]
         out: list = []
 
         def batch_of():
@@ -140,17 +141,20 @@ def _probe(width: int, cores: bool):
             key, size, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
             for k, (t, runs) in enumerate(zip(texts, batch.column(3).to_pylist())):
                 rolling = RollingHash(np.frombuffer(t, np.uint8))
-                p, s, e = (np.array([r[c] for r in runs], np.int64) for c in "pse")
                 if cores:
+                    p, s, e = (np.array([r[c] for r in runs], np.int64) for c in "pse")
                     j, of = _expand(np, (p - e) // STEP, (p - s) // STEP)
                     w = mix(rolling.slices(p[of] - STEP * j, p[of] - STEP * (j + 1) + 1 + width) ^ mix(j.astype(np.uint64)))
-                    more = (p[of], s[of], e[of], j)
+                    lo, hi = np.maximum(s[of], p[of] - STEP * (j + 1) + 1), np.minimum(e[of], p[of] - STEP * j)
+                    shape = mix(((p[of] - lo) * 65536 + (hi - lo)).astype(np.uint64))
+                    first = (w.view(np.int64), mix(rolling.slices(lo, hi + width) ^ shape).view(np.int64))
+                    more = (p[of], lo, hi)
                 else:
-                    j = np.array([r["j"] for r in runs], np.int64)
-                    i, of = _expand(np, np.maximum(s, p - STEP * (j + 1) + 1), np.minimum(e, p - STEP * j))
+                    p, lo, hi = (np.array([r[c] for r in runs], np.int64) for c in ("p", "lo", "hi"))
+                    i, of = _expand(np, lo, hi)
                     w = mix(rolling.slices(i, i + width))
-                    more = (p[of], i)
-                out.append((w.view(np.int64), np.full(len(w), key[k]), np.full(len(w), size[k]), *more))
+                    first, more = (w.view(np.int64),), (p[of], i)
+                out.append((*first, np.full(len(w), key[k]), np.full(len(w), size[k]), *more))
                 rows += len(w)
                 if rows >= 100_000:
                     yield batch_of()
@@ -205,11 +209,11 @@ class SuffixIndexFamily:
     """Sorted arrays of suffix fingerprints, in levels that grow geometrically."""
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.repeated, self.made = scratch, [], [], 0
+        self.scratch, self.levels, self.repeated, self.tables = scratch, [], [], []
 
     def _array(self, keys: DataFrame, label: str) -> DataFrame:
-        self.made += 1
-        return self.scratch.save(keys, f"{label}-{self.made}")
+        self.tables.append(f"{label}-{len(self.tables)}")
+        return self.scratch.save(keys, self.tables[-1])
 
     def insert(self, suffixes: DataFrame) -> None:
         """Add a batch (one column, ``k1``); levels hold ``(size, array)``, largest first."""
@@ -242,8 +246,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, batches: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every byte covered by a string of ``min_bytes`` that starts at two places.
 
-    Returns three tables: one row per input row (``doc_id, tk, n_bytes, sha,
-    suffixes``), one per distinct text with repeats inside it or shared with
+    Returns three tables: one row per input row (``doc_id, tk, n_bytes,
+    sha``), one per distinct text with repeats inside it or shared with
     another text (``tk, n_bytes, n_removed, n_spans, kept_sha, spans``), and the
     texts that occur in several rows and have ``min_bytes`` at least, which go as
     a whole (``tk, n_bytes``).  ``tk`` is a 64-bit hash of the text; with
@@ -263,33 +267,48 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entry = raw.select("tk", "n_bytes", F.explode("suffixes").alias("x")).select("tk", "n_bytes", "x.*")
     seen = scratch.save(entry.join(family.matches(), "k1", "left_semi"), "seen")
 
+    # The fingerprints are used up: only what was seen more than once goes on.
+    rows = scratch.save(raw.drop("suffixes"), "rows")
+    for used in ("raw", *family.tables):
+        scratch.drop(used)
+    text_id = ["tk", "n_bytes"]
+
+    def settle(found: DataFrame, key: str, whole_key: str, place: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose whole bytes occur again, and one row for each kind of bytes where a key has several."""
+        kinds = found.groupBy(key, whole_key).agg(F.count("*").alias("c"), F.min(F.struct(*text_id, *place)).alias("r"))
+        kinds = scratch.save(kinds, f"{label}-kinds")
+        several = kinds.groupBy(key).agg(F.count("*").alias("d")).where("d > 1").select(key)
+        again = found.join(kinds.where("c > 1").select(key, whole_key), [key, whole_key], "left_semi").select(*text_id, *place).distinct()
+        unclear = kinds.join(several, key, "left_semi").select("r.*").distinct()
+        return scratch.save(again, f"{label}-settled"), scratch.save(unclear, f"{label}-open")
+
+    def spans_of(found: DataFrame, first: str, last: str) -> DataFrame:
+        return found.select(*text_id, F.col(first).cast("int").alias("a"), (F.col(last) + min_bytes).cast("int").alias("b"))
+
     # A run that occurs again as a whole is settled; the rest of its suffix's runs are looked into.
-    runs = seen.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n_bytes", "p", "s", "e")).alias("r"))
-    runs = scratch.save(runs, "runs")
-    mixed = runs.groupBy("k1").agg(F.count("*").alias("d")).where("d > 1").select("k1")
-    settled = seen.join(runs.where("c > 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
-    settled = settled.select("tk", "n_bytes", F.col("s").alias("a"), (F.col("e") + min_bytes).alias("b")).distinct()
-    settled = scratch.save(settled, "settled")
+    settled, unclear = settle(seen, "k1", "k2", ["p", "s", "e"], "runs")
     scratch.drop("seen")
-    text_id = ["tk", "n_bytes"]
-    open_runs = scratch.save(runs.join(mixed, "k1", "left_semi").select("r.*").distinct().groupBy(*text_id).agg(F.collect_list(F.struct("p", "s", "e")).alias("runs")), "open")
-    needed = settled.select(*text_id).unionByName(open_runs.select(*text_id)).distinct()
+    needed = settled.select(*text_id).unionByName(unclear.select(*text_id)).distinct()
     sized = texts.select("tk", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     some = scratch.save(sized.join(needed, text_id, "left_semi").groupBy(*text_id).agg(F.first("text").alias("text")), "texts")
 
-    # Bins whose shared bytes occur nowhere else hold no repeated window.
-    def again(rows: DataFrame, name: str) -> DataFrame:
-        rows = scratch.save(rows, name)
-        return rows.join(rows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "w", "left_semi")
-
-    probes = some.join(open_runs, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, True), "w long, tk long, n_bytes long, p long, s long, e long, j long")
-    bins = again(probes, "cores").groupBy(*text_id).agg(F.collect_list(F.struct("p", "s", "e", "j")).alias("runs"))
-    windows = some.join(bins, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, False), "w long, tk long, n_bytes long, p long, i long")
-    ends = again(windows, "windows").groupBy(*text_id, "p").agg(F.min("i").cast("int").alias("a"), (F.max("i") + min_bytes).cast("int").alias("b"))
+    # Likewise for bins: one whose shared bytes occur nowhere else holds no repeated
+    # window, and one whose covered bytes occur again holds only such.
+    def probe(of: DataFrame, place: list[str], cores: bool, schema: str, label: str) -> DataFrame:
+        runs = of.groupBy(*text_id).agg(F.collect_list(F.struct(*place)).alias("runs"))
+        return scratch.save(some.join(runs, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, cores), schema), label)
+
+    bins = probe(unclear, ["p", "s", "e"], True, "w long, h long, tk long, n_bytes long, p long, lo long, hi long", "bins")
+    settled_bins, unclear = settle(bins, "w", "h", ["p", "lo", "hi"], "bins")
+    windows = probe(unclear, ["p", "lo", "hi"], False, "w long, tk long, n_bytes long, p long, i long", "windows")
+    again = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+    ends = windows.join(again, "w", "left_semi").groupBy(*text_id, "p").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    settled = spans_of(settled, "s", "e").unionByName(spans_of(settled_bins, "lo", "hi"))
+    ends = spans_of(ends, "lo", "hi")
     spans = settled.unionByName(ends.select(*text_id, "a", "b")).groupBy(*text_id).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cutout = some.join(spans, text_id).select(*text_id, "text", "spans")
     schema = "tk long, n_bytes long, n_removed long, n_spans long, kept_sha string, spans array<struct<a:int,b:int>>"
-    return raw, scratch.save(cutout.mapInArrow(_digest, schema), "digest"), whole
+    return rows, scratch.save(cutout.mapInArrow(_digest, schema), "digest"), whole
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, batches: int = 4) -> DataFrame:
@@ -300,7 +319,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     removed from both.  Other columns are ignored.
     """
     raw, digest, whole = repeated_spans(docs, id_col, text_col, min_bytes, batches)
-    out = raw.drop("suffixes").join(digest.drop("spans"), ["tk", "n_bytes"], "left").join(whole.withColumn("whole", F.lit(True)), ["tk", "n_bytes"], "left")
+    out = raw.join(digest.drop("spans"), ["tk", "n_bytes"], "left").join(whole.withColumn("whole", F.lit(True)), ["tk", "n_bytes"], "left")
     gone = F.coalesce("whole", F.lit(False))
     return out.select(
         "doc_id",
