@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .scratch import bound_batches
 
 #: Distinct pieces contracted together, occurrences held before that, and pieces remembered.
-CHUNK, HELD, KNOWN = 100_000, 4_000_000, 300_000
+CHUNK, HELD, KNOWN = 120_000, 4_000_000, 700_000
 #: Pieces longer than this many bytes are contracted with a heap: a recursion would need a step for every merge.
 LONG = 200
 
