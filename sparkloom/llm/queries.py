@@ -104,3 +104,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
