@@ -5,9 +5,9 @@ also sees the probabilities of the categories before it.  While training, those
 are out-of-fold predictions, so a later model learns how far to trust earlier
 ones on texts they were not fitted to.
 
-Features say which words and word beginnings a text holds.  Only those whose
-frequency differs most between a category and the rest are kept, so the length
-of a text doesn't drown the few words that matter.
+Features say which words and word beginnings a text holds.  Only those that are
+surely more frequent in a category than elsewhere are kept, so the length of a
+text doesn't drown the few words that matter.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from .scratch import bound_batches
 
-SAMPLE, FEATURES, FOLDS, BUCKETS = 5000, 400, 5, 1 << 22
+SAMPLE, FEATURES, FOLDS, BUCKETS = 6000, 300, 5, 1 << 22
+#: Strength of the penalty and steps of every fit.
+L2, ROUNDS = 1e-4, 400
+#: Log odds that a feature must reach with confidence.
+MARGIN = 1.0
 #: Lengths of word beginnings used as features, besides whole words.
 STEMS = (4, 5, 6, 7)
 _WORD = r"[^\W\d_]+"
@@ -46,7 +50,7 @@ class Chain:
         held = []
         for t in texts:
             words = set(find(t.lower()))
-            of.update((w, word_features(w)) for w in words - of.keys())
+            of.update([(w, word_features(w)) for w in words if w not in of])
             held.append(np.unique(np.array([f for w in words for f in of[w]], np.int32)))
             if len(of) > 200_000:
                 of.clear()
@@ -65,9 +69,10 @@ class Chain:
             p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
             a, b = inside[names], every[names] - inside[names]
             odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            for k in np.argsort(-z, kind="stable")[:features].tolist() + np.argsort(z, kind="stable")[: features // 4].tolist():
-                self.index.setdefault(int(names[k]), len(self.index))
+            sure = odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what the odds are at least
+            for k in np.argsort(-sure, kind="stable")[:features].tolist():
+                if sure[k] > MARGIN:
+                    self.index.setdefault(int(names[k]), len(self.index))
         x = np.zeros((len(texts), len(self.index)), np.float32)
         for k, h in enumerate(held):
             x[k, [self.index[f] for f in h.tolist() if f in self.index]] = 1
@@ -80,9 +85,9 @@ class Chain:
             out = np.zeros(len(y))
             for f in range(folds):
                 if (fold == f).any() and (fold != f).any():
-                    w, b = logistic(chain[fold != f], y[fold != f], l2=1e-4, rounds=400)
+                    w, b = logistic(chain[fold != f], y[fold != f], l2=L2, rounds=ROUNDS, balanced=False)
                     out[fold == f] = sigmoid(chain[fold == f] @ w + b)
-            self.models.append(logistic(chain, y, l2=1e-4, rounds=400))
+            self.models.append(logistic(chain, y, l2=L2, rounds=ROUNDS, balanced=False))
             chain = np.hstack([chain, out[:, None].astype(np.float32)])
         self.out_of_fold = chain[:, x.shape[1] :]
         self._known: dict[str, tuple[int, ...]] = {}
@@ -101,9 +106,9 @@ class Chain:
         for k, t in enumerate(texts):
             held: set[int] = set()
             words = set(find(t.lower()))
-            for w in words - known.keys():
-                known[w] = tuple(index[f] for f in word_features(w) if f in index)
             for w in words:
+                if w not in known:
+                    known[w] = tuple(index[f] for f in word_features(w) if f in index)
                 held.update(known[w])
             score[k] = base[:, list(held)].sum(axis=1)
             if len(known) > 500_000:
