@@ -265,11 +265,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for b in range(batches):
         family.insert(raw.where(F.pmod("tk", F.lit(batches)) == b).select(F.explode("suffixes.k1").alias("k1")))
     entry = raw.select("tk", "n_bytes", F.explode("suffixes").alias("x")).select("tk", "n_bytes", "x.*")
-    seen = scratch.save(entry.join(family.matches(), "k1", "left_semi"), "seen")
+    # Saved first: a join of two plain shuffles can split a common passage over tasks.
+    matches = scratch.save(family.matches(), "matches")
+    seen = scratch.save(entry.join(matches, "k1", "left_semi"), "seen")
 
     # The fingerprints are used up: only what was seen more than once goes on.
     rows = scratch.save(raw.drop("suffixes"), "rows")
-    for used in ("raw", *family.tables):
+    for used in ("raw", "matches", *family.tables):
         scratch.drop(used)
     text_id = ["tk", "n_bytes"]
 
