@@ -22,12 +22,12 @@ from .scratch import bound_batches
 
 SAMPLE, FEATURES, FOLDS, BUCKETS = 6000, 300, 5, 1 << 22
 #: Strength of the penalty and steps of every fit.
-L2, ROUNDS = 1e-4, 400
+L2, ROUNDS = 1e-3, 400
 #: Log odds that a feature must reach with confidence.
-MARGIN = 1.0
+MARGIN = 1.5
 #: Lengths of word beginnings used as features, besides whole words.
 STEMS = (4, 5, 6, 7)
-_WORD = r"[^\W\d_]+"
+_WORD = r"[^\W\d_]+|[^\w\s]{2,}|[|]"
 
 
 def word_features(word: str) -> list[int]:
@@ -36,6 +36,18 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(r) % BUCKETS for r in raw]
 
 
+def text_features(found) -> "np.ndarray":
+    """Buckets of a text from those of its distinct words: held at all, by two words, by three."""
+    import numpy as np
+
+    base, count = np.unique(np.asarray(found, np.int64), return_counts=True)
+    return np.concatenate([base, _nth(base[count > 1], 2), _nth(base[count > 2], 3)])
+
+
+def _nth(base, n: int):
+    return (base * 2654435761 + n * 40503) % BUCKETS
+
+
 class Chain:
     """One linear model for each category, in order."""
 
@@ -51,7 +63,7 @@ class Chain:
         for t in texts:
             words = set(find(t.lower()))
             of.update([(w, word_features(w)) for w in words if w not in of])
-            held.append(np.unique(np.array([f for w in words for f in of[w]], np.int32)))
+            held.append(np.unique(text_features([f for w in words for f in of[w]])).astype(np.int32))
             if len(of) > 200_000:
                 of.clear()
         every = np.zeros(BUCKETS, np.int32)
@@ -91,6 +103,7 @@ class Chain:
             chain = np.hstack([chain, out[:, None].astype(np.float32)])
         self.out_of_fold = chain[:, x.shape[1] :]
         self._known: dict[str, tuple[int, ...]] = {}
+        self._useful = None
 
     def predict(self, texts: list[str]):
         """Probabilities, a row for each text and a column for each category."""
@@ -101,16 +114,20 @@ class Chain:
         from .linear import sigmoid
 
         find, known, index = re.compile(_WORD).findall, self._known, self.index
+        if self._useful is None:  # buckets that say something, alone or together
+            useful, every = np.zeros(BUCKETS, bool), np.arange(BUCKETS, dtype=np.int64)
+            useful[list(index)] = True
+            self._useful = useful | useful[_nth(every, 2)] | useful[_nth(every, 3)]
+        useful = self._useful
         score = np.zeros((len(texts), len(self.models)))
         base = np.array([w[: len(index)] for w, _ in self.models])
         for k, t in enumerate(texts):
-            held: set[int] = set()
-            words = set(find(t.lower()))
-            for w in words:
+            held: list[int] = []
+            for w in set(find(t.lower())):
                 if w not in known:
-                    known[w] = tuple(index[f] for f in word_features(w) if f in index)
-                held.update(known[w])
-            score[k] = base[:, list(held)].sum(axis=1)
+                    known[w] = tuple(f for f in word_features(w) if useful[f])
+                held += known[w]
+            score[k] = base[:, [index[f] for f in np.unique(text_features(held)).tolist() if f in index]].sum(axis=1)
             if len(known) > 500_000:
                 known.clear()
         for c, (w, b) in enumerate(self.models):
@@ -118,7 +135,7 @@ class Chain:
         return score
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}, "out_of_fold": None}
+        return self.__dict__ | {"_known": {}, "_useful": None, "out_of_fold": None}
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain | None:
