@@ -70,11 +70,13 @@ class Engine:
 
     def _view(self, df: DataFrame, types: dict[str, str]) -> tuple[str, list[tuple[str, str]]]:
         view = f"_loom_{uuid.uuid4().hex[:12]}"
-        df.createOrReplaceTempView(view)
-        if df.sparkSession is not self.spark:
-            # The same plan, known to this engine's session.
-            self.spark._jsparkSession.sessionState().catalog().createTempView(view, df._jdf.queryExecution().analyzed(), True)
-        return ident(view), [(n, types.get(n) or logical_type(t)) for n, t in df.dtypes]
+        if df.sparkSession is self.spark:
+            df.createOrReplaceTempView(view)
+            name = ident(view)
+        else:  # a frame of another session of the same application
+            df.createOrReplaceGlobalTempView(view)
+            name = f"global_temp.{ident(view)}"
+        return name, [(n, types.get(n) or logical_type(t)) for n, t in df.dtypes]
 
     # -- what the translator asks for ------------------------------------------------
     def relation(self, name: str, translator: Translator) -> tuple[str, list[tuple[str, str]]]:
@@ -173,8 +175,6 @@ class Engine:
                 return False
             if not replace:
                 raise LoomError("DuplicateTable", name)
-            self.memory.pop(key, None)
-            self.views.pop(key, None)
         return True
 
     def _table(self, name: str) -> tuple[DataFrame, list[tuple[str, str, bool]]]:
@@ -193,6 +193,7 @@ class Engine:
         df = materialize(df)
         if required and df.where(" or ".join(f"{ident(n)} is null" for n in required)).limit(1).count():
             raise LoomError("NotNullViolation", name)
+        self.views.pop(name.lower(), None)  # a view that OR REPLACE takes the place of
         self.memory[name.lower()] = (df, columns)
 
     def _create_table(self, node, tr):
@@ -209,6 +210,7 @@ class Engine:
     def _create_view(self, node, tr):
         self._free(node.name, node.replace, False)
         tr.query(node.query)  # must bind now
+        self.memory.pop(node.name.lower(), None)
         self.views[node.name.lower()] = node.query
         return self._count(0)
 
