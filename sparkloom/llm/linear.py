@@ -25,6 +25,8 @@ def _descend(x: np.ndarray, grad, rounds: int):
 
 def _largest(x: np.ndarray) -> float:
     """An estimate of the largest eigenvalue of the mean of outer products, with the bias."""
+    if not x.shape[1]:
+        return 1.1
     v = np.full(x.shape[1], x.shape[1] ** -0.5, x.dtype)
     u = 1.0
     value = 1.0
