@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
+from .workers import trimmed
 
 #: Distinct pieces contracted together, occurrences held before that, and pieces remembered.
-CHUNK, HELD, KNOWN = 120_000, 4_000_000, 700_000
+CHUNK, HELD, KNOWN = 120_000, 4_000_000, 500_000
 #: Pieces longer than this many bytes are contracted with a heap: a recursion would need a step for every merge.
 LONG = 200
 
@@ -199,6 +200,7 @@ def _encoder(path: str, pattern: str, keep_ids: bool):
                     pending = 0
         if held:
             yield flush()
+        duck.db.close()
 
     return run
 
@@ -214,7 +216,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(path, pattern, keep_ids), schema)
+    return rows.mapInArrow(trimmed(_encoder(path, pattern, keep_ids)), schema)
 
 
 def bpe_decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

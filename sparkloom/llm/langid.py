@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
+from .workers import trimmed
 
 #: Families of closely related languages; a language not named is a family of its own.
 FAMILIES = {
@@ -147,4 +148,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch
+from .workers import trimmed, trimmed_group
 
 SKETCH, SHARED, HOT, BLOCK = 64, 36, 64, 256
 
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = scratch.save(docs.mapInArrow(_sketcher(width), "doc_id long, n long, fp binary, sketch array<long>"), "raw")
+    raw = scratch.save(docs.mapInArrow(trimmed(_sketcher(width)), "doc_id long, n long, fp binary, sketch array<long>"), "raw")
     first = raw.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
     classes = scratch.save(first.select("fp", F.col("r.doc_id").alias("rep"), "r.n", "r.sketch"), "classes")
 
@@ -207,11 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.save(texts, "texts")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    sure = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verifier(width, percent), "a long, b long")
+    sure = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(width, percent)), "a long, b long")
     grid = members.join(texts, members["rep"] == texts["doc_id"]).select("g", "blocks", "own", "doc_id", "text")
     grid = grid.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     grid = grid.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    inside = grid.groupBy("g", "lo", "hi").applyInArrow(_block_links(width, percent), "a long, b long")
+    inside = grid.groupBy("g", "lo", "hi").applyInArrow(trimmed_group(_block_links(width, percent)), "a long, b long")
     links = scratch.save(sure.unionByName(inside), "links")
 
     joined = connected_components(links, scratch)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import trimmed
 
 GRAM, STEP, SEGMENT = 64, 16, 1 << 20
 _RAW = "doc_id long, tk long, n_bytes long, sha string, suffixes array<struct<k1:long,k2:long,p:int,s:int,e:int>>"
@@ -258,7 +259,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"min_bytes must be at least {GRAM}")
     scratch = Scratch(spark, "suffix")
     texts = _texts(docs, id_col, text_col)
-    raw = scratch.save(texts.mapInArrow(_sampler(min_bytes), _RAW), "raw")
+    raw = scratch.save(texts.mapInArrow(trimmed(_sampler(min_bytes)), _RAW), "raw")
     whole = scratch.save(raw.where(F.col("n_bytes") >= min_bytes).groupBy("tk", "n_bytes").agg(F.count("*").alias("c")).where("c > 1").select("tk", "n_bytes"), "whole")
 
     family = SuffixIndexFamily(scratch)
@@ -298,7 +299,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # window, and one whose covered bytes occur again holds only such.
     def probe(of: DataFrame, place: list[str], cores: bool, schema: str, label: str) -> DataFrame:
         runs = of.groupBy(*text_id).agg(F.collect_list(F.struct(*place)).alias("runs"))
-        return scratch.save(some.join(runs, text_id).select(*text_id, "text", "runs").mapInArrow(_probe(min_bytes, cores), schema), label)
+        return scratch.save(some.join(runs, text_id).select(*text_id, "text", "runs").mapInArrow(trimmed(_probe(min_bytes, cores)), schema), label)
 
     bins = probe(unclear, ["p", "s", "e"], True, "w long, h long, tk long, n_bytes long, p long, lo long, hi long", "bins")
     settled_bins, unclear = settle(bins, "w", "h", ["p", "lo", "hi"], "bins")
@@ -310,7 +311,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = settled.unionByName(ends.select(*text_id, "a", "b")).groupBy(*text_id).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cutout = some.join(spans, text_id).select(*text_id, "text", "spans")
     schema = "tk long, n_bytes long, n_removed long, n_spans long, kept_sha string, spans array<struct<a:int,b:int>>"
-    return rows, scratch.save(cutout.mapInArrow(_digest, schema), "digest"), whole
+    return rows, scratch.save(cutout.mapInArrow(trimmed(_digest), schema), "digest"), whole
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, batches: int = 4) -> DataFrame:
@@ -363,6 +364,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = 200
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), text.alias("text"), text.isNull().alias("_null"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_tk"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_n"))
     wide = base.join(spans, ["_tk", "_n"], "left").select("_rest", "_null", "text", "_spans")
     schema = StructType([wide.schema["_rest"], wide.schema["_null"], StructField("text", StringType())])
-    done = wide.mapInArrow(_rewrite, schema)
+    done = wide.mapInArrow(trimmed(_rewrite), schema)
     columns = [F.when(~F.col("_null"), F.col("text")).alias(text_col) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns]
     return done.select(*columns)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import trimmed
 
 MAGIC, BLOCK, LANES, SLOTS = b"TKB1", 2048, 1024, 1024
 _U = np.uint64
@@ -344,7 +345,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    order.mapInArrow(_writer(tokenizer, pattern, end), "part int, stripe int, docs array<long>, lengths array<long>, data binary").write.mode("overwrite").parquet(folder)
+    order.mapInArrow(trimmed(_writer(tokenizer, pattern, end)), "part int, stripe int, docs array<long>, lengths array<long>, data binary").write.mode("overwrite").parquet(folder)
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
@@ -358,7 +359,7 @@ def read_tokens(spark, folder: str) -> DataFrame:
         at += r["n"]
     first = spark.createDataFrame(starts, "part int, stripe int, first long")
     schema = "part int, stripe int, doc_id long, at long, n_tokens long, ids_crc32 long"
-    read = stored.select("part", "stripe", "docs", "lengths", "data").repartition("part", "stripe").mapInArrow(_reader, schema)
+    read = stored.select("part", "stripe", "docs", "lengths", "data").repartition("part", "stripe").mapInArrow(trimmed(_reader), schema)
     return read.join(F.broadcast(first), ["part", "stripe"]).select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 

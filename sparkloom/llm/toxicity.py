@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
+from .workers import trimmed
 
 SAMPLE, FEATURES, FOLDS, BUCKETS = 6000, 300, 5, 1 << 22
 #: Strength of the penalty and steps of every fit.
@@ -128,7 +129,7 @@ class Chain:
                     known[w] = tuple(f for f in word_features(w) if useful[f])
                 held += known[w]
             score[k] = base[:, [index[f] for f in np.unique(text_features(held)).tolist() if f in index]].sum(axis=1)
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
         for c, (w, b) in enumerate(self.models):
             score[:, c] = sigmoid(score[:, c] + score[:, :c] @ w[len(index) :] + b)
@@ -175,22 +176,21 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(names)))], names=["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
+    return rows.mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, category: str = "toxic", threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose probability is below ``threshold``, unchanged."""
-    from pyspark.sql.functions import pandas_udf
-
     if chain is None:
         return docs
     bound_batches(docs.sparkSession)
-    at = chain.categories.index(category)
+    at, place = chain.categories.index(category), docs.columns.index(text_col)
 
-    @pandas_udf("double")
-    def probability(texts):
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return pd.Series(chain.predict([t or "" for t in texts])[:, at])
+        for batch in batches:
+            clean = chain.predict([t or "" for t in batch.column(place).to_pylist()])[:, at] < threshold
+            yield batch.filter(pa.array(clean))
 
-    return docs.where(probability(F.col(text_col)) < threshold)
+    return docs.mapInArrow(trimmed(run), docs.schema)
