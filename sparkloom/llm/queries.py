@@ -107,4 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the others see tests/llm: brute force, round trips and held-out accuracy."""
+    from . import mixing, oracles
+
+    return {
+        "op1_url_filters": oracles.url_filters(URL_RULES),
+        "op4_minhash_near_dedup": oracles.near_duplicates(width=4, percent=80),
+        "op5_suffix_array_dedup": oracles.suffix_dedup(200),
+        "op6_source_mixing": oracles.source_mixing((3.0, 1.0, 2.0), 1.5, 2.0, 17, mixing.BUCKET),
+    }
