@@ -482,7 +482,9 @@ def _list_extract(e, i):
     if e.type == "string":
         return Sql(f"substring({text(e)}, cast({big(i)} as int), 1)", "string")
     x, n = elements(e), big(i)
-    return Sql(f"case when {n} <> 0 then try_element_at({x}, cast(nullif({n}, 0) as int)) end", "json")
+    if re.fullmatch(r"[1-9]\d*", i.text):
+        return Sql(f"get({x}, {int(i.text) - 1})", "json")
+    return Sql(f"get({x}, cast(case when {n} > 0 then {n} - 1 when {n} < 0 then size({x}) + {n} else -1 end as int))", "json")
 
 
 @define("list_slice array_slice", 3)

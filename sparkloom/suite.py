@@ -180,6 +180,159 @@ case("unnest_select", "SELECT r_regionkey, unnest([10, 20, r_regionkey]) AS v FR
 case("typeof", "SELECT typeof(c_custkey) AS a, typeof(c_acctbal) AS b, typeof(c_name) AS c, typeof(1.50) AS d, typeof(DATE '2024-01-01') AS e, typeof(sum(c_nationkey)) AS f FROM customer GROUP BY ALL", "SELECT 'BIGINT' AS a, 'DOUBLE' AS b, 'VARCHAR' AS c, 'DECIMAL(3,2)' AS d, 'DATE' AS e, 'HUGEINT' AS f")
 
 
+# -- more corners of the dialect ------------------------------------------------------------------------
+case("nested_queries", "SELECT t.k, t.n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) x)) t ORDER BY n DESC, k LIMIT 5")
+case("exists_residual", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
+case("not_in_list", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (1, 2) AND n_name NOT BETWEEN 'B' AND 'K'")
+case("set_alias_order", "SELECT n_nationkey AS a FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_regionkey AS b FROM region ORDER BY b DESC LIMIT 6", "SELECT n_nationkey AS a FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_regionkey FROM region ORDER BY a DESC LIMIT 6")
+case("union_types", "SELECT l_linenumber AS v FROM lineitem WHERE l_orderkey < 5 UNION ALL SELECT o_totalprice FROM orders WHERE o_orderkey < 5")
+case("distinct_aggregates", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS c, round(avg(DISTINCT o_custkey), 6) AS a, CAST(sum(DISTINCT o_custkey % 10) AS BIGINT) AS s FROM orders GROUP BY o_orderstatus")
+case("filtered_arg", "SELECT c_mktsegment, arg_min(c_name, c_acctbal) FILTER (WHERE c_nationkey = 3) AS a, max_by(c_custkey, c_acctbal) AS b FROM customer GROUP BY c_mktsegment")
+case("group_expression", "SELECT c_nationkey % 4 AS k, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS s, count(*) AS n FROM customer GROUP BY c_nationkey % 4, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END")
+case("lag_negative", "SELECT o_orderkey, lag(o_orderkey, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders", "SELECT o_orderkey, lead(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders")
+case("ntile_column", "SELECT s_suppkey, ntile(s_nationkey - s_nationkey + 3) OVER (ORDER BY s_suppkey) AS t FROM supplier", "SELECT s_suppkey, ntile(3) OVER (ORDER BY s_suppkey) AS t FROM supplier")
+case("having_window", "SELECT c_nationkey, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY c_nationkey) AS BIGINT) AS running FROM customer GROUP BY c_nationkey HAVING count(*) > 10")
+case("distinct_on_expression", "SELECT DISTINCT ON (o_orderkey % 10) o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey % 10, o_totalprice DESC, o_orderkey")
+case("pivot_default", "PIVOT (SELECT c_mktsegment, c_nationkey % 3 AS k FROM customer) ON k IN (0, 1, 2)", "SELECT c_mktsegment, count(*) FILTER (WHERE c_nationkey % 3 = 0) AS \"0\", count(*) FILTER (WHERE c_nationkey % 3 = 1) AS \"1\", count(*) FILTER (WHERE c_nationkey % 3 = 2) AS \"2\" FROM customer GROUP BY c_mktsegment")
+case("unsigned_casts", "SELECT CAST(l_linenumber AS UTINYINT) AS a, CAST(-l_linenumber AS UINTEGER) AS b, CAST(300 AS UTINYINT) AS c, CAST(l_orderkey AS HUGEINT) AS d FROM lineitem",
+     "SELECT CAST(l_linenumber AS SMALLINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS SMALLINT) AS c, CAST(l_orderkey AS DECIMAL(38,0)) AS d FROM lineitem")
+case("uuid_time", "SELECT n_nationkey, CAST('A0EEBC99-9C0B-4EF8-BB6D-6BB9BD380A11' AS UUID)::VARCHAR AS u, CAST('zz' AS UUID)::VARCHAR AS z, CAST(TIME '10:20:30' AS VARCHAR) AS t FROM nation",
+     "SELECT n_nationkey, 'a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11' AS u, CAST(NULL AS VARCHAR) AS z, '10:20:30' AS t FROM nation")
+case("intervals", "SELECT event_id, ts + INTERVAL '2 hours' - INTERVAL 90 SECOND AS a, ts + INTERVAL (user_id % 5) DAY AS b, DATE '2024-03-31' - INTERVAL 1 MONTH AS c FROM events")
+case("regex_null", "SELECT p_partkey, regexp_extract(nullif(p_name, p_name), 'a') AS n, p_name !~ '.*q.*' AS x, p_type !~~ '%A%' AS y, p_type ~~* '%a%' AS z FROM part",
+     "SELECT p_partkey, CAST(NULL AS VARCHAR) AS n, NOT regexp_full_match(p_name, '.*q.*') AS x, p_type NOT LIKE '%A%' AS y, p_type ILIKE '%a%' AS z FROM part")
+case("date_diff_parts", "SELECT o_orderkey, date_diff('hour', TIMESTAMP '1995-01-01 23:30:00', o_orderdate) AS h, date_diff('year', TIMESTAMP '1995-12-31 00:00:00', o_orderdate) AS y, date_diff('quarter', TIMESTAMP '1995-12-31 00:00:00', o_orderdate) AS q, date_trunc('decade', o_orderdate) AS d, date_trunc('week', o_orderdate) AS w FROM orders")
+case("text_dates", "SELECT event_id, to_date(strftime(ts, '%Y-%m-%d')) AS d, to_timestamp('2024-01-02 03:04:05') AS t, to_date('2024-13-01') AS bad, epoch_us(ts) AS us FROM events",
+     "SELECT event_id, CAST(ts AS DATE) AS d, TIMESTAMP '2024-01-02 03:04:05' AS t, CAST(NULL AS DATE) AS bad, epoch_us(ts) AS us FROM events")
+case("json_paths", "SELECT event_id, json_extract('{\"a\": {\"b\": [1, {\"c\": \"x\"}]}}', '$.a.b[1].c') AS q, '{\"a\": {\"b\": [1, 2]}}'->'a'->'b'->>1 AS one, json_array_length('[1, [2], 3]') AS n, json_type('[1.5]', '$[0]') AS t, props->>'$.k' IS NULL AS m FROM events",
+     "SELECT event_id, '\"x\"' AS q, '2' AS one, 3::BIGINT AS n, 'DOUBLE' AS t, props->>'$.k' IS NULL AS m FROM events")
+case("list_strings", "SELECT s_suppkey, string_split(s_name, '#')[2] AS b, list_contains(string_split(s_name, '#'), 'Supplier') AS h, list_transform(string_split('a b', ' '), x -> json_extract_string(json_array(x), '$[0]')) AS t, list_extract([1, 2], 5) AS z FROM supplier",
+     "SELECT s_suppkey, CAST(to_json(string_split(s_name, '#')[2]) AS VARCHAR) AS b, list_contains(string_split(s_name, '#'), 'Supplier') AS h, '[\"a\",\"b\"]' AS t, CAST(NULL AS VARCHAR) AS z FROM supplier")
+case("star_tables", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+case("any_null_logic", "SELECT n_nationkey, nullif(n_regionkey, 0) > ANY (SELECT nullif(r_regionkey, 3) FROM region) AS a, n_regionkey >= ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS e FROM nation")
+case("join_using", "SELECT l_orderkey, o_custkey FROM (SELECT l_orderkey, l_quantity FROM lineitem) l JOIN (SELECT o_orderkey AS l_orderkey, o_custkey FROM orders) o USING (l_orderkey) WHERE l_quantity = 1")
+
+
+# -- statements and files: functions of (spark, sf_dir) ---------------------------------------------------
+PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def program(oracle: str):
+    def add(f):
+        PROGRAMS[f.__name__] = (f, oracle)
+        return f
+
+    return add
+
+
+def _own(spark: SparkSession, sf_dir: str, *tables: str):
+    """An engine of its own, so that statements leave nothing behind."""
+    from .session import Engine
+
+    e = Engine(spark)
+    for t in tables:
+        e.register(t, f"{sf_dir}/{t}.parquet")
+    return e
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from .operators.storage import shared_folder
+
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex[:12]}-{name}"
+
+
+@program("SELECT c_custkey + 0 AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal, 'new' AS tag FROM customer WHERE c_nationkey < 5 AND c_custkey % 7 <> 0 UNION ALL SELECT -1, 5.5, NULL")
+def statements_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _own(spark, sf_dir, "customer")
+    for s in (
+        "CREATE TABLE c AS SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_nationkey < 5",
+        "UPDATE c SET bal = bal + 1 WHERE k % 2 = 0",
+        "DELETE FROM c WHERE k % 7 = 0",
+        "ALTER TABLE c ADD COLUMN tag VARCHAR DEFAULT 'new'",
+        "INSERT INTO c (k, bal) VALUES (-1, 5.5)",
+        "ALTER TABLE c RENAME TO d",
+    ):
+        e.sql(s)
+    return e.sql("SELECT * FROM d")
+
+
+@program("SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1")
+def statements_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _own(spark, sf_dir, "nation")
+    e.sql("CREATE VIEW v AS SELECT n_regionkey AS r, n_nationkey AS k FROM nation WHERE n_nationkey > 3")
+    return e.sql("SELECT r, count(k) AS n FROM v GROUP BY r")
+
+
+def _through(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    e = _own(spark, sf_dir, "orders")
+    path = _path(spark, f"orders.{kind}")
+    e.sql(f"COPY (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, nullif(o_orderstatus, 'F') AS st, CAST(o_orderdate AS DATE) AS d FROM orders) TO '{path}'")
+    return e.sql(f"SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, st, CAST(d AS DATE) AS d FROM '{path}'")
+
+
+_COPIED = "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, nullif(o_orderstatus, 'F') AS st, CAST(o_orderdate AS DATE) AS d FROM orders"
+
+
+@program(_COPIED)
+def copy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "csv")
+
+
+@program(_COPIED)
+def copy_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "tsv")
+
+
+@program(_COPIED)
+def copy_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "jsonl")
+
+
+@program(_COPIED)
+def copy_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "parquet")
+
+
+@program("SELECT n_regionkey AS region, n_name, n_nationkey FROM nation WHERE n_regionkey IN (1, 3)")
+def hive_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = _own(spark, sf_dir), _path(spark, "hive")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").withColumnRenamed("n_regionkey", "region").write.partitionBy("region").parquet(path)
+    e.register("t", path)
+    return e.sql("SELECT region, n_name, n_nationkey FROM t WHERE region IN (1, 3)")
+
+
+@program("SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region)")
+def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, a, b = _own(spark, sf_dir, "nation", "region"), _path(spark, "a.csv"), _path(spark, "b.jsonl")
+    e.sql(f"COPY (SELECT n_nationkey AS k FROM nation) TO '{a}'")
+    e.sql(f"COPY (SELECT r_regionkey AS k FROM region) TO '{b}'")
+    e.register("t", a, b)
+    return e.sql("SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM t")
+
+
+@program("SELECT * FROM (VALUES ('c_custkey', 'BIGINT', 'YES'), ('c_name', 'VARCHAR', 'YES'), ('c_nationkey', 'INTEGER', 'YES'), ('c_acctbal', 'DOUBLE', 'YES'), ('c_mktsegment', 'VARCHAR', 'YES')) t(column_name, column_type, \"null\")")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir, "customer").sql("DESCRIBE customer")
+
+
+@program("SELECT * FROM (VALUES ('nation'), ('region')) t(name)")
+def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir, "region", "nation").sql("SHOW TABLES")
+
+
+@program("SELECT 'c_custkey' AS column_name, CAST(min(c_custkey) AS VARCHAR) AS lo, CAST(max(c_custkey) AS VARCHAR) AS hi, round(avg(c_custkey), 6) AS mean, median(c_custkey) AS q50, count(*) AS n FROM customer")
+def summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _own(spark, sf_dir, "customer").sql("SUMMARIZE SELECT c_custkey FROM customer")
+    return s.selectExpr("column_name", "`min` as lo", "`max` as hi", "round(avg, 6) as mean", "q50", "`count` as n")
+
+
+@program("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000.5 AND o_orderstatus = 'F'")
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir, "orders").sql("SELECT o_orderkey FROM orders WHERE o_totalprice > ? AND o_orderstatus = ?", [100000.5, "F"])
+
+
 _ENGINES: dict = {}
 
 
@@ -197,8 +350,11 @@ def engine(spark: SparkSession, sf_dir: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, q=sql: engine(spark, sf_dir).sql(q) for name, (sql, _) in SUITE.items()}
+    """Every query by name: SQL on a shared engine, and programs."""
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: lambda spark, sf_dir, q=sql: engine(spark, sf_dir).sql(q) for name, (sql, _) in SUITE.items()}
+    return out | {name: f for name, (f, _) in PROGRAMS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle or sql for name, (sql, oracle) in SUITE.items()}
+    """DuckDB's SQL for each of ``queries()``."""
+    return {name: oracle or sql for name, (sql, oracle) in SUITE.items()} | {name: sql for name, (_, sql) in PROGRAMS.items()}

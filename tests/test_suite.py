@@ -29,7 +29,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in suite.SUITE if n not in SKIP])
+@pytest.mark.parametrize("name", [n for n in suite.oracle_sql() if n not in SKIP])
 def test_query(spark, oracle, name):
     df = suite.queries()[name](spark, DATA)
     want = oracle.execute(suite.oracle_sql()[name])
