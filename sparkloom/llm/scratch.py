@@ -50,7 +50,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # Not Snappy: its writers hold direct buffers until some later collection.
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 

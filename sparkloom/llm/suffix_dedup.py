@@ -109,6 +109,15 @@ def _sampler(width: int):
     return run
 
 
+def _flat(lists, names):
+    """The fields of a column of lists of structs as arrays, and the lists' bounds in them."""
+    import numpy as np
+
+    bounds = lists.offsets.to_numpy()
+    values = lists.values
+    return [values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names], bounds
+
+
 def _expand(np, first, last):
     """All integers of the ranges ``first`` to ``last``, and the number of the range of each."""
     length = last - first + 1
@@ -140,10 +149,11 @@ def _probe(width: int, cores: bool):
         rows = 0
         for batch in batches:
             key, size, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
-            for k, (t, runs) in enumerate(zip(texts, batch.column(3).to_pylist())):
+            fields, bounds = _flat(batch.column(3), ("p", "s", "e") if cores else ("p", "lo", "hi"))
+            for k, t in enumerate(texts):
                 rolling = RollingHash(np.frombuffer(t, np.uint8))
+                p, s, e = (f[bounds[k] : bounds[k + 1]] for f in fields)
                 if cores:
-                    p, s, e = (np.array([r[c] for r in runs], np.int64) for c in "pse")
                     j, of = _expand(np, (p - e) // STEP, (p - s) // STEP)
                     w = mix(rolling.slices(p[of] - STEP * j, p[of] - STEP * (j + 1) + 1 + width) ^ mix(j.astype(np.uint64)))
                     lo, hi = np.maximum(s[of], p[of] - STEP * (j + 1) + 1), np.minimum(e[of], p[of] - STEP * j)
@@ -151,8 +161,7 @@ def _probe(width: int, cores: bool):
                     first = (w.view(np.int64), mix(rolling.slices(lo, hi + width) ^ shape).view(np.int64))
                     more = (p[of], lo, hi)
                 else:
-                    p, lo, hi = (np.array([r[c] for r in runs], np.int64) for c in ("p", "lo", "hi"))
-                    i, of = _expand(np, lo, hi)
+                    i, of = _expand(np, s, e)
                     w = mix(rolling.slices(i, i + width))
                     first, more = (w.view(np.int64),), (p[of], i)
                 out.append((*first, np.full(len(w), key[k]), np.full(len(w), size[k]), *more))
@@ -166,9 +175,10 @@ def _probe(width: int, cores: bool):
     return run
 
 
-def _merge(spans: list[dict]) -> list[tuple[int, int]]:
+def _merge(starts, ends) -> list[tuple[int, int]]:
+    """Sorted disjoint spans that cover the same bytes."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans):
+    for a, b in sorted(zip(starts.tolist(), ends.tolist())):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -193,8 +203,9 @@ def _digest(batches: Iterator) -> Iterator:
 
     for batch in batches:
         removed, runs, sha, merged = [], [], [], []
-        for t, spans in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist()):
-            m = _merge(spans)
+        (first, last), bounds = _flat(batch.column(3), ("a", "b"))
+        for k, t in enumerate(as_bytes(batch.column(2))):
+            m = _merge(first[bounds[k] : bounds[k + 1]], last[bounds[k] : bounds[k + 1]])
             removed.append(sum(b - a for a, b in m))
             runs.append(len(m))
             sha.append(hashlib.sha256(cut(t, m)).hexdigest())
