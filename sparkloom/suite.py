@@ -45,6 +45,11 @@ case("promo_share", """
 SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'P%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share
 FROM lineitem JOIN part ON l_partkey = p_partkey""")
 
+# -- pruning: selective predicates that reach the Parquet statistics ----------------------------------------
+case("point_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 77")
+case("narrow_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 1020 AND l_shipdate >= TIMESTAMP '1992-01-01 00:00:00'")
+case("in_values", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 500, 1200)")
+
 # -- joins ----------------------------------------------------------------------------
 case("join_inner", "SELECT c_custkey, o_orderkey FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000")
 case("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'")
