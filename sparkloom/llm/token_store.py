@@ -18,6 +18,7 @@ Spark writes to can hold: document ids and lengths beside the coded blocks.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,9 +44,13 @@ class _Model:
         self.second = np.full(lanes * SLOTS, -1, np.int32)
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
-        # Estimates in 16 bits of (second's candidate, first's candidate), by confidence + 1.
-        self.est = np.full((3, lanes * 5, 2), 8192, np.int64)
-        self.weight = np.full((lanes, 3), 1 / 3, np.float32)
+        # Estimates of (second's candidate, first's candidate): order, lane, confidence (4: none).
+        self.est = np.full((3 * lanes * 5, 2), 0.125, np.float32)
+        self.at = np.empty((3, lanes), np.int64)
+        self.at[0] = self.row * 5
+        self.base = np.array([[0], [lanes * 5], [2 * lanes * 5]]) + self.row * 5
+        self.weight = np.full((3, lanes), 1 / 3, np.float32)
+        self.rate = np.array([1 / 32, 1 / 16, 1 / 16], np.float32)[:, None, None]
         self.size = np.ones((lanes, 17), np.int32) * 4
         self.cum = None
         self.step = 0
@@ -57,10 +62,12 @@ class _Model:
         self.a2 = at + ((self.one * 40503 + self.two * 60493 + (self.two >> 5)) >> 2) % SLOTS
         v1, v2 = self.first[self.a1], self.second[self.a2]
         self.c1, self.c2 = v1 >> 2, v2 >> 2
-        self.i = [self.row * 5, self.row * 5 + np.where(v1 < 0, 4, v1 & 3), self.row * 5 + np.where(v2 < 0, 4, v2 & 3)]
-        p = np.stack([self.est[k][self.i[k]] for k in range(3)])  # model, lane, event
-        self.p = p
-        mixed = np.einsum("lm,mlk->lk", self.weight, p.astype(np.float32)).astype(np.int64)
+        self.at[1] = self.base[1] + np.where(v1 < 0, 4, v1 & 3)
+        self.at[2] = self.base[2] + np.where(v2 < 0, 4, v2 & 3)
+        self.p = self.est[self.at]  # order, lane, event
+        # Separate products and sums, which every machine rounds alike: the decoder must agree to the last bit.
+        w = self.weight[:, :, None] * self.p
+        mixed = ((w[0] + w[1] + w[2]) * np.float32(65536)).astype(np.int64)
         self.b2 = np.clip(mixed[:, 0], 32, 40000)
         self.b1 = self.b2 + np.clip(mixed[:, 1], 32, 65000 - self.b2)
         if self.step % 32 == 0:
@@ -72,15 +79,16 @@ class _Model:
 
     def learn(self, x, event, bits):
         """``event``: 0 second's candidate, 1 first's, 2 neither."""
-        hit = np.stack([event == 0, event == 1], axis=1)
-        for k in range(3):
-            self.est[k][self.i[k]] += np.where(hit, 65535 - self.p[k], -self.p[k]) >> (5 if k == 0 else 4)
-        p = self.p.astype(np.float32) / 65536
-        got = np.where(event == 0, p[:, :, 0], np.where(event == 1, p[:, :, 1], 1 - p[:, :, 0] - p[:, :, 1])).T
-        w = self.weight * (np.maximum(got, 0.001) + 0.05)
-        self.weight = w / w.sum(axis=1, keepdims=True)
-        self.weight = np.maximum(self.weight, 0.02)
-        self.weight /= self.weight.sum(axis=1, keepdims=True)
+        p, first, second = self.p, event == 1, event == 0
+        got = np.where(second, p[:, :, 0], np.where(first, p[:, :, 1], 1 - p[:, :, 0] - p[:, :, 1]))
+        p = p * (1 - self.rate)
+        p[:, second, 0] += self.rate[:, :, 0]
+        p[:, first, 1] += self.rate[:, :, 0]
+        self.est[self.at] = p
+        w = self.weight * (np.maximum(got, np.float32(0.001)) + np.float32(0.05))
+        w *= 1 / (w[0] + w[1] + w[2])
+        w = np.maximum(w, np.float32(0.02))
+        self.weight = w * (1 / (w[0] + w[1] + w[2]))
         miss = np.flatnonzero(event == 2)
         self.size[miss, bits[miss]] += 8
         for table, at in ((self.first, self.a1), (self.second, self.a2)):
@@ -254,7 +262,7 @@ class CachedTokenizer:
     so pieces seen before need not be encoded again.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -274,7 +282,7 @@ class CachedTokenizer:
         new = list({w for w in words if w not in known})
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+                known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
         out = b"".join(map(known.__getitem__, words))
         if len(known) > self.limit:
             known.clear()
