@@ -118,6 +118,21 @@ class Engine:
         node = parse(query)
         return getattr(self, "_" + node.kind)(node, Translator(self, params))
 
+    def rows(self, query: str, params: list | None = None) -> list[dict]:
+        """All rows of a result, for results that fit the driver."""
+        return [r.asDict() for r in self.sql(query, params).collect()]
+
+    def stream(self, query: str, params: list | None = None, size: int = 2048):
+        """The rows of a result in lists of at most ``size``, a partition at a time."""
+        batch: list[dict] = []
+        for r in self.sql(query, params).toLocalIterator():
+            batch.append(r.asDict())
+            if len(batch) == size:
+                yield batch
+                batch = []
+        if batch:
+            yield batch
+
     def text(self, query: str, params: list | None = None) -> str:
         """The Spark SQL that a query compiles to."""
         return Translator(self, params).query(parse(query).query)[0]

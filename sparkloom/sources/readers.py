@@ -59,10 +59,15 @@ def _wider(kinds: list[T.DataType]) -> T.DataType:
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     reader = spark.read
-    if "=" in path or re.search(r"\*\*", path) is not None:
+    if "=" in path:
         base = re.split(r"/(?=[^/]*(?:=|\*))", path, maxsplit=1)[0]
         reader = reader.option("basePath", base)
-    path = path.replace("**/", "*/") if "**" in path else path
+    if "**" in path:  # any depth: from the folder before the stars, files by the last part's pattern
+        root, _, rest = path.partition("**")
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", rest.rsplit("/", 1)[-1] or "*")
+        if kind == "parquet":
+            return reader.parquet(root.rstrip("/") or "/")
+        path = path.replace("**/", "*/")
     if kind == "parquet":
         return reader.parquet(path)
     if kind in ("csv", "tsv"):

@@ -134,3 +134,23 @@ def test_recursion(engine):
     assert rows(engine.sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 300) SELECT count(*), max(n) FROM t")) == [(300, 300)]
     got = rows(engine.sql("WITH RECURSIVE t(n) AS (SELECT 0 UNION SELECT (n + 7) % 12 FROM t) SELECT count(*) FROM t"))
     assert got == [(12,)]
+
+
+def test_rows_stream_and_formats(engine):
+    from sparkloom.cli import render
+
+    assert engine.rows("SELECT 1 AS a, NULL AS b") == [{"a": 1, "b": None}]
+    assert [len(b) for b in engine.stream("SELECT range FROM range(5)", size=2)] == [2, 2, 1]
+    names, data = ["a", "b"], [(1, "x,y"), (None, "it's")]
+    assert render(names, data, "csv") == 'a,b\n1,"x,y"\n,it\'s\n'
+    assert render(names, data, "insert").splitlines()[1] == "INSERT INTO \"table\" VALUES(NULL,'it''s');"
+    assert render(names, data, "markdown").splitlines()[:2] == ["| a | b    |", "|---|------|"]
+    assert render(names, data, "jsonlines").splitlines()[0] == '{"a": 1, "b": "x,y"}'
+    assert render(names, data, "list") == "a|b\n1|x,y\n|it's\n" and render(names, data, "trash") == ""
+
+
+def test_globs(engine, spark, tmp_path):
+    for k in range(3):
+        spark.range(2).write.parquet(f"{tmp_path}/d{k}/deep{k}/f.parquet")
+    assert engine.rows(f"SELECT count(*) AS n FROM '{tmp_path}/*/*/f.parquet'") == [{"n": 6}]
+    assert engine.rows(f"SELECT count(*) AS n FROM '{tmp_path}/**/*.parquet'") == [{"n": 6}]
