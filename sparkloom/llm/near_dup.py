@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch
