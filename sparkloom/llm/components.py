@@ -30,10 +30,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
             break
         before, k = state, k + 1
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are saved first: a join of two plain shuffles can split a node with very many edges.
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.save(large.where("u <> v").distinct(), f"{label}-large")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
         small = large.join(least, "u")
         star = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.save(star, f"{label}-{k}")

@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Retained values that at least two classes hold, with how many hold them.
     held = classes.select("rep", "n", F.explode("sketch").alias("v"))
-    df = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # Saved first: a join of two plain shuffles can split a very common value over tasks.
+    df = scratch.save(held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "df")
     common = held.join(df, "v")
     least = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.least(F.ceil(F.col("n") * (percent / 100.0)), F.lit(48)))
     budget = (F.least("n", F.lit(SKETCH)) - least + 1).cast("int")
