@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Rows whose whole bytes occur again, and one row for each kind of bytes where a key has several."""
         kinds = found.groupBy(key, whole_key).agg(F.count("*").alias("c"), F.min(F.struct(*text_id, *place)).alias("r"))
         kinds = scratch.save(kinds, f"{label}-kinds")
-        several = kinds.groupBy(key).agg(F.count("*").alias("d")).where("d > 1").select(key)
+        several = scratch.save(kinds.groupBy(key).agg(F.count("*").alias("d")).where("d > 1").select(key), f"{label}-several")
         again = found.join(kinds.where("c > 1").select(key, whole_key), [key, whole_key], "left_semi").select(*text_id, *place).distinct()
         unclear = kinds.join(several, key, "left_semi").select("r.*").distinct()
         return scratch.save(again, f"{label}-settled"), scratch.save(unclear, f"{label}-open")
