@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
-BUCKET, SMALL, SALTS = 4096, 100_000, 32
+BUCKET, SMALL, SALTS = 1024, 100_000, 32
 
 
 def word_count(text: Column) -> Column:
