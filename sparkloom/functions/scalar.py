@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from ..errors import LoomError
-from . import Sql, decimal_of, is_int, is_numeric, is_time, quote
+from . import Sql, is_int, is_numeric, quote
 from .casts import as_json_text, cast, json_string, list_text, type_name
 
 FUNCTIONS: dict[str, tuple[int, int, Callable[..., Sql]]] = {}
