@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import Scratch
 from .workers import trimmed
 
-MAGIC, BLOCK, LANES, SLOTS = b"TKB1", 2048, 1024, 1024
+MAGIC, BLOCK, LANES, SLOTS, SMALL = b"TKB1", 2048, 1024, 1024, 100_000
 _U = np.uint64
 _LIMIT = _U(1 << 48)
 
@@ -333,14 +334,13 @@ def _reader(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for part, stripe, docs, lengths, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for docs, lengths, data, first in zip(*(batch.column(k).to_pylist() for k in range(4))):
             ids = decode_blocks(data).astype("<u4")
             at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            n = len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([stripe] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1]), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
-                names=["part", "stripe", "doc_id", "at", "n_tokens", "ids_crc32"],
+                [pa.array(docs, pa.int64()), pa.array(at[:-1] + first), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
 
@@ -360,15 +360,15 @@ def read_tokens(spark, folder: str) -> DataFrame:
     """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32``; checksums are verified."""
     stored = spark.read.parquet(folder)
     sizes = stored.select("part", "stripe", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    rows = sizes.collect()  # one row for each stripe of about two million ids
-    starts, at = [], 0
-    for r in sorted(rows, key=lambda r: (r["part"], r["stripe"])):
-        starts.append((r["part"], r["stripe"], at))
-        at += r["n"]
-    first = spark.createDataFrame(starts, "part int, stripe int, first long")
-    schema = "part int, stripe int, doc_id long, at long, n_tokens long, ids_crc32 long"
-    read = stored.select("part", "stripe", "docs", "lengths", "data").repartition("part", "stripe").mapInArrow(trimmed(_reader), schema)
-    return read.join(F.broadcast(first), ["part", "stripe"]).select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    ahead = (Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition that wrote
+    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*ahead)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("stripe").rowsBetween(*ahead)), F.lit(0))
+    first = sizes.withColumn("inside", inside).join(base, "part").select("part", "stripe", (F.col("inside") + F.col("base")).alias("first"))
+    if stored.count() <= SMALL:
+        first = F.broadcast(first)  # checked: at most SMALL short rows
+    read = stored.join(first, ["part", "stripe"]).select("docs", "lengths", "data", "first")
+    return read.mapInArrow(trimmed(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2) -> DataFrame:
