@@ -17,6 +17,7 @@ from .operators.storage import materialize
 from .operators.summarize import summarize
 from .plans.parser import Node, parse
 from .plans.translator import Scope, Translator
+from .shipping import ship
 from .sources.readers import flatten, read_files
 from .sources.writers import write_file
 
@@ -45,6 +46,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark.newSession()
         for key, value in SETTINGS.items():
             try:
