@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _LOCAL: list[str] = []
 
 
@@ -32,7 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most ``rows`` texts to a Python worker at once, for the session: texts can be long."""
+    """Send at most ``rows`` texts to a Python worker at once, for the session: texts can be long.
+
+    Every operator that runs Python starts here, so the workers also get the package.
+    """
+    ship(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if not 0 < now <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
