@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="loom_"))
+        folder = tempfile.mkdtemp(prefix="loom_")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL.append("file://" + folder)
     return _LOCAL[0]
 
 
