@@ -5,8 +5,8 @@ twelve pitch classes; filters over the integral image of that chroma picture
 compare neighbouring areas, and each filter's value becomes two bits of a packed
 32-bit code, one code for each frame that a whole window fits behind.
 
-Two recordings are aligned by the histogram of offsets at which their codes
-agree; at the best offset the share of differing bits decides.
+Two recordings are aligned by the share of differing bits at every offset where
+they overlap enough, counted exactly by cross-correlation.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ RATE, FRAME, HOP, WIDTH = 5512, 1024, 344, 16
 FILTERS = [(k % 3, (5 * k) % 9, 3 + k % 2, 4 * (1 + k % 4)) for k in range(16)]
 #: Edges between the four levels of a filter's value.
 LEVELS = (-0.15, 0.0, 0.15)
-QUERIES, RECORDS, VOTES, ERRORS, OVERLAP = 512, 4096, 6, 0.2, 16
+QUERIES, RECORDS, ERRORS, OVERLAP = 512, 4096, 0.2, 16
+#: Counts of a pair of chunks at once: pairs times offsets.
+CELLS = 1 << 19
 
 
 def decode_wav(data: bytes | None):
@@ -132,49 +134,96 @@ def fingerprint(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, n_codes long, codes array<int>")
 
 
+def _bits(np, flat, at, lens, length: int, kind):
+    """Codes as rows of 32 channels of -1 and 1, with zeros up to ``length`` frames."""
+    out = np.zeros((len(lens), 32, length), kind)
+    shifts = np.arange(32, dtype=np.uint32)[:, None]
+    for k, (s, n) in enumerate(zip(at.tolist(), lens.tolist())):
+        out[k, :, :n] = ((flat[s : s + n] >> shifts) & np.uint32(1)) * kind(2) - kind(1)
+    return out
+
+
+def _hits(np, flat, qs, rs):
+    """All alignments of some queries with some records, each a (starts, lengths) pair: query, record, offset, wrong bits, frames.
+
+    The cross-correlation of all channels counts equal less different bits at
+    every offset, so nothing is left out; counts are whole numbers, which the
+    rounding of the transform's error restores.
+    """
+    (qat, qlen), (rat, rlen) = qs, rs
+    none = np.zeros(0, np.int64)
+    low, high = OVERLAP - int(qlen.max()), int(rlen.max()) - OVERLAP  # offsets that can overlap enough
+    if min(int(qlen.max()), int(rlen.max())) < OVERLAP:
+        return none, none, none, none, none
+    length = _smooth(int(qlen.max()) + int(rlen.max()) - OVERLAP)
+    kind = np.float32 if length <= 4096 else np.float64
+    q = np.fft.rfft(_bits(np, flat, qat, qlen, length, kind), axis=2).conj().transpose(2, 0, 1)
+    r = np.fft.rfft(_bits(np, flat, rat, rlen, length, kind), axis=2).transpose(2, 1, 0)
+    same = np.fft.irfft(np.ascontiguousarray(q) @ np.ascontiguousarray(r), n=length, axis=0)
+    offset = np.arange(low, high + 1)
+    same = np.concatenate([same[low:], same[: high + 1]]) if low < 0 else same[low : high + 1]
+    ql = qlen if (qlen != qlen[0]).any() else qlen[:1]
+    rl = rlen if (rlen != rlen[0]).any() else rlen[:1]
+    shift = offset[:, None, None]
+    frames = np.minimum(ql[None, :, None], rl[None, None, :] - shift) - np.maximum(0, -shift)
+    least = np.where(frames >= OVERLAP, 32.0 * (1 - 2 * ERRORS) * frames - 1.0, np.inf).astype(kind)
+    o, i, j = np.nonzero(same >= least)
+    length = np.broadcast_to(frames, same.shape)[o, i, j]
+    wrong = np.rint((32.0 * length - same[o, i, j]) / 2).astype(np.int64)
+    good = wrong / (32.0 * length) <= ERRORS
+    return i[good], j[good], offset[o[good]], wrong[good], length[good]
+
+
+def _smooth(n: int) -> int:
+    """The next even length that a Fourier transform handles quickly."""
+    best = 1 << (n - 1).bit_length()
+    for f in (3, 5, 9, 15):
+        k = f * 2
+        while k < n:
+            k *= 2
+        best = min(best, k)
+    return max(best, 2)
+
+
+def _chunks(size, mine, theirs):
+    """Pairs of chunks of two lists of rows, of fewer rows where recordings are long."""
+    for a in range(0, len(mine), 64):
+        for b in range(0, len(theirs), 256):
+            q, r = mine[a : a + 64], theirs[b : b + 256]
+            longest = int(size[q].max() + size[r].max())
+            n = max(1, min(64, int((CELLS / longest) ** 0.5)))
+            m = max(1, min(256, CELLS // (longest * n)))
+            for x in range(0, len(q), n):
+                for y in range(0, len(r), m):
+                    yield q[x : x + n], r[y : y + m]
+
+
 def _align(table):
     import numpy as np
     import pyarrow as pa
 
-    ids, query = np.array(table.column("class_id").to_pylist(), np.int64), np.array(table.column("query").to_pylist(), bool)
-    lists = [np.array(c, np.int32) for c in table.column("codes").to_pylist()]
-    qs, rs = np.flatnonzero(query), np.flatnonzero(~query)
-    best = {int(ids[q]): [0, None] for q in qs}
-    if len(qs) and len(rs):
-        qcode = np.concatenate([lists[q] for q in qs])
-        qown = np.repeat(np.arange(len(qs)), [len(lists[q]) for q in qs])
-        qpos = np.concatenate([np.arange(len(lists[q])) for q in qs])
-        order = np.argsort(qcode, kind="stable")
-        qcode, qown, qpos = qcode[order], qown[order], qpos[order]
-        longest = max(len(lists[q]) for q in qs)
-        for r in rs.tolist():
-            code = lists[r]
-            lo, hi = np.searchsorted(qcode, code, "left"), np.searchsorted(qcode, code, "right")
-            count = hi - lo
-            if count.sum() < VOTES:
-                continue
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            shift = np.repeat(np.arange(len(code)), count) - qpos[at] + longest  # how much later in the record
-            votes = np.bincount(qown[at] * (longest + len(code) + 1) + shift, minlength=len(qs) * (longest + len(code) + 1)).reshape(len(qs), -1)
-            top = votes.argmax(axis=1)
-            for k in np.flatnonzero(votes.max(axis=1) >= VOTES).tolist():
-                q, offset = qs[k], int(top[k]) - longest
-                if ids[q] == ids[r]:
-                    continue
-                a = lists[q]
-                start, end = max(0, -offset), min(len(a), len(code) - offset)
-                if end - start < OVERLAP:
-                    continue
-                wrong = np.bitwise_count(a[start:end].view(np.uint32) ^ code[start + offset : end + offset].view(np.uint32)).sum()
-                rate = float(wrong) / (32.0 * (end - start))
-                if rate <= ERRORS:
-                    mine = best[int(ids[q])]
-                    mine[0] += 1
-                    hit = (rate, int(ids[r]), offset)
-                    mine[1] = hit if mine[1] is None else min(mine[1], hit)
+    codes = table.column("codes").combine_chunks()
+    flat, size = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint32), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    ids, query = table.column("class_id").to_numpy(), table.column("query").to_numpy().astype(bool)
+    order = np.argsort(size, kind="stable")  # so that little is padded
+    links, best = {int(i): 0 for i in ids[query]}, {int(i): None for i in ids[query]}
+    for mine, theirs in _chunks(size, order[query[order]], order[~query[order]]):
+        i, j, offset, wrong, frames = _hits(np, flat, (start[mine], size[mine]), (start[theirs], size[theirs]))
+        q, r = ids[mine[i]], ids[theirs[j]]
+        other = q != r
+        q, r, offset, rate = q[other], r[other], offset[other], wrong[other] / (32.0 * frames[other])
+        at = np.lexsort((offset, r, rate, q))
+        for k in at[np.unique(q[at], return_index=True)[1]].tolist():
+            hit, old = (float(rate[k]), int(r[k]), int(offset[k])), best[int(q[k])]
+            best[int(q[k])] = hit if old is None else min(old, hit)
+        # A pair is in one pair of chunks only, so counts add up.
+        pairs = np.unique(np.stack([q, r], axis=1), axis=0)
+        for k, n in zip(*np.unique(pairs[:, 0], return_counts=True)):
+            links[int(k)] += int(n)
     kind = pa.struct([("error", pa.float64()), ("class_id", pa.int64()), ("offset", pa.int32())])
-    hits = [None if b[1] is None else {"error": b[1][0], "class_id": b[1][1], "offset": b[1][2]} for b in best.values()]
-    return pa.table({"class_id": pa.array(best.keys(), pa.int64()), "links": pa.array([b[0] for b in best.values()], pa.int64()), "hit": pa.array(hits, kind)})
+    hits = [None if h is None else {"error": h[0], "class_id": h[1], "offset": h[2]} for h in best.values()]
+    return pa.table({"class_id": pa.array(best.keys(), pa.int64()), "links": pa.array(links.values(), pa.int64()), "hit": pa.array(hits, kind)})
 
 
 def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
@@ -184,9 +233,11 @@ def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
     class_id, n_links, best_class, best_offset, best_error``.  Recordings with
     equal codes are one class, named by its smallest id; ``n_links`` is the
     number of other classes that the row's class aligns with, and null where no
-    recording of the class is a query.  The best has the smallest bit error,
-    then the smallest id; its offset is in frames.  Rows without codes or id
-    have no class.  Queries and records meet in blocks of at most about
+    recording of the class is a query.  Two classes align if at some offset at
+    least ``OVERLAP`` frames overlap and at most a share of ``ERRORS`` of their
+    bits differs; every offset of every pair is counted.  The best has the
+    smallest bit error, then the smallest id and offset, in frames.  Rows
+    without codes or id have no class.  Queries and records meet in blocks of at most about
     ``QUERIES`` by ``RECORDS`` classes, and only counts and the best leave one.
     """
     scratch = Scratch(prints.sparkSession, "audio")

@@ -323,6 +323,41 @@ def test_audio(spark):
     assert align_recordings(prints.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1 << 19, 1 << 12])
+def test_audio_every_offset(spark, monkeypatch, cells):
+    """Links and the best against the bit error at every offset of every pair; noisy copies share few whole codes."""
+    from sparkloom.llm import audio
+
+    monkeypatch.setattr(audio, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    lists = []
+    for n in (47, 47, 60, 20, 16, 10, 150):
+        base = rng.integers(0, 2**32, n, np.uint32)
+        for noise in (0.0, 0.1, 0.18, 0.2, 0.22):
+            flips = (rng.random((n, 32)) < noise) @ (1 << np.arange(32, dtype=np.uint64))
+            lists.append((base ^ flips.astype(np.uint32))[int(rng.integers(0, 4)) :])
+    lists += [np.zeros(50, np.uint32), np.zeros(30, np.uint32)]  # silence aligns at many offsets
+    prints = [(k, len(c), c.view(np.int32).tolist()) for k, c in enumerate(lists)]
+    got = {r.id: r for r in audio.align_recordings(spark.createDataFrame(prints, "id long, n_codes long, codes array<int>"), step=2).collect()}
+    sparse = 0
+    for i in range(0, len(lists), 2):
+        links, best = set(), (2.0, None, None)
+        for j in range(len(lists)):
+            a, c = lists[i], lists[j]
+            for offset in range(-len(a), len(c)) if i != j else ():
+                start, end = max(0, -offset), min(len(a), len(c) - offset)
+                if end - start < audio.OVERLAP:
+                    continue
+                differ = np.bitwise_count(a[start:end] ^ c[start + offset : end + offset])
+                rate = float(differ.sum()) / (32.0 * (end - start))
+                if rate <= audio.ERRORS:
+                    links.add(j)
+                    sparse += (differ == 0).sum() < 6
+                    best = min(best, (rate, j, offset))
+        assert (got[i].n_links, got[i].best_class, got[i].best_offset) == (len(links), best[1], best[2])
+    assert sparse > 10
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 
