@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import Scratch, bound_batches
 from .workers import trimmed
 
 #: Families of closely related languages; a language not named is a family of its own.
@@ -104,23 +104,46 @@ class Model:
         return best, 1.0 / (1.0 + float(2.718281828459045 ** (-4.0 * max(-8.0, min(8.0, least[best])))))
 
 
+def _shares(held: dict[str, int], sample: int) -> dict[str, int]:
+    """How many texts of each language are fitted: equal shares, what small languages leave goes to the others."""
+    shares = {}
+    for k, (lang, n) in enumerate(sorted(held.items(), key=lambda e: (e[1], e[0]))):
+        shares[lang] = min(n, (sample - sum(shares.values())) // (len(held) - k))
+    return shares
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` labelled texts of up to ``READ`` characters each, by smallest text hash.
+    """A model of at most ``sample`` distinct labelled texts of up to ``READ`` characters each.
 
-    The bound is on what is fitted, not on what is judged.  Null labels and null
-    texts are left out; None if no label is left.
+    Languages share the sample evenly, each with its smallest text hashes; copies
+    of a text count once.  The bound is on what is fitted, not on what is judged.
+    Null labels and null texts are left out; None if no label is left.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.substring(F.col(text_col), 1, READ).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, lang_col).alias("h"))
-    # Thin out by hash first, so that only about the sample is sorted.
-    total = rows.count()
-    if total > 2 * sample:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * 1.5 * sample / total))
-    picked = rows.orderBy("h").limit(sample).collect()
-    if not picked:
+    pairs = Scratch(docs.sparkSession, "langid").save(rows.select("l", "h").distinct(), "pairs")
+    held = {r["l"]: r["count"] for r in pairs.groupBy("l").count().collect()}
+    shares = {lang: n for lang, n in _shares(held, sample).items() if n}
+    if not shares:
         return None
-    texts, langs = [r["t"].encode() for r in picked], [r["l"] for r in picked]
-    del picked
+    # Hashes are even over 64 bits: a bound for each language leaves little more than its share to sort.
+    picked: set[int] = set()
+    wide, missing = 1.5, dict(shares)
+    while missing:
+        most = [(lang, int(min(1.0, wide * (n + 10) / held[lang]) * ((1 << 64) - 1)) - (1 << 63)) for lang, n in missing.items()]
+        bounds = docs.sparkSession.createDataFrame([(lang, min(h, (1 << 63) - 1)) for lang, h in most], "l string, most long")
+        found: dict[str, list[int]] = {}
+        for r in pairs.join(F.broadcast(bounds), "l").where("h <= most").select("l", "h").collect():
+            found.setdefault(r["l"], []).append(r["h"])
+        for lang, n in list(missing.items()):
+            if len(found.get(lang, [])) >= n:
+                picked.update(sorted(found[lang])[:n])
+                del missing[lang]
+        wide *= 4
+    texts, langs = [], []
+    for r in sorted(rows.where(F.col("h").isin(list(picked))).dropDuplicates(["l", "h"]).collect(), key=lambda r: r["h"]):
+        texts.append(r["t"].encode())
+        langs.append(r["l"])
     return Model(texts, langs)
 
 

@@ -244,6 +244,23 @@ def test_language_id(spark):
     assert train(fit.limit(0)) is None and {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
 
 
+def test_language_sample(spark, monkeypatch):
+    """The sample holds distinct texts in equal shares: copies and a rare language don't move it."""
+    from sparkloom.llm import langid
+
+    fitted = []
+    model = langid.Model
+    monkeypatch.setattr(langid, "Model", lambda rows, langs: fitted.append(list(langs)) or model(rows, langs))
+    rows = [(f"the text number {k} of them", "en") for k in range(400)] * 5
+    rows += [(f"el texto numero {k} de ellos", "es") for k in range(300)] + [("der eine", "de"), ("der andere", "de"), (None, "de"), ("x", None)]
+    rows += [("one text that fills the table", "en")] * 3000
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert langid.train(docs, sample=80) is not None
+    assert collections.Counter(fitted[0]) == {"de": 2, "en": 39, "es": 39}
+    few = spark.createDataFrame([(f"text {k}", "en") for k in range(10)] * 500, "text string, lang string")
+    assert langid.train(few, sample=100) is not None and len(fitted[1]) == 10
+
+
 def test_nearest(spark):
     from sparkloom.llm.ann import hilbert, nearest
 
