@@ -23,7 +23,7 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-DIMENSIONS, SAMPLE, READ = 4096, 2000, 8000
+DIMENSIONS, SAMPLE = 4096, 2000
 
 
 def _family(lang: str) -> str:
@@ -57,12 +57,12 @@ def featurize(texts: list[bytes]):
 class Model:
     """Families, their languages and the machines between them."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, x, langs: list[str]):
         import numpy as np
 
         from .linear import svm
 
-        x, y = featurize(texts), np.array(langs)
+        y = np.array(langs)
         groups = np.array([_family(v) for v in langs])
         self.families = {f: sorted(set(y[groups == f].tolist())) for f in sorted(set(groups.tolist()))}
         self.machines: list[tuple[str, str, str]] = []  # (level, for, against)
@@ -113,14 +113,18 @@ def _shares(held: dict[str, int], sample: int) -> dict[str, int]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` distinct labelled texts of up to ``READ`` characters each.
+    """A model of at most ``sample`` distinct labelled texts, whole ones; executors count their trigrams.
 
     Languages share the sample evenly, each with its smallest text hashes; copies
     of a text count once.  The bound is on what is fitted, not on what is judged.
     Null labels and null texts are left out; None if no label is left.
     """
+    import zlib
+
+    import numpy as np
+
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.substring(F.col(text_col), 1, READ).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, lang_col).alias("h"))
+    rows = rows.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, lang_col).alias("h"))
     pairs = Scratch(docs.sparkSession, "langid").save(rows.select("l", "h").distinct(), "pairs")
     held = {r["l"]: r["count"] for r in pairs.groupBy("l").count().collect()}
     shares = {lang: n for lang, n in _shares(held, sample).items() if n}
@@ -140,11 +144,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
                 picked.update(sorted(found[lang])[:n])
                 del missing[lang]
         wide *= 4
-    texts, langs = [], []
-    for r in sorted(rows.where(F.col("h").isin(list(picked))).dropDuplicates(["l", "h"]).collect(), key=lambda r: r["h"]):
-        texts.append(r["t"].encode())
-        langs.append(r["l"])
-    return Model(texts, langs)
+
+    def vectors(batches: Iterator) -> Iterator:
+        import zlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [zlib.compress(featurize([t.encode()]).tobytes(), 1) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["l", "h", "x"])
+
+    # Copies of a text give equal vectors; of each pair one row comes to the driver.
+    chosen = rows.where(F.col("h").isin(list(picked))).dropDuplicates(["l", "h"]).select("l", "h", "t")
+    got = sorted(chosen.mapInArrow(trimmed(vectors), "l string, h long, x binary").collect(), key=lambda r: r["h"])
+    x = np.zeros((len(got), DIMENSIONS), np.float32)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
+    return Model(x, [r["l"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -261,6 +261,17 @@ def test_language_sample(spark, monkeypatch):
     assert langid.train(few, sample=100) is not None and len(fitted[1]) == 10
 
 
+def test_language_whole_texts(spark):
+    """Texts whose languages differ only after a long common start are learned from their ends."""
+    from sparkloom.llm.langid import identify, train
+
+    ends = {"en": "the house and the garden of the king ", "es": "la casa y el jardin del rey de los "}
+    texts = [(k, f"{k} " + "0123 -- " * 1200 + ends[lang] * 300, lang) for k, lang in enumerate(["en", "es"] * 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = identify(docs, train(docs)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in texts}
+
+
 def test_nearest(spark):
     from sparkloom.llm.ann import hilbert, nearest
 
