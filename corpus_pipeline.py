@@ -28,12 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates stays, the one of smallest id.
 
     Five-word shingles and a similarity of 0.8.  Documents without words are in
-    no group and stay; of rows that repeat a kept id, one stays.
+    no group and stay.  An id that stands for several texts has each of them
+    judged; of its rows that are copies or near-duplicates, one stays.
     """
-    judged = near_dup.near_duplicates(docs, width=5, percent=80)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    judged = near_dup.judge(docs, width=5, percent=80).where("kept and doc_id is not null")
+    stay = judged.groupBy("doc_id", "group_key", F.when(F.col("group_key").isNull(), F.col("text_hash")).alias("alone")).agg(F.min("text_hash").alias("text_hash"))
+    left = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    named = left.join(stay.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return named.unionByName(left.where("doc_id is null")).select(*COLUMNS)
 
 

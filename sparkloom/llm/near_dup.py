@@ -51,8 +51,9 @@ def _sketcher(width: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        batch.column(2).slice(a, b - a),
                     ],
-                    names=["doc_id", "n", "fp", "sketch"],
+                    names=["doc_id", "n", "fp", "sketch", "text_hash"],
                 )
 
     return run
@@ -153,12 +154,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are judged by their own text and all returned.  Other
     columns of ``docs`` are ignored.
     """
+    return judge(docs, id_col, text_col, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` with two more columns, since an id may stand for several texts.
+
+    ``text_hash`` is the ``xxhash64`` of the row's text; ``group_key`` names the
+    component itself, and is null for texts without shingles and rows without id.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = scratch.save(docs.mapInArrow(trimmed(_sketcher(width)), "doc_id long, n long, fp binary, sketch array<long>"), "raw")
-    first = raw.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
-    classes = scratch.save(first.select("fp", F.col("r.doc_id").alias("rep"), "r.n", "r.sketch"), "classes")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    raw = scratch.save(docs.mapInArrow(trimmed(_sketcher(width)), "doc_id long, n long, fp binary, sketch array<long>, text_hash long"), "raw")
+    first = raw.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("r"))
+    # A class is named by its fingerprint, not by an id: an id may have several texts.
+    classes = scratch.save(first.select("fp", F.xxhash64("fp").alias("rep"), F.col("r.doc_id").alias("least_id"), "r.text_hash", "r.n", "r.sketch"), "classes")
 
     # Retained values that at least two classes hold, with how many hold them.
     held = classes.select("rep", "n", F.explode("sketch").alias("v"))
@@ -203,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Texts of the documents that are to be verified.
     needed = likely.select(F.col("a").alias("i")).unionByName(likely.select(F.col("b").alias("i"))).unionByName(members.select(F.col("rep").alias("i"))).distinct()
-    # Of a repeated id, the text that made its class: the one with the class's fingerprint.
-    texts = docs.join(needed, docs["doc_id"] == needed["i"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+    # Of each class, the text that made it.
+    made = classes.join(needed, F.col("rep") == F.col("i"), "left_semi").select("rep", F.col("least_id").alias("doc_id"), "text_hash")
+    texts = docs.join(made, ["doc_id", "text_hash"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     texts = scratch.save(texts, "texts")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -216,7 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.save(sure.unionByName(inside), "links")
 
     joined = connected_components(links, scratch)
-    component = classes.select("fp", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    out = raw.select("doc_id", "n", "fp").join(component, "fp", "left")
-    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    grouped = classes.select("fp", "rep", "least_id").join(joined, F.col("rep") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "rep").alias("group_key"))
+    grouped = scratch.save(grouped, "grouped")
+    least_ids = scratch.save(grouped.groupBy("group_key").agg(F.min("least_id").alias("c")), "least")
+    out = raw.select("doc_id", "n", "fp", "text_hash").join(grouped.join(least_ids, "group_key").select("fp", "group_key", "c"), "fp", "left")
+    named = F.col("doc_id").isNotNull()
+    cid = F.when(named, F.coalesce("c", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == cid, F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), kept.alias("kept"), "text_hash", F.when(named, F.col("group_key")).alias("group_key"))

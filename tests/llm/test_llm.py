@@ -73,6 +73,22 @@ def test_near_duplicates(spark, corpus, width):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id), r
 
 
+def test_near_duplicates_of_one_id(spark):
+    """An id on two different texts: each links what it resembles, and only near-duplicates go."""
+    import corpus_pipeline
+    from sparkloom.llm.near_dup import near_duplicates
+
+    rng = random.Random(3)
+    x, y, z = (sentence(rng, 100) for _ in range(3))
+    rows = [(5, x), (5, y), (5, z), (7, x + " more"), (8, y + " more"), (3, z + " more"), (5, ""), (5, z)]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(5, 5, True): 3, (5, 3, False): 2, (7, 5, False): 1, (8, 5, False): 1, (3, 3, True): 1}
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in [*rows, (5, x + " end")]], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    mine = [t for i, t in left if i == 5 and t.startswith(x)]
+    assert len(mine) == 1 and sorted(left) == sorted([(5, mine[0]), (5, y), (5, ""), (3, z + " more")])
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_suffix_dedup(spark, corpus, batches):
     from sparkloom.llm.suffix_dedup import remove_repeats, suffix_dedup
