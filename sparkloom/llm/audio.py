@@ -5,8 +5,9 @@ twelve pitch classes; filters over the integral image of that chroma picture
 compare neighbouring areas, and each filter's value becomes two bits of a packed
 32-bit code, one code for each frame that a whole window fits behind.
 
-Two recordings are aligned by the share of differing bits at every offset where
-they overlap enough, counted exactly by cross-correlation.
+Inverted lists of code parts give the frames of two recordings that agree; a
+histogram of their offsets proposes alignments, which the share of differing
+bits over the whole overlap confirms.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ RATE, FRAME, HOP, WIDTH = 5512, 1024, 344, 16
 FILTERS = [(k % 3, (5 * k) % 9, 3 + k % 2, 4 * (1 + k % 4)) for k in range(16)]
 #: Edges between the four levels of a filter's value.
 LEVELS = (-0.15, 0.0, 0.15)
-QUERIES, RECORDS, ERRORS, OVERLAP = 512, 4096, 0.2, 16
-#: Counts of a pair of chunks at once: pairs times offsets.
-CELLS = 1 << 19
+ERRORS, OVERLAP, VOTES = 0.2, 16, 2
+#: Masks of a code that leave out one third of its filters each.
+THIRDS = (0x003FFFFF, 0xFFFFF800, 0xFFE007FF)
+#: The code of a window without sound: every filter's value is 0, which is in the third of four levels.
+SILENT = -1
 
 
 def decode_wav(data: bytes | None):
@@ -134,96 +137,12 @@ def fingerprint(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, n_codes long, codes array<int>")
 
 
-def _bits(np, flat, at, lens, length: int, kind):
-    """Codes as rows of 32 channels of -1 and 1, with zeros up to ``length`` frames."""
-    out = np.zeros((len(lens), 32, length), kind)
-    shifts = np.arange(32, dtype=np.uint32)[:, None]
-    for k, (s, n) in enumerate(zip(at.tolist(), lens.tolist())):
-        out[k, :, :n] = ((flat[s : s + n] >> shifts) & np.uint32(1)) * kind(2) - kind(1)
-    return out
-
-
-def _hits(np, flat, qs, rs):
-    """All alignments of some queries with some records, each a (starts, lengths) pair: query, record, offset, wrong bits, frames.
-
-    The cross-correlation of all channels counts equal less different bits at
-    every offset, so nothing is left out; counts are whole numbers, which the
-    rounding of the transform's error restores.
-    """
-    (qat, qlen), (rat, rlen) = qs, rs
-    none = np.zeros(0, np.int64)
-    low, high = OVERLAP - int(qlen.max()), int(rlen.max()) - OVERLAP  # offsets that can overlap enough
-    if min(int(qlen.max()), int(rlen.max())) < OVERLAP:
-        return none, none, none, none, none
-    length = _smooth(int(qlen.max()) + int(rlen.max()) - OVERLAP)
-    kind = np.float32 if length <= 4096 else np.float64
-    q = np.fft.rfft(_bits(np, flat, qat, qlen, length, kind), axis=2).conj().transpose(2, 0, 1)
-    r = np.fft.rfft(_bits(np, flat, rat, rlen, length, kind), axis=2).transpose(2, 1, 0)
-    same = np.fft.irfft(np.ascontiguousarray(q) @ np.ascontiguousarray(r), n=length, axis=0)
-    offset = np.arange(low, high + 1)
-    same = np.concatenate([same[low:], same[: high + 1]]) if low < 0 else same[low : high + 1]
-    ql = qlen if (qlen != qlen[0]).any() else qlen[:1]
-    rl = rlen if (rlen != rlen[0]).any() else rlen[:1]
-    shift = offset[:, None, None]
-    frames = np.minimum(ql[None, :, None], rl[None, None, :] - shift) - np.maximum(0, -shift)
-    least = np.where(frames >= OVERLAP, 32.0 * (1 - 2 * ERRORS) * frames - 1.0, np.inf).astype(kind)
-    o, i, j = np.nonzero(same >= least)
-    length = np.broadcast_to(frames, same.shape)[o, i, j]
-    wrong = np.rint((32.0 * length - same[o, i, j]) / 2).astype(np.int64)
-    good = wrong / (32.0 * length) <= ERRORS
-    return i[good], j[good], offset[o[good]], wrong[good], length[good]
-
-
-def _smooth(n: int) -> int:
-    """The next even length that a Fourier transform handles quickly."""
-    best = 1 << (n - 1).bit_length()
-    for f in (3, 5, 9, 15):
-        k = f * 2
-        while k < n:
-            k *= 2
-        best = min(best, k)
-    return max(best, 2)
-
-
-def _chunks(size, mine, theirs):
-    """Pairs of chunks of two lists of rows, of fewer rows where recordings are long."""
-    for a in range(0, len(mine), 64):
-        for b in range(0, len(theirs), 256):
-            q, r = mine[a : a + 64], theirs[b : b + 256]
-            longest = int(size[q].max() + size[r].max())
-            n = max(1, min(64, int((CELLS / longest) ** 0.5)))
-            m = max(1, min(256, CELLS // (longest * n)))
-            for x in range(0, len(q), n):
-                for y in range(0, len(r), m):
-                    yield q[x : x + n], r[y : y + m]
-
-
-def _align(table):
-    import numpy as np
-    import pyarrow as pa
-
-    codes = table.column("codes").combine_chunks()
-    flat, size = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint32), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.cumsum(size) - size
-    ids, query = table.column("class_id").to_numpy(), table.column("query").to_numpy().astype(bool)
-    order = np.argsort(size, kind="stable")  # so that little is padded
-    links, best = {int(i): 0 for i in ids[query]}, {int(i): None for i in ids[query]}
-    for mine, theirs in _chunks(size, order[query[order]], order[~query[order]]):
-        i, j, offset, wrong, frames = _hits(np, flat, (start[mine], size[mine]), (start[theirs], size[theirs]))
-        q, r = ids[mine[i]], ids[theirs[j]]
-        other = q != r
-        q, r, offset, rate = q[other], r[other], offset[other], wrong[other] / (32.0 * frames[other])
-        at = np.lexsort((offset, r, rate, q))
-        for k in at[np.unique(q[at], return_index=True)[1]].tolist():
-            hit, old = (float(rate[k]), int(r[k]), int(offset[k])), best[int(q[k])]
-            best[int(q[k])] = hit if old is None else min(old, hit)
-        # A pair is in one pair of chunks only, so counts add up.
-        pairs = np.unique(np.stack([q, r], axis=1), axis=0)
-        for k, n in zip(*np.unique(pairs[:, 0], return_counts=True)):
-            links[int(k)] += int(n)
-    kind = pa.struct([("error", pa.float64()), ("class_id", pa.int64()), ("offset", pa.int32())])
-    hits = [None if h is None else {"error": h[0], "class_id": h[1], "offset": h[2]} for h in best.values()]
-    return pa.table({"class_id": pa.array(best.keys(), pa.int64()), "links": pa.array(links.values(), pa.int64()), "hit": pa.array(hits, kind)})
+def _votes(classes: DataFrame, name: str) -> DataFrame:
+    """Rows (``key``, ``<name>``, frame, length) for every voting frame and pair of thirds of its code."""
+    code = F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = F.array(*[code.bitwiseAND(F.lit(m)) + F.lit(k << 32) for k, m in enumerate(THIRDS)])
+    frames = classes.select(F.col("class_id").alias(name), F.size("codes").alias(f"{name}_n"), F.posexplode("codes").alias(f"{name}_t", "code"))
+    return frames.where(F.col("code") != SILENT).select(F.explode(keys).alias("key"), name, f"{name}_t", f"{name}_n")
 
 
 def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
@@ -233,36 +152,53 @@ def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
     class_id, n_links, best_class, best_offset, best_error``.  Recordings with
     equal codes are one class, named by its smallest id; ``n_links`` is the
     number of other classes that the row's class aligns with, and null where no
-    recording of the class is a query.  Two classes align if at some offset at
-    least ``OVERLAP`` frames overlap and at most a share of ``ERRORS`` of their
-    bits differs; every offset of every pair is counted.  The best has the
-    smallest bit error, then the smallest id and offset, in frames.  Rows
-    without codes or id have no class.  Queries and records meet in blocks of at most about
-    ``QUERIES`` by ``RECORDS`` classes, and only counts and the best leave one.
+    recording of the class is a query.
+
+    Two classes align if at some offset at least ``OVERLAP`` frames overlap, the
+    offset has ``VOTES`` votes, and at most a share of ``ERRORS`` of the
+    overlap's bits differs.  Two frames give a vote for each pair of thirds of
+    their codes that is equal, so frames whose wrong bits lie in one third still
+    vote; frames of silence don't.  All offsets that reach the floor are
+    compared.  The best has the smallest bit error, then the smallest id and
+    offset, in frames.  Rows without codes or id have no class.
+
+    Inverted lists of the code parts produce the votes.  Lists and queries are
+    saved tables, so that Spark can split a common code over tasks.
     """
     scratch = Scratch(prints.sparkSession, "audio")
     prints = scratch.save(prints.withColumn("fp", F.when((F.col("n_codes") > 0) & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256))), "prints")
     asked = F.max(F.pmod("id", F.lit(step)) == 0)
     classes = prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("class_id"), asked.alias("asked"), F.first("codes").alias("codes"))
     classes = scratch.save(classes, "classes")
-    n, q = classes.agg(F.count("*"), F.count_if("asked")).first()
-    rows, columns = max(1, -(-q // QUERIES)), max(1, -(-n // RECORDS))
-    deal = F.xxhash64("class_id")
-    records = classes.withColumn("c", F.pmod(deal, F.lit(columns))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long")))).withColumn("query", F.lit(False))
-    queries = classes.where("asked").withColumn("r", F.pmod(deal, F.lit(rows))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long")))).withColumn("query", F.lit(True))
-    keep = ["r", "c", "class_id", "query", "codes"]
-    cells = records.select(*keep).unionByName(queries.select(*keep)).groupBy("r", "c")
-    found = cells.applyInArrow(_align, "class_id long, links long, hit struct<error:double,class_id:long,offset:int>")
-    best = found.groupBy("class_id").agg(F.sum("links").alias("n_links"), F.min("hit").alias("hit"))
-    named = classes.select("fp", "class_id").join(best, "class_id", "left")
+    queries, records = classes.where("asked"), classes.select("class_id", "codes")
+
+    wanted = scratch.save(_votes(queries, "q"), "queries")
+    lists = scratch.save(_votes(records, "r").join(wanted.select("key").distinct(), "key", "left_semi"), "lists")
+    offset = F.col("r_t") - F.col("q_t")
+    overlap = F.least(F.col("q_n"), F.col("r_n") - offset) - F.greatest(F.lit(0), -offset)
+    met = lists.join(wanted, "key").where((F.col("q") != F.col("r")) & (overlap >= OVERLAP))
+    peaks = met.groupBy("q", "r", offset.alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
+    pairs = scratch.save(peaks.groupBy("q", "r").agg(F.collect_list("offset").alias("offsets")), "pairs")
+
+    sides = pairs.join(queries.select(F.col("class_id").alias("q"), F.col("codes").alias("x")), "q").join(records.select(F.col("class_id").alias("r"), F.col("codes").alias("y")), "r")
+    tried = sides.select("q", "r", "x", "y", F.explode("offsets").alias("offset"))
+    tried = tried.withColumn("frames", F.expr("least(size(x), size(y) - offset) - greatest(0, -offset)"))
+    wrong = "aggregate(zip_with(slice(x, greatest(0, -offset) + 1, frames), slice(y, greatest(0, offset) + 1, frames), (a, b) -> bit_count((a ^ b) & 4294967295L)), 0, (n, d) -> n + d)"
+    tried = tried.withColumn("error", F.expr(wrong) / (F.col("frames") * 32.0)).where(F.col("error") <= ERRORS)
+    linked = tried.groupBy("q", "r").agg(F.min(F.struct("error", "r", "offset")).alias("hit"))
+    best = linked.groupBy(F.col("q").alias("class_id")).agg(F.count("*").alias("n_links"), F.min("hit").alias("hit"))
+    best = scratch.save(best, "best")
+
+    named = classes.select("fp", "class_id", "asked").join(best, "class_id", "left")
+    named = named.withColumn("n_links", F.when(F.col("asked"), F.coalesce("n_links", F.lit(0).cast("long"))))
     out = prints.select("id", "n_codes", "fp").join(named, "fp", "left")
-    return out.select("id", "n_codes", "class_id", "n_links", F.col("hit.class_id").alias("best_class"), F.col("hit.offset").alias("best_offset"), F.col("hit.error").alias("best_error"))
+    return out.select("id", "n_codes", "class_id", "n_links", F.col("hit.r").alias("best_class"), F.col("hit.offset").alias("best_offset"), F.col("hit.error").alias("best_error"))
 
 
 def melody(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", segments: int = 32) -> DataFrame:
-    """Recordings made from vectors (``id, media``): two notes for each of ``segments`` eighths of a second.
+    """Recordings made from vectors (``id, media``): two notes for each eighth of a second, ``segments`` of them at least.
 
-    The components, in turn, choose notes of two octaves by their size, so equal
+    All components, in turn, choose notes of two octaves by their size, so equal
     vectors sound equal and close ones alike.  A null or empty vector, or one
     with a component that is null or not finite, has null media.
     """
@@ -281,7 +217,7 @@ def melody(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 if not len(x) or not np.isfinite(x).all():
                     media.append(None)
                     continue
-                x = np.resize(x / max(1e-12, np.linalg.norm(x)) * np.sqrt(len(x)), 2 * segments)
+                x = np.resize(x / max(1e-12, np.linalg.norm(x)) * np.sqrt(len(x)), max(2 * segments, len(x) + len(x) % 2))
                 k = np.clip(((np.tanh(x) + 1) * 12).astype(int), 0, 23)
                 media.append(encode_wav((notes[k[0::2]] + notes[k[1::2]]).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["id", "media"])
