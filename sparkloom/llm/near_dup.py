@@ -5,35 +5,40 @@ hashes; the inverted lists of retained values propose pairs, the sketch of a
 pair's union estimates its similarity, and pairs that may reach the threshold
 are confirmed on their full shingle sets.
 
-Two sets with similarity of 0.8 share each of the smallest values of their union
-with probability 0.8, so they share at least ``SHARED`` of ``SKETCH`` retained
-values except with a probability of about one in a million, and far less for
-closer pairs.  By the prefix-filter principle it is then enough to index the
-``SKETCH - SHARED + 1`` rarest retained values of each document.  Passages that
-many documents share are never among the rarest, so their lists stay short.
-
-Work on hot groups stays bounded: documents with equal sets are one class from
-the start; a retained value that ``HOT`` or more classes index is not expanded
-into pairs, but its documents form groups whose blocks of about ``BLOCK``
-documents are compared exactly, two blocks to a task, and only links that
-connect something new within the task leave it.
+Two sets at the threshold share each of the smallest values of their union with
+that probability, so the values that two sketches share follow a binomial
+distribution at worst; ``least_shared`` is the number that is reached except
+with a probability of ``MISS``, which is far smaller for closer pairs.  With
+``sketch=None`` sketches are whole sets and no pair is missed.  By the
+prefix-filter principle it is enough to index the rarest retained values of each
+document, so many that two similar documents must meet in one.  Passages that
+many documents share are seldom among the rarest, so their lists stay short.
+
+A list proposes its pairs in rounds.  In each, a few of its documents, the
+centres, meet all others that are not yet in their component, and leave the
+list; their number grows from round to round.  Centres come from outside the
+list's largest component, so a list of near copies needs one or two rounds and
+pairs in proportion to its length, and it is done as soon as one component holds
+what is left.  Nothing is dropped: a pair goes unseen only if both are connected
+already.  Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .workers import trimmed, trimmed_group
+from .workers import trimmed
 
-SKETCH, SHARED, HOT, BLOCK = 64, 36, 64, 256
+SKETCH, MISS, CENTRES = 64, 1e-6, 16
 
 
-def _sketcher(width: int):
+def _sketcher(width: int, sketch: int | None):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -50,7 +55,7 @@ def _sketcher(width: int):
                         batch.column(0).slice(a, b - a).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([s[:sketch].view(np.int64) for s in sets], pa.list_(pa.int64())),
                         batch.column(2).slice(a, b - a),
                     ],
                     names=["doc_id", "n", "fp", "sketch", "text_hash"],
@@ -90,60 +95,23 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _block_links(width: int, percent: int):
-    """All links within one pair of blocks, reduced to a spanning forest."""
+def least_shared(sketch: int, percent: int, miss: float) -> int:
+    """The most values that two sketches of similar sets share, but for a probability below ``miss``.
 
-    def run(table):
-        import numpy as np
-        import pyarrow as pa
-
-        from .texthash import as_bytes, pieces, shingle_sets
-
-        rows = {}
-        for i, t, s in zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("own").to_pylist()):
-            rows[i] = (t, s)
-        ids = np.array(sorted(rows), np.int64)
-        texts, side = [rows[i][0] for i in ids.tolist()], np.array([rows[i][1] for i in ids.tolist()])
-        sets: list = []
-        for a, b in pieces(texts):
-            sets += shingle_sets(texts[a:b], width)
-        size = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), size)
-        value, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)[1:]
-        shared = count[value] > 1
-        owner, value = owner[shared], value[shared]
-        order = np.argsort(value, kind="stable")
-        owner, value = owner[order], value[order]
-        both = np.zeros((len(sets), len(sets)), np.float64)
-        at = 0
-        while at < len(value):  # a slice of about 4096 distinct values at a time
-            end = int(np.searchsorted(value, value[at] + 4096))
-            _, column = np.unique(value[at:end], return_inverse=True)
-            dense = np.zeros((len(sets), int(column.max()) + 1), np.float32)
-            dense[owner[at:end], column] = 1
-            both += dense @ dense.T
-            at = end
-        linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-        if len(set(side.tolist())) > 1:
-            linked &= side[:, None] != side[None, :]
-        np.fill_diagonal(linked, False)
-        seen, edges = np.zeros(len(sets), bool), []
-        for root in range(len(sets)):
-            if seen[root]:
-                continue
-            seen[root], todo = True, [root]
-            while todo:
-                x = todo.pop()
-                new = np.flatnonzero(linked[x] & ~seen)
-                seen[new] = True
-                todo += new.tolist()
-                edges += [(int(ids[x]), int(ids[y])) for y in new.tolist()]
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+    Each of the ``sketch`` smallest values of the union is in both sets with a
+    probability of at least ``percent`` hundredths.
+    """
+    from math import comb
 
-    return run
+    p, below = percent / 100.0, 0.0
+    for m in range(sketch + 1):
+        below += comb(sketch, m) * p**m * (1 - p) ** (sketch - m)
+        if below > miss:
+            return m
+    return sketch
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch: int | None = SKETCH) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Links documents whose shingle sets of ``width`` words have a similarity of at
@@ -152,22 +120,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and stand alone.  Equal texts are always linked.  A row with a null id has
     its set counted, links nothing, gets a null ``component_id`` and is kept.
     Rows that repeat an id are judged by their own text and all returned.  Other
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored.  A link is missed with a probability of
+    ``MISS`` at most, and never with ``sketch=None``, which indexes whole sets.
     """
-    return judge(docs, id_col, text_col, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    return judge(docs, id_col, text_col, width, percent, sketch).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sketch: int | None = SKETCH) -> DataFrame:
     """``near_duplicates`` with two more columns, since an id may stand for several texts.
 
     ``text_hash`` is the ``xxhash64`` of the row's text; ``group_key`` names the
     component itself, and is null for texts without shingles and rows without id.
     """
     spark = docs.sparkSession
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    shared = least_shared(sketch, percent, MISS) if sketch else 0
+    if sketch and not shared:
+        raise ValueError(f"sketches of {sketch} values can't find pairs of {percent} %: take more, or None")
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    raw = scratch.save(docs.mapInArrow(trimmed(_sketcher(width)), "doc_id long, n long, fp binary, sketch array<long>, text_hash long"), "raw")
+    raw = scratch.save(docs.mapInArrow(trimmed(_sketcher(width, sketch)), "doc_id long, n long, fp binary, sketch array<long>, text_hash long"), "raw")
     first = raw.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("r"))
     # A class is named by its fingerprint, not by an id: an id may have several texts.
     classes = scratch.save(first.select("fp", F.xxhash64("fp").alias("rep"), F.col("r.doc_id").alias("least_id"), "r.text_hash", "r.n", "r.sketch"), "classes")
@@ -177,58 +151,64 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     # Saved first: a join of two plain shuffles can split a very common value over tasks.
     df = scratch.save(held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "df")
     common = held.join(df, "v")
-    least = F.when(F.col("n") >= SKETCH, SHARED).otherwise(F.least(F.ceil(F.col("n") * (percent / 100.0)), F.lit(48)))
-    budget = (F.least("n", F.lit(SKETCH)) - least + 1).cast("int")
+    bound = sketch or (1 << 31) - 1  # what a whole set never reaches
+    kept_values = F.least("n", F.lit(bound)).cast("int")
+    # Similar sets share a part of the smaller one; both sketches are whole sets below the bound.
+    least = F.ceil(F.col("n") * (percent / 100.0) - 1e-9)
+    if sketch:
+        least = F.when(F.col("n") >= sketch, F.lit(shared)).otherwise(F.least(least, F.lit(least_shared(sketch, percent, MISS))))
+    budget = (kept_values - least + 1).cast("int")
     # Values of one class only come first among the rarest; they need no row here.
     by_doc = common.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    left = F.greatest(F.lit(0), F.least(F.size("vs"), budget - (F.least("n", F.lit(SKETCH)).cast("int") - F.size("vs"))))
+    left = F.greatest(F.lit(0), F.least(F.size("vs"), budget - (kept_values - F.size("vs"))))
     keys = by_doc.select("rep", "n", F.explode(F.slice("vs", F.lit(1), left)).alias("k")).select("rep", "n", F.col("k.v").alias("v"))
     keys = scratch.save(keys, "keys")
-    lists = scratch.save(keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "lists")
-
-    # Short lists: pairs of their members, estimated by the union's sketch.
-    short = keys.join(lists.where(F.col("m") <= HOT).select("v"), "v")
-    other = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (F.col("rep") < F.col("b"))
-    pairs = short.join(other, "v").where(near).select(F.col("rep").alias("a"), "b").distinct()
     sa = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     top = "9223372036854775807L"
     unsigned = "(x ^ (-9223372036854775807L - 1L))"  # hashes are ordered as unsigned
-    last = f"least(if(na < {SKETCH}, {top}, transform(slice(sa, -1, 1), x -> {unsigned})[0]), if(nb < {SKETCH}, {top}, transform(slice(sb, -1, 1), x -> {unsigned})[0]))"
-    estimate = pairs.join(sa, "a").join(sb, "b").withColumn("last", F.expr(last))
-    estimate = estimate.withColumn("i", F.expr(f"size(filter(array_intersect(sa, sb), x -> {unsigned} <= last))"))
-    estimate = estimate.withColumn("u", F.expr(f"size(filter(array_union(sa, sb), x -> {unsigned} <= last))"))
-    whole = (F.col("na") < SKETCH) & (F.col("nb") < SKETCH)
-    likely = F.when(whole, 100 * F.col("i") >= percent * F.col("u")).otherwise(F.col("i") * SKETCH >= F.col("u") * SHARED)
-    likely = scratch.save(estimate.where(likely).select("a", "b"), "likely")
-
-    # Long lists: groups of documents, each with all long lists it touches.
-    hot = scratch.save(keys.join(lists.where(F.col("m") > HOT).select("v"), "v").select("v", "rep"), "hot")
-    home = hot.groupBy("rep").agg(F.min("v").alias("home"))
-    ties = hot.join(home, "rep").where("v <> home").select(F.col("v").alias("x"), "home").distinct()
-    tied = connected_components(ties, scratch, "hotlists")
-    members = home.join(tied, F.col("home") == F.col("node"), "left").select("rep", F.coalesce("component", "home").alias("g"))
-    members = scratch.save(members, "members")
-    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-    # Texts of the documents that are to be verified.
-    needed = likely.select(F.col("a").alias("i")).unionByName(likely.select(F.col("b").alias("i"))).unionByName(members.select(F.col("rep").alias("i"))).distinct()
-    # Of each class, the text that made it.
-    made = classes.join(needed, F.col("rep") == F.col("i"), "left_semi").select("rep", F.col("least_id").alias("doc_id"), "text_hash")
-    texts = docs.join(made, ["doc_id", "text_hash"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    texts = scratch.save(texts, "texts")
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    sure = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(width, percent)), "a long, b long")
-    grid = members.join(texts, members["rep"] == texts["doc_id"]).select("g", "blocks", "own", "doc_id", "text")
-    grid = grid.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    grid = grid.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    inside = grid.groupBy("g", "lo", "hi").applyInArrow(trimmed_group(_block_links(width, percent)), "a long, b long")
-    links = scratch.save(sure.unionByName(inside), "links")
-
-    joined = connected_components(links, scratch)
+    last = f"least(if(na < {bound}, {top}, transform(slice(sa, -1, 1), x -> {unsigned})[0]), if(nb < {bound}, {top}, transform(slice(sb, -1, 1), x -> {unsigned})[0]))"
+    whole = (F.col("na") < bound) & (F.col("nb") < bound)
+    likely = F.when(whole, 100 * F.col("i") >= percent * F.col("u")).otherwise(F.col("i") * bound >= F.col("u") * shared)
+
+    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (``a, b``) that are links: estimated by the union's sketch, confirmed on full sets."""
+        estimate = pairs.join(sa, "a").join(sb, "b").withColumn("last", F.expr(last))
+        estimate = estimate.withColumn("i", F.expr(f"size(filter(array_intersect(sa, sb), x -> {unsigned} <= last))"))
+        estimate = estimate.withColumn("u", F.expr(f"size(filter(array_union(sa, sb), x -> {unsigned} <= last))"))
+        open_ = scratch.save(estimate.where(likely).select("a", "b"), f"likely-{label}")
+        needed = open_.select(F.col("a").alias("rep")).unionByName(open_.select(F.col("b").alias("rep"))).distinct()
+        # Of each class, the text that made it.
+        made = classes.join(needed, "rep", "left_semi").select("rep", F.col("least_id").alias("doc_id"), "text_hash")
+        texts = scratch.save(docs.join(made, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), f"texts-{label}")
+        ta, tb = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+        sure = open_.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(width, percent)), "a long, b long")
+        sure = scratch.save(sure, f"links-{label}")
+        scratch.drop(f"likely-{label}")
+        scratch.drop(f"texts-{label}")
+        return sure
+
+    left_in, links, joined = keys, None, spark.createDataFrame([], "node long, component long")
+    for k in count():
+        if links is not None:
+            joined = connected_components(links, scratch, f"cc{k}")
+        within = left_in.select("v", "rep", "n").join(joined, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        within = scratch.save(within, f"within-{k}")
+        parts = within.groupBy("v", "c").agg(F.count("*").alias("z")).groupBy("v").agg(F.max(F.struct("z", "c")).alias("most"), F.sum("z").alias("m"), F.count("*").alias("d"))
+        spans = scratch.save(parts.where("d > 1").select("v", F.col("most.c").alias("most"), (F.col("m") - F.col("most.z")).alias("others")), f"spans-{k}")
+        if spans.isEmpty():
+            break
+        chance = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        centre = (F.col("c") != F.col("most")) & (chance * F.col("others") < CENTRES * 8.0**k)
+        # Saved: a join of two plain shuffles can split a list that holds very many documents.
+        left_in = scratch.save(within.join(spans, "v").select("v", "rep", "n", "c", centre.alias("centre")), f"open-{k}")
+        other = left_in.where("centre").select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        near = (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (F.col("c") != F.col("cb"))
+        pairs = left_in.join(other, "v").where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+        found = confirmed(pairs, str(k))
+        links = found if links is None else links.unionByName(found)
+        left_in = left_in.where("not centre")
+
     grouped = classes.select("fp", "rep", "least_id").join(joined, F.col("rep") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "rep").alias("group_key"))
     grouped = scratch.save(grouped, "grouped")
     least_ids = scratch.save(grouped.groupBy("group_key").agg(F.min("least_id").alias("c")), "least")

@@ -28,7 +28,7 @@ def corpus():
         chain = list(chain)
         chain[rng.randrange(len(chain))] = f"edit{k}"
         texts.append(" ".join(chain))
-    for _ in range(90):  # more than HOT
+    for _ in range(90):  # a long list
         near = base.split()
         for _ in range(rng.randrange(1, 9)):
             near[rng.randrange(len(near))] = sentence(rng, 1)
@@ -49,11 +49,12 @@ def shingles(t, width):
     return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates(spark, corpus, width):
-    from sparkloom.llm.near_dup import near_duplicates
+@pytest.mark.parametrize("width,percent,sketch,centres", [(4, 80, 64, 16), (5, 80, 64, 1), (5, 60, 64, 16), (5, 35, None, 2), (2, 90, 32, 16)])
+def test_near_duplicates(spark, corpus, monkeypatch, width, percent, sketch, centres):
+    from sparkloom.llm import near_dup
 
-    got = near_duplicates(frame(spark, corpus), width=width).collect()
+    monkeypatch.setattr(near_dup, "CENTRES", centres)
+    got = near_dup.near_duplicates(frame(spark, corpus), width=width, percent=percent, sketch=sketch).collect()
     sets = {i: shingles(t, width) for i, t in corpus if i is not None}
     root = {i: i for i in sets}
 
@@ -62,7 +63,7 @@ def test_near_duplicates(spark, corpus, width):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert len(got) == len(corpus)
@@ -367,12 +368,10 @@ def test_audio(spark):
     assert align_recordings(prints.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cells", [1 << 19, 1 << 12])
-def test_audio_every_offset(spark, monkeypatch, cells):
-    """Links and the best against the bit error at every offset of every pair; noisy copies share few whole codes."""
+def test_audio_every_offset(spark):
+    """Links and the best against votes and bit error at every offset of every pair; noisy copies share few whole codes."""
     from sparkloom.llm import audio
 
-    monkeypatch.setattr(audio, "CELLS", cells)
     rng = np.random.default_rng(1)
     lists = []
     for n in (47, 47, 60, 20, 16, 10, 150):
@@ -380,10 +379,10 @@ def test_audio_every_offset(spark, monkeypatch, cells):
         for noise in (0.0, 0.1, 0.18, 0.2, 0.22):
             flips = (rng.random((n, 32)) < noise) @ (1 << np.arange(32, dtype=np.uint64))
             lists.append((base ^ flips.astype(np.uint32))[int(rng.integers(0, 4)) :])
-    lists += [np.zeros(50, np.uint32), np.zeros(30, np.uint32)]  # silence aligns at many offsets
+    lists += [np.zeros(50, np.uint32), np.zeros(30, np.uint32)]  # a held chord aligns at many offsets
     prints = [(k, len(c), c.view(np.int32).tolist()) for k, c in enumerate(lists)]
     got = {r.id: r for r in audio.align_recordings(spark.createDataFrame(prints, "id long, n_codes long, codes array<int>"), step=2).collect()}
-    sparse = 0
+    sparse = lost = 0
     for i in range(0, len(lists), 2):
         links, best = set(), (2.0, None, None)
         for j in range(len(lists)):
@@ -394,12 +393,18 @@ def test_audio_every_offset(spark, monkeypatch, cells):
                     continue
                 differ = np.bitwise_count(a[start:end] ^ c[start + offset : end + offset])
                 rate = float(differ.sum()) / (32.0 * (end - start))
-                if rate <= audio.ERRORS:
+                x, y = a[start:end], c[start + offset : end + offset]
+                sound = (x != 0xFFFFFFFF) & (y != 0xFFFFFFFF)
+                votes = sum(int((((x ^ y) & np.uint32(m)) == 0)[sound].sum()) for m in audio.THIRDS)
+                lost += rate <= audio.ERRORS and votes < audio.VOTES
+                if rate <= audio.ERRORS and votes >= audio.VOTES:
                     links.add(j)
                     sparse += (differ == 0).sum() < 6
                     best = min(best, (rate, j, offset))
         assert (got[i].n_links, got[i].best_class, got[i].best_offset) == (len(links), best[1], best[2])
-    assert sparse > 10
+    assert sparse > 10 and lost < sparse
+    same = [(k, 40, [-1] * 40) for k in range(2)] + [(2, 30, [-1] * 30)]  # silence alone aligns nothing
+    assert {r.n_links for r in audio.align_recordings(spark.createDataFrame(same, "id long, n_codes long, codes array<int>"), step=1).collect()} == {0}
 
 
 def test_empty_tables(spark):
