@@ -3,17 +3,18 @@
 Every vector is projected ``CURVES`` times to a few dimensions with other
 rotations and shifts, and ordered along a Hilbert curve each time.  Spark range-
 partitions all orderings by (curve, key); ranks along a curve are cut into
-blocks.  A query looks into the blocks around its own rank on each curve; what
+cells.  A query looks into the cells around its own rank on each curve; what
 the windows find is merged and reranked by exact inner products.
 
 For inner products of vectors of any length, candidates get one more component
 that brings all to the greatest length, and queries are scaled to it (Bachrach
 et al., 2014): the largest product is then the smallest distance.
 
-The share of a curve that a window must span depends on the data: a sample of at
-most ``SAMPLE`` vectors is searched by brute force and by the curves, and the
-narrowest window that finds ``GOAL`` of the true neighbours is taken.  On vectors
-without any structure that is a large share, as for every index.
+How far a window must reach depends on the data and the table's size, so it is
+measured on the table: ``PROBES`` queries are searched by brute force over all
+rows, and the reach is the one that finds ``GOAL`` of their true neighbours.  On
+vectors without any structure that is a large part of a curve, as for every
+index; cells stay of one size, and only their number for each query grows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
+from .workers import trimmed, trimmed_group
 
-CURVES, DIMS, BITS, SAMPLE, GOAL, BLOCK = 6, 6, 8, 4000, 0.96, 4096
+CURVES, DIMS, BITS, SAMPLE, PROBES, GOAL = 6, 6, 8, 4000, 100, 0.96
+#: Rows of a curve that are searched together, and queries that do so at once.
+CELL, QUERIES = 2048, 4096
 
 
 class Curves:
@@ -94,19 +98,48 @@ def hilbert(x, bits: int):
     return key
 
 
-def fit(sample, longest: float, k: int) -> tuple[Curves, float]:
-    """Curves, and the half width of a window as a share of all rows."""
+def _brute(probes, ids, k: int):
+    """Running top ``k`` of every probe over a partition's rows, by inner product."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            if not len(rows):
+                continue
+            s = probes @ x.T
+            s[ids[:, None] == rows[None, :]] = -np.inf  # a probe isn't its own neighbour
+            for q in range(len(ids)):
+                score, row = np.concatenate([best[q][0], s[q]]), np.concatenate([best[q][1], rows])
+                keep = np.lexsort((row, -score))[:k]
+                best[q] = (score[keep], row[keep])
+        out = [(int(i), r, v) for i, (score, row) in zip(ids, best) for v, r in zip(score.tolist(), row.tolist()) if v > -np.inf]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _reach(rows: DataFrame, ranked: DataFrame, k: int, step: int) -> int:
+    """How far along a curve a window must reach, so that ``GOAL`` of the true neighbours of ``PROBES`` queries lie in one."""
     import numpy as np
 
-    curves = Curves(sample, longest)
-    q = sample[:: max(1, len(sample) // 150)]
-    true = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
-    keys = curves.keys(sample, False)
-    rank = np.argsort(np.argsort(keys, axis=1, kind="stable"), axis=1)
-    near = np.stack([np.searchsorted(np.sort(a), b) for a, b in zip(keys, curves.keys(q, True))])
-    gap = np.min(np.abs(np.take_along_axis(rank[:, None, :].repeat(len(q), 1), true[None].repeat(CURVES, 0), 2) - near[:, :, None]), axis=0)
-    share = float(np.quantile(gap / len(sample), GOAL)) if gap.size else 1.0
-    return curves, share
+    probes = rows.where(F.pmod("vec_id", F.lit(step)) == 0).orderBy(F.xxhash64("vec_id")).limit(PROBES).collect()
+    if not probes:
+        return 0
+    ids = np.array([r["vec_id"] for r in probes], np.int64)
+    near = rows.mapInArrow(trimmed(_brute(np.array([r["v"] for r in probes], np.float64), ids, k)), "query_id long, vec_id long, score double")
+    turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = near.withColumn("t", F.row_number().over(turn)).where(F.col("t") <= k).select("query_id", "vec_id").collect()  # PROBES times k rows
+    wanted = sorted({int(i) for i in ids} | {r["vec_id"] for r in true})
+    place: dict[tuple, int] = {}
+    for r in ranked.where(F.col("vec_id").isin(wanted)).select("curve", "vec_id", "query", "rank").collect():
+        place[r["curve"], r["vec_id"], r["query"]] = r["rank"]
+    gaps = [min(abs(place[c, r["query_id"], True] - place[c, r["vec_id"], False]) for c in range(CURVES)) for r in true]
+    return int(np.ceil(np.quantile(gaps, GOAL))) if gaps else 0
 
 
 def _keyed(curves: Curves, step: int):
@@ -172,7 +205,8 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, id_col: str = "vec_
     null id, and vectors that are null, zero, hold null or non-finite components
     or have another length than most, take no part.  Equal vectors compete by
     id, so only the ``k + 1`` smallest ids of each can be a neighbour and are
-    indexed; rows that repeat an id count once.  Other columns are ignored.
+    indexed; rows that repeat an id count once.  Every query gets ``k`` rows, or all
+    candidates if there are fewer.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -196,9 +230,9 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, id_col: str = "vec_
     total, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, 2.0 * SAMPLE / total)))).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in picked], np.float64) if picked else np.array([rows.first()["v"]], np.float64)
-    curves, share = fit(sample, longest, k)
+    curves = Curves(sample, longest)
 
-    keyed = rows.mapInArrow(_keyed(curves, step), "curve int, key long, vec_id long, query boolean, v array<double>")
+    keyed = rows.mapInArrow(trimmed(_keyed(curves, step)), "curve int, key long, vec_id long, query boolean, v array<double>")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = keyed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id", "query")
     mono = F.monotonically_increasing_id()
@@ -209,16 +243,40 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, id_col: str = "vec_
         base[r["curve"], r["part"]] = sizes.get(r["curve"], 0) - r["first"]
         sizes[r["curve"]] = sizes.get(r["curve"], 0) + r["n"]
     starts = spark.createDataFrame([(c, p, o) for (c, p), o in base.items()], "curve int, part long, base long")
-    most = max(sizes.values())
-    reach = max(1, int(np.ceil(share * most)))
-    block = max(BLOCK, -(-reach // 4))
     ranked = ordered.join(F.broadcast(starts), ["curve", "part"]).withColumn("rank", F.col("pos") + F.col("base"))
-    own = F.floor(F.col("rank") / block).cast("int")
-    last = (most - 1) // block
-    low, high = F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / block)).cast("int"), F.least(F.lit(last), F.floor((F.col("rank") + reach) / block)).cast("int")
-    cells = ranked.where("not query").withColumn("cell", own).select("curve", "cell", "vec_id", "query", "v")
-    asked = ranked.where("query").withColumn("cell", F.explode(F.sequence(low, high))).select("curve", "cell", "vec_id", "query", "v")
-    found = cells.unionByName(asked).groupBy("curve", "cell").applyInArrow(_search(k), "query_id long, hits array<struct<score:double,vec_id:long>>")
+    reach, most = max(k + 1, _reach(rows, ranked, k, step)), max(sizes.values())
+    while True:
+        found = scratch.save(_windows(ranked, scratch, reach, most, k), f"found-{reach}")
+        # A window may hold few candidates among many queries: then all look further.
+        full = found.where(F.size("hits") >= min(k, total - 1)).count()
+        if reach >= most or full == found.count() == rows.where(F.pmod("vec_id", F.lit(step)) == 0).count():
+            break
+        reach *= 4
+    return found.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))
+
+
+def _windows(ranked: DataFrame, scratch: Scratch, reach: int, most: int, k: int) -> DataFrame:
+    """``query_id, hits``: the best of all cells within ``reach`` of a query on any curve.
+
+    A cell holds ``CELL`` consecutive rows of a curve; where more than
+    ``QUERIES`` queries look into one, they are dealt over copies of it, so no
+    group grows with the table.
+    """
+    own, last = F.floor(F.col("rank") / CELL).cast("int"), (most - 1) // CELL
+    low, high = F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / CELL)).cast("int"), F.least(F.lit(last), F.floor((F.col("rank") + reach) / CELL)).cast("int")
+    cells = ranked.where("not query").withColumn("cell", own)
+    asked = ranked.where("query").withColumn("cell", F.explode(F.sequence(low, high)))
+    busy = asked.groupBy("curve", "cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1")
+    busy = scratch.save(busy, f"busy-{reach}")
+    if busy.isEmpty():
+        cells, asked = cells.withColumn("copy", F.lit(0)), asked.withColumn("copy", F.lit(0))
+    else:
+        copies = F.coalesce("copies", F.lit(1))
+        cells = cells.join(busy, ["curve", "cell"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        asked = asked.join(busy, ["curve", "cell"], "left").withColumn("copy", F.pmod(F.xxhash64("vec_id"), copies).cast("int"))
+    names = ["curve", "cell", "copy", "vec_id", "query", "v"]
+    met = cells.select(*names).unionByName(asked.select(*names)).groupBy("curve", "cell", "copy")
+    found = met.applyInArrow(trimmed_group(_search(k)), "query_id long, hits array<struct<score:double,vec_id:long>>")
     merged = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     best = F.expr(f"slice(array_sort(hits, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.vec_id < b.vec_id then -1 when a.vec_id > b.vec_id then 1 else 0 end), 1, {k})")
-    return merged.select("query_id", F.posexplode(best).alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))
+    return merged.select("query_id", best.alias("hits"))

@@ -319,6 +319,31 @@ def test_nearest(spark):
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()  # neighbours along the curve are neighbours in space
 
 
+def test_nearest_over_many_cells(spark, monkeypatch):
+    """The index's recall where cells are small, copied and far fewer than all are searched; lengths differ."""
+    from sparkloom.llm import ann
+
+    monkeypatch.setattr(ann, "CELL", 256)
+    monkeypatch.setattr(ann, "QUERIES", 8)
+    rng = np.random.default_rng(7)
+    n = 12000
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 24))) * rng.uniform(0.5, 2, (n, 1))
+    searched = []
+    search = ann._windows
+    monkeypatch.setattr(ann, "_windows", lambda ranked, scratch, reach, most, k: searched.append(reach / most) or search(ranked, scratch, reach, most, k))
+    df = spark.createDataFrame([(int(k), [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, k=20, step=20).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in range(0, n, 20)) and len(got) == n // 20
+    hit = 0
+    for q in got:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got) and searched[-1] < 0.25
+
+
 def test_token_store(spark, corpus):
     import public_tokenizers as P
     from tokenizers import Tokenizer
