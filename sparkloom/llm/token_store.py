@@ -10,7 +10,9 @@ followed the previous id, and the previous two, are candidates with a small
 confidence.  Three adaptive estimates, of order 0 (none), 1 (confidence of the
 first) and 2 (of the second), say how likely the next id is the one candidate,
 the other, or neither; they are mixed with weights that follow which of them did
-best.  Other ids cost an adaptive code for their number of bits and those bits.
+best.  What neither predicts goes to the adaptive id frequencies of order 0:
+``KNOWN`` ids of the block, each with its count.  An id that isn't among them
+costs an adaptive code for its number of bits and those bits.
 
 A stripe is one row of a Parquet table, the container that every store that
 Spark writes to can hold: document ids and lengths beside the coded blocks.
@@ -30,7 +32,7 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 from .workers import trimmed
 
-MAGIC, BLOCK, LANES, SLOTS, SMALL = b"TKB1", 2048, 1024, 1024, 100_000
+MAGIC, BLOCK, LANES, SLOTS, KNOWN, SMALL = b"TKB2", 2048, 1024, 1024, 256, 100_000
 _U = np.uint64
 _LIMIT = _U(1 << 48)
 
@@ -54,6 +56,10 @@ class _Model:
         self.rate = np.array([1 / 32, 1 / 16, 1 / 16], np.float32)[:, None, None]
         self.size = np.ones((lanes, 17), np.int32) * 4
         self.cum = None
+        # Order 0: the id in each slot, how often it came, and whether ids missed by the others were known.
+        self.ids = np.full(lanes * KNOWN, -1, np.int32)
+        self.count = np.ones((lanes, KNOWN), np.int32)
+        self.known = np.ones((lanes, 2), np.int32) * 8
         self.step = 0
 
     def look(self):
@@ -76,8 +82,22 @@ class _Model:
             share = 1 + self.size * (4096 - 17) // total
             share[:, 0] += 4096 - share.sum(axis=1)
             self.cum = np.concatenate([np.zeros((self.n, 1), np.int64), np.cumsum(share, axis=1)], axis=1)
+        if self.step % 64 == 0:
+            share = 1 + self.count * (4096 - KNOWN) // self.count.sum(axis=1, keepdims=True)
+            share[:, 0] += 4096 - share.sum(axis=1)
+            self.cum0 = np.zeros((self.n, KNOWN + 1), np.int64)
+            np.cumsum(share, axis=1, out=self.cum0[:, 1:])
         self.step += 1
 
+    @staticmethod
+    def slot(x):
+        return ((x * 40503) >> 4) % KNOWN
+
+    def chance(self, miss):
+        """Of 4096: that an id which order 1 and 2 didn't predict is known to order 0."""
+        hits = self.known[miss]
+        return np.clip(hits[:, 0] * 4096 // hits.sum(axis=1), 64, 4032).astype(np.int64)
+
     def learn(self, x, event, bits):
         """``event``: 0 second's candidate, 1 first's, 2 neither."""
         p, first, second = self.p, event == 1, event == 0
@@ -91,7 +111,15 @@ class _Model:
         w = np.maximum(w, np.float32(0.02))
         self.weight = w * (1 / (w[0] + w[1] + w[2]))
         miss = np.flatnonzero(event == 2)
-        self.size[miss, bits[miss]] += 8
+        ids = x[miss]
+        slot = self.slot(ids)
+        at = miss * KNOWN + slot
+        same = self.ids[at] == ids
+        self.known[miss, np.where(same, 0, 1)] += 1
+        self.ids[at] = ids
+        self.count[miss, slot] = np.where(same, self.count[miss, slot] + 12, 12)
+        new = miss[~same]
+        self.size[new, bits[new]] += 8
         for table, at in ((self.first, self.a1), (self.second, self.a2)):
             v = table[at]
             same = (v >> 2) == x
@@ -149,13 +177,18 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         add, new = r * start, r * (end - start)
         miss = np.flatnonzero(event == 2)
         if len(miss):
-            k = bits[miss]
-            c0, c1 = model.cum[miss, k].astype(_U), model.cum[miss, k + 1].astype(_U)
+            ids, k = x[miss], bits[miss]
+            slot, split = model.slot(ids), model.chance(miss)
+            known = model.ids[miss * KNOWN + slot] == ids
             r = new[miss] >> _U(12)
-            a = r * c0
-            n = np.maximum(k - 1, 0).astype(_U)
+            a = r * np.where(known, 0, split).astype(_U)
+            r = (r * np.where(known, split, 4096 - split).astype(_U)) >> _U(12)
+            c0 = np.where(known, model.cum0[miss, slot], model.cum[miss, k]).astype(_U)
+            c1 = np.where(known, model.cum0[miss, slot + 1], model.cum[miss, k + 1]).astype(_U)
+            a += r * c0
+            n = np.where(known, 0, np.maximum(k - 1, 0)).astype(_U)
             r = (r * (c1 - c0)) >> n
-            add[miss] += a + r * (x[miss].astype(_U) & ((_U(1) << n) - _U(1)))
+            add[miss] += a + r * (ids.astype(_U) & ((_U(1) << n) - _U(1)))
             new[miss] = r
         moved = low + add
         wrapped = (moved < low) & live
@@ -223,15 +256,25 @@ def _decode_lanes(blocks: list) -> list[np.ndarray]:
         miss = np.flatnonzero(event == 2)
         if len(miss):
             rest = code[miss] - sub[miss]
+            split = model.chance(miss)
             r = new[miss] >> _U(12)
-            v = np.minimum(rest // np.maximum(r, _U(1)), _U(4095)).astype(np.int64)
-            k = (model.cum[miss, 1:17] <= v[:, None]).sum(axis=1)
-            c0, c1 = model.cum[miss, k].astype(_U), model.cum[miss, k + 1].astype(_U)
-            a = r * c0
-            n = np.maximum(k - 1, 0).astype(_U)
+            known = rest // np.maximum(r, _U(1)) < split.astype(_U)
+            a = r * np.where(known, 0, split).astype(_U)
+            r = (r * np.where(known, split, 4096 - split).astype(_U)) >> _U(12)
+            v = np.minimum((rest - a) // np.maximum(r, _U(1)), _U(4095)).astype(np.int64)
+            k, slot = (model.cum[miss, 1:17] <= v[:, None]).sum(axis=1), np.zeros(len(miss), np.int64)
+            half = KNOWN // 2
+            while half:  # binary search for the slot
+                slot += np.where(model.cum0[miss, slot + half] <= v, half, 0)
+                half //= 2
+            c0 = np.where(known, model.cum0[miss, slot], model.cum[miss, k]).astype(_U)
+            c1 = np.where(known, model.cum0[miss, slot + 1], model.cum[miss, k + 1]).astype(_U)
+            a += r * c0
+            n = np.where(known, 0, np.maximum(k - 1, 0)).astype(_U)
             r = (r * (c1 - c0)) >> n
             tail = np.minimum((rest - a) // np.maximum(r, _U(1)), (_U(1) << n) - _U(1))
-            x[miss] = np.where(k == 0, 0, tail.astype(np.int64) + (np.int64(1) << np.maximum(k - 1, 0)))
+            fresh = np.where(k == 0, 0, tail.astype(np.int64) + (np.int64(1) << np.maximum(k - 1, 0)))
+            x[miss] = np.where(known, model.ids[miss * KNOWN + slot], fresh)
             sub[miss] += a + r * tail
             new[miss] = r
         x = np.where(live, x, 0)
@@ -260,10 +303,13 @@ class CachedTokenizer:
     """The tokenizers library behind a cache of its own pre-tokens.
 
     The library splits a text by its pattern and encodes the pieces one by one,
-    so pieces seen before need not be encoded again.
+    so pieces seen before need not be encoded again.  A text that holds one of
+    the tokenizer's added tokens goes to the library as a whole, and so does
+    every text if the tokenizer normalizes.
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 800_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -271,13 +317,18 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        added = [t["content"] for t in stated.get("added_tokens") or []]
+        self.whole = regex.compile("" if stated.get("normalizer") else "|".join(map(regex.escape, added)) or r"(?!)").search
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
+        if self.whole(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         words = self.split(text)
         known = self.known
         new = list({w for w in words if w not in known})
@@ -348,11 +399,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end
     """Write the ids of every text, with id ``end`` after each, to ``folder`` in ascending id order.
 
     Null texts are empty; null ids come first; rows that repeat an id follow one
-    another in order of their texts.  Ids of the tokenizer must be below 65536.
+    another in order of a hash of their texts, so that an id with very many rows
+    is split over tasks too.  Ids of the tokenizer must be below 65536.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     order.mapInArrow(trimmed(_writer(tokenizer, pattern, end)), "part int, stripe int, docs array<long>, lengths array<long>, data binary").write.mode("overwrite").parquet(folder)
 
 

@@ -352,15 +352,17 @@ def test_token_store(spark, corpus):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = [(i, s) for i, s in corpus if i is not None] + [(2000, "a <|endoftext|> b")]
-    got = sorted(tuple(r) for r in token_round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, P.PATTERN).collect())
-    want, at = [], 0
-    for i, s in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+    rows = [*corpus, (2000, "a <|endoftext|> b"), (2000, "<|endoftext|"), (2000, None), (None, "other"), (None, None), (3000, "<|endoftext|><|endoftext|> " + "long text 12 " * 90_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("h", F.lit("clash"))
+    got = sorted(token_round_trip(df.repartition(3), path, P.PATTERN).collect(), key=lambda r: r.start)
+    want = collections.Counter()
+    for i, s in rows:
         ids = [*t.encode(s or "", add_special_tokens=False).ids, 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert got == sorted(want)
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, int), np.array([65535]), rng.integers(0, 65536, 5000), np.zeros(9000, int), rng.zipf(1.3, 7000) % 50257):
         assert (decode_blocks(encode_blocks(ids)) == ids).all()
