@@ -24,9 +24,7 @@ RATE, FRAME, HOP, WIDTH = 5512, 1024, 344, 16
 FILTERS = [(k % 3, (5 * k) % 9, 3 + k % 2, 4 * (1 + k % 4)) for k in range(16)]
 #: Edges between the four levels of a filter's value.
 LEVELS = (-0.15, 0.0, 0.15)
-ERRORS, OVERLAP, VOTES = 0.2, 16, 2
-#: Masks of a code that leave out one third of its filters each.
-THIRDS = (0x003FFFFF, 0xFFFFF800, 0xFFE007FF)
+ERRORS, OVERLAP, VOTES, WEAK = 0.2, 16, 1, 3
 #: The code of a window without sound: every filter's value is 0, which is in the third of four levels.
 SILENT = -1
 
@@ -88,13 +86,13 @@ def chroma(x):
 
 
 def codes(x):
-    """Packed 32-bit codes of a recording."""
+    """Packed 32-bit codes of a recording, and for each a mask of its ``WEAK`` least certain bits."""
     import numpy as np
 
     c = chroma(x)
     n = len(c) - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     area = np.zeros((len(c) + 1, 13))
     area[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
     t = np.arange(n)
@@ -102,7 +100,7 @@ def codes(x):
     def box(t0, t1, p0, p1):
         return area[t + t1, p1] - area[t + t0, p1] - area[t + t1, p0] + area[t + t0, p0]
 
-    out = np.zeros(n, np.uint32)
+    out, bits, margins = np.zeros(n, np.uint32), [], []
     for kind, p, h, w in FILTERS:
         whole = box(0, w, p, p + h)
         if kind == 0:  # earlier against later
@@ -114,11 +112,17 @@ def codes(x):
         value = np.log((1.0 + a) / (1.0 + np.maximum(whole - a, 0.0)))
         level = np.searchsorted(LEVELS, value, side="right")
         out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)  # neighbouring levels differ in one bit
-    return out.view(np.int32)
+        apart = np.abs(value[:, None] - np.array(LEVELS))
+        margins.append(apart.min(axis=1))
+        # The bit that changes at the nearest edge: the upper one at the middle edge only.
+        bits.append(np.where(apart.argmin(axis=1) == 1, 2, 1).astype(np.uint32) << np.uint32(2 * (len(FILTERS) - 1 - len(bits))))
+    least = np.argsort(np.stack(margins), axis=0, kind="stable")[:WEAK]
+    weak = np.bitwise_or.reduce(np.take_along_axis(np.stack(bits), least, 0), axis=0)
+    return out.view(np.int32), weak.view(np.int32)
 
 
 def fingerprint(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per input row: ``id, n_codes, codes``.
+    """One row per input row: ``id, n_codes, codes, weak``, the last a mask of each code's least certain bits.
 
     Null, empty and unreadable media, and recordings shorter than a window, have
     no codes.  Ids may be null or repeat; other columns are ignored.
@@ -131,24 +135,38 @@ def fingerprint(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
             found = []
             for data in batch.column(1).to_pylist():
                 x = decode_wav(data)
-                found.append([] if x is None else codes(x).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n_codes", "codes"])
+                found.append(([], []) if x is None else codes(x))
+            lists = [pa.array([f[c] for f in found], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f[0]) for f in found], pa.int64()), *lists], names=["id", "n_codes", "codes", "weak"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, n_codes long, codes array<int>")
+    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, n_codes long, codes array<int>, weak array<int>")
 
 
-def _votes(classes: DataFrame, name: str) -> DataFrame:
-    """Rows (``key``, ``<name>``, frame, length) for every voting frame and pair of thirds of its code."""
-    code = F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = F.array(*[code.bitwiseAND(F.lit(m)) + F.lit(k << 32) for k, m in enumerate(THIRDS)])
-    frames = classes.select(F.col("class_id").alias(name), F.size("codes").alias(f"{name}_n"), F.posexplode("codes").alias(f"{name}_t", "code"))
-    return frames.where(F.col("code") != SILENT).select(F.explode(keys).alias("key"), name, f"{name}_t", f"{name}_n")
+def _unsigned(column: str):
+    return F.col(column).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _frames(classes: DataFrame, name: str, keys) -> DataFrame:
+    """Rows (``key``, ``<name>``, frame, length) for the keys of every frame that isn't silent."""
+    frames = classes.select(F.col("class_id").alias(name), F.size("codes").alias(f"{name}_n"), F.posexplode(F.arrays_zip("codes", "weak")).alias(f"{name}_t", "f"))
+    frames = frames.where(F.col("f.codes") != SILENT).withColumns({"code": _unsigned("f.codes"), "m": F.coalesce(_unsigned("f.weak"), F.lit(0).cast("long"))})
+    return frames.select(F.explode(keys).alias("key"), name, f"{name}_t", f"{name}_n")
+
+
+def _variants():
+    """The code with every choice of its weak bits turned over."""
+    out, rest = [F.col("code")], F.col("m")
+    for _ in range(WEAK):
+        bit = rest.bitwiseAND(-rest)
+        out += [o.bitwiseXOR(bit) for o in out]
+        rest = rest.bitwiseXOR(bit)
+    return F.array_distinct(F.array(*out))
 
 
 def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
     """Aligns the recordings whose id is divisible by ``step`` with all others.
 
-    One row per row of ``prints`` (``id, n_codes, codes``): ``id, n_codes,
+    One row per row of ``prints`` (``id, n_codes, codes, weak``): ``id, n_codes,
     class_id, n_links, best_class, best_offset, best_error``.  Recordings with
     equal codes are one class, named by its smallest id; ``n_links`` is the
     number of other classes that the row's class aligns with, and null where no
@@ -156,24 +174,24 @@ def align_recordings(prints: DataFrame, step: int = 20) -> DataFrame:
 
     Two classes align if at some offset at least ``OVERLAP`` frames overlap, the
     offset has ``VOTES`` votes, and at most a share of ``ERRORS`` of the
-    overlap's bits differs.  Two frames give a vote for each pair of thirds of
-    their codes that is equal, so frames whose wrong bits lie in one third still
-    vote; frames of silence don't.  All offsets that reach the floor are
-    compared.  The best has the smallest bit error, then the smallest id and
-    offset, in frames.  Rows without codes or id have no class.
-
-    Inverted lists of the code parts produce the votes.  Lists and queries are
-    saved tables, so that Spark can split a common code over tasks.
+    overlap's bits differs.  A frame of a query votes with a frame whose code
+    differs in the query's weak bits only; a class asks with those of its
+    smallest id, and frames of silence don't vote.  All offsets that reach the
+    floor are compared.  The best has the smallest bit error, then the smallest
+    id and offset, in frames.  Rows without codes or id have no class.
+
+    Inverted lists of codes produce the votes.  Lists and queries are saved
+    tables, so that Spark can split a common code over tasks.
     """
     scratch = Scratch(prints.sparkSession, "audio")
     prints = scratch.save(prints.withColumn("fp", F.when((F.col("n_codes") > 0) & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256))), "prints")
     asked = F.max(F.pmod("id", F.lit(step)) == 0)
-    classes = prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("class_id"), asked.alias("asked"), F.first("codes").alias("codes"))
-    classes = scratch.save(classes, "classes")
-    queries, records = classes.where("asked"), classes.select("class_id", "codes")
+    classes = prints.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "codes", "weak")).alias("one"), asked.alias("asked"))
+    classes = scratch.save(classes.select("fp", "asked", F.col("one.id").alias("class_id"), "one.codes", "one.weak"), "classes")
+    queries, records = classes.where("asked"), classes.select("class_id", "codes", "weak")
 
-    wanted = scratch.save(_votes(queries, "q"), "queries")
-    lists = scratch.save(_votes(records, "r").join(wanted.select("key").distinct(), "key", "left_semi"), "lists")
+    wanted = scratch.save(_frames(queries, "q", _variants()), "queries")
+    lists = scratch.save(_frames(records, "r", F.array("code")).join(wanted.select("key").distinct(), "key", "left_semi"), "lists")
     offset = F.col("r_t") - F.col("q_t")
     overlap = F.least(F.col("q_n"), F.col("r_n") - offset) - F.greatest(F.lit(0), -offset)
     met = lists.join(wanted, "key").where((F.col("q") != F.col("r")) & (overlap >= OVERLAP))
