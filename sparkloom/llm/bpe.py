@@ -4,9 +4,9 @@ Each partition splits its texts with the tokenizer's pattern, keeps every
 distinct piece once, and lets DuckDB contract them: rows of (piece, position,
 token) join the merge table, every piece contracts its leftmost pair of lowest
 rank, and the recursion ends when no piece has a pair left.  Decoding is the
-ordered aggregation of the tokens' bytes.  Documents are then put together from
-their pieces' ids, so a word costs one contraction for each partition and not
-one for each time it is written.
+ordered aggregation of the bytes of every piece's ids.  Documents are then put
+together from their pieces' ids and bytes, so a word costs one contraction for
+each partition and not one for each time it is written.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ from .workers import trimmed
 
 #: Distinct pieces contracted together, occurrences held before that, and pieces remembered.
 CHUNK, HELD, KNOWN = 120_000, 4_000_000, 500_000
-#: Pieces longer than this many bytes are contracted with a heap: a recursion would need a step for every merge.
-LONG = 200
+#: Pieces of more bytes contract all pairs of the lowest rank in a step, shorter ones the leftmost.
+LONG = 64
+
+#: What a recursion yields, as ids and bytes of each piece; pieces that are tokens need no contraction.
+_GATHER = """
+select w, string_agg(t.id::varchar, ',' order by p) as ids, count(*) as n, string_agg(hex, '' order by p) as hex
+from ({}) t join bytes on bytes.id = t.id group by w
+"""
 
 #: A row: a piece's number, a token's place and id, and whether the piece has no pair left.
 #: ``best`` packs the lowest rank of a piece and, below 12 bits, its leftmost place.
@@ -44,8 +50,43 @@ with recursive step(w, p, id, done) as (
     where best is null or prev is distinct from (best & 4095)
   )
 )
-select w, string_agg(step.id::varchar, ',' order by p) as ids, count(*) as n, string_agg(hex, '' order by p) as hex
-from step join bytes on bytes.id = step.id where done group by w
+select w, p, id from step where done
+"""
+
+#: The same result in fewer steps, for long pieces: of the lowest rank's pairs, every other one of
+#: adjoining ones, from the left, is contracted at once.  A contraction that makes a pair of lower rank
+#: ends the step after it, since that pair comes before the rest.
+_STEP_ALL = """
+with recursive step(w, p, id, done) as (
+  select w, p, id, false from piece
+  union all
+  select * from (
+    with pair as materialized (
+      select w, p, k, id, id2, id3, m.merged as r, min(m.merged) over (partition by w) as best from (
+        select w, p, id, row_number() over run as k, lead(id) over run as id2, lead(id, 2) over run as id3
+        from step where not done window run as (partition by w order by p)
+      ) t left join merge m on m.pair = (t.id::bigint << 20) | t.id2
+    ), hit as materialized (
+      select w, k, id3, best, (row_number() over (partition by w, island order by k) - 1) as turn from (
+        select *, k - row_number() over (partition by w order by k) as island from pair where r = best
+      )
+    ), taken as materialized (
+      select w, k, best, id3, lag(k) over (partition by w order by k) as before from hit where turn % 2 = 0
+    ), ends as (
+      select t.w, min(t.k) as last
+      from taken t left join pair l on l.w = t.w and l.k = t.k - 1
+      left join merge a on a.pair = ((case when t.before = t.k - 2 then t.best else l.id end)::bigint << 20) | t.best
+      left join merge b on b.pair = (t.best::bigint << 20) | t.id3
+      where least(a.merged, b.merged) < t.best group by t.w
+    ), done_now as (
+      select t.w, t.k, t.best from taken t left join ends e on e.w = t.w where e.last is null or t.k <= e.last
+    )
+    select p.w, p.p, coalesce(d.best, p.id), p.best is null
+    from pair p left join done_now d on d.w = p.w and d.k = p.k
+    where not exists (select 1 from done_now x where x.w = p.w and x.k = p.k - 1)
+  )
+)
+select w, p, id from step where done
 """
 
 
@@ -55,36 +96,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction for one long piece, by a heap of pairs and links between neighbours."""
-    import heapq
-
-    part: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-    nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-    heap: list[tuple[int, int, bytes]] = []
-
-    def push(i: int) -> None:
-        j = nxt[i] if i >= 0 else len(part)
-        if i >= 0 and j < len(part):
-            both = part[i] + part[j]
-            if both in ranks:
-                heapq.heappush(heap, (ranks[both], i, both))
-
-    for i in range(len(part)):
-        push(i)
-    while heap:
-        _, i, both = heapq.heappop(heap)
-        if part[i] is None or nxt[i] >= len(part) or part[i] + part[nxt[i]] != both:
-            continue
-        j = nxt[i]
-        part[i], part[j], nxt[i] = both, None, nxt[j]
-        if nxt[j] < len(part):
-            prv[nxt[j]] = i
-        push(i)
-        push(prv[i])
-    return [ranks[p] for p in part if p is not None]
-
-
 class Contractor:
     """Ids and decoded bytes of pieces, from a DuckDB database in memory."""
 
@@ -115,29 +126,26 @@ class Contractor:
             self.db.unregister("given")
 
     def contract(self, pieces: list[str]) -> tuple[list[str], list[int], list[bytes]]:
+        """For each piece its ids joined by commas, their number, and the bytes that they decode to."""
         import numpy as np
         import pyarrow as pa
 
         raw = [p.encode() for p in pieces]
-        ids: list = [None] * len(raw)
-        counts = [1] * len(raw)
-        back: list = [None] * len(raw)
-        open_, names = [], {v: k for k, v in self.ranks.items()} if any(len(r) > LONG for r in raw) else {}
-        for k, r in enumerate(raw):
-            if r in self.ranks:  # a piece that is a token is that token
-                ids[k], back[k] = str(self.ranks[r]), r
-            elif len(r) > LONG:
-                tokens = _merge_long(r, self.ranks)
-                ids[k], counts[k], back[k] = ",".join(map(str, tokens)), len(tokens), b"".join(names[t] for t in tokens)
+        ids, counts, back = [""] * len(raw), [0] * len(raw), [b""] * len(raw)
+        tokens = [k for k, r in enumerate(raw) if r in self.ranks]  # a piece that is a token is that token
+        short = [k for k, r in enumerate(raw) if r not in self.ranks and len(r) <= LONG]
+        long = [k for k, r in enumerate(raw) if r not in self.ranks and len(r) > LONG]
+        for group, recursion in ((tokens, "select w, p, id from piece"), (short, _STEP), (long, _STEP_ALL)):
+            if not group:
+                continue
+            length = np.array([1 if group is tokens else len(raw[k]) for k in group], np.int64)
+            if group is tokens:
+                flat = np.array([self.ranks[raw[k]] for k in group], np.int32)
             else:
-                open_.append(k)
-        if open_:
-            length = np.array([len(raw[k]) for k in open_], np.int64)
-            flat = self.start[np.frombuffer(b"".join(raw[k] for k in open_), np.uint8)]
+                flat = self.start[np.frombuffer(b"".join(raw[k] for k in group), np.uint8)]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-            rows = pa.table({"w": np.repeat(np.array(open_, np.int32), length), "p": place.astype(np.int32), "id": flat})
-            self.db.register("piece", rows)
-            done = self.db.sql(_STEP).to_arrow_table()
+            self.db.register("piece", pa.table({"w": np.repeat(np.array(group, np.int32), length), "p": place.astype(np.int32), "id": flat}))
+            done = self.db.sql(_GATHER.format(recursion)).to_arrow_table()
             self.db.unregister("piece")
             for k, i, n, h in zip(*(done.column(c).to_pylist() for c in ("w", "ids", "n", "hex"))):
                 ids[k], counts[k], back[k] = i, n, bytes.fromhex(h)

@@ -133,7 +133,9 @@ def test_bpe(spark, corpus):
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-    rows = corpus + [(1000, "x" * 5000 + "zq" * 900), (1001, "日本語 <|endoftext|> 🎉́ \x00\r\n  tail  ")]
+    rng = random.Random(6)
+    knots = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aeinst", "etaoinshrdlu") for n in (63, 65, 130, 1500)]
+    rows = corpus + [(1000, "x" * 5000 + "zq" * 900), (1002, " ".join(knots)), (5, "another text of this id"), (1001, "日本語 <|endoftext|> 🎉́ \x00\r\n  tail  ")]
     df = bpe_encode(frame(spark, rows), path, P.PATTERN, keep_ids=True)
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in df.collect())
     want = collections.Counter()
@@ -142,7 +144,7 @@ def test_bpe(spark, corpus):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert got == want
     back = {r.doc_id: r.text for r in bpe_decode(df.where("doc_id >= 1000"), path).collect()}
-    assert back == {i: t for i, t in rows if i and i >= 1000}
+    assert back == {i: t for i, t in rows if i and i >= 1000 and t}
 
 
 def test_url_filter(spark):
