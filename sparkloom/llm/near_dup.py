@@ -16,11 +16,11 @@ many documents share are seldom among the rarest, so their lists stay short.
 
 A list proposes its pairs in rounds.  In each, a few of its documents, the
 centres, meet all others that are not yet in their component, and leave the
-list; their number grows from round to round.  Centres come from outside the
-list's largest component, so a list of near copies needs one or two rounds and
-pairs in proportion to its length, and it is done as soon as one component holds
-what is left.  Nothing is dropped: a pair goes unseen only if both are connected
-already.  Documents with equal sets are one class from the start.
+list; their number grows from round to round.  So a list of near copies needs
+few rounds and pairs in proportion to its length, and it is done as soon as one
+component holds what is left.  Nothing is dropped: a pair goes unseen only if
+both are connected already.  Documents with equal sets are one class from the
+start.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .scratch import Scratch
 from .workers import trimmed
 
 SKETCH, MISS, CENTRES = 64, 1e-6, 16
+#: Shingles of the documents that a worker remembers while it confirms pairs.
+REMEMBERED = 2_000_000
 
 
 def _sketcher(width: int, sketch: int | None):
@@ -72,17 +74,23 @@ def _verifier(width: int, percent: int):
         from .texthash import as_bytes, shingle_sets
 
         known: dict = {}
+        held = 0
 
         def sets(ids, texts):
+            nonlocal held
             miss = {i: t for i, t in zip(ids, texts) if i not in known}
-            known.update(zip(miss, shingle_sets(list(miss.values()), width)))
+            new = shingle_sets(list(miss.values()), width)
+            known.update(zip(miss, new))
+            held += sum(map(len, new))
 
         for batch in batches:
             left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lt, rt = as_bytes(batch.column(2)), as_bytes(batch.column(3))
             keep = np.zeros(len(left), bool)
             for at in range(0, len(left), 256):
-                known.clear()
+                if held > REMEMBERED:
+                    known.clear()
+                    held = 0
                 part = slice(at, at + 256)
                 sets(left[part], lt[part])
                 sets(right[part], rt[part])
@@ -194,12 +202,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             joined = connected_components(links, scratch, f"cc{k}")
         within = left_in.select("v", "rep", "n").join(joined, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
         within = scratch.save(within, f"within-{k}")
-        parts = within.groupBy("v", "c").agg(F.count("*").alias("z")).groupBy("v").agg(F.max(F.struct("z", "c")).alias("most"), F.sum("z").alias("m"), F.count("*").alias("d"))
-        spans = scratch.save(parts.where("d > 1").select("v", F.col("most.c").alias("most"), (F.col("m") - F.col("most.z")).alias("others")), f"spans-{k}")
+        parts = within.groupBy("v", "c").agg(F.count("*").alias("z")).groupBy("v").agg(F.sum("z").alias("m"), F.count("*").alias("d"))
+        spans = scratch.save(parts.where("d > 1").select("v", "m"), f"spans-{k}")
         if spans.isEmpty():
             break
         chance = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        centre = (F.col("c") != F.col("most")) & (chance * F.col("others") < CENTRES * 8.0**k)
+        centre = chance * F.col("m") < CENTRES * 4.0**k
         # Saved: a join of two plain shuffles can split a list that holds very many documents.
         left_in = scratch.save(within.join(spans, "v").select("v", "rep", "n", "c", centre.alias("centre")), f"open-{k}")
         other = left_in.where("centre").select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
