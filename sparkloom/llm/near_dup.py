@@ -14,28 +14,31 @@ prefix-filter principle it is enough to index the rarest retained values of each
 document, so many that two similar documents must meet in one.  Passages that
 many documents share are seldom among the rarest, so their lists stay short.
 
-A list proposes its pairs in rounds.  In each, a few of its documents, the
-centres, meet all others that are not yet in their component, and leave the
-list; their number grows from round to round.  So a list of near copies needs
-few rounds and pairs in proportion to its length, and it is done as soon as one
-component holds what is left.  Nothing is dropped: a pair goes unseen only if
-both are connected already.  Documents with equal sets are one class from the
-start.
+A list proposes pairs with its centres: all of its documents if they are few,
+else about ``STARS`` of them, whom all others meet.  So a list of near copies
+costs pairs in proportion to its length, and most of it is one component
+afterwards.  Where a list still spans several components, only pairs between
+them matter.  Lists that share documents form a group; the documents outside its
+largest component, in blocks of about ``BLOCK``, meet blocks of all its
+documents, two blocks to a task, and only links that connect something new leave
+it.  Nothing is dropped: a pair goes unseen only if both are connected already.
+Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .workers import trimmed
+from .workers import trimmed, trimmed_group
 
-SKETCH, MISS, CENTRES = 64, 1e-6, 16
+SKETCH, MISS = 64, 1e-6
+#: Lists of up to ``FEW`` documents propose all pairs, longer ones those with ``STARS`` centres.
+FEW, STARS, BLOCK = 16, 4, 256
 #: Shingles of the documents that a worker remembers while it confirms pairs.
 REMEMBERED = 2_000_000
 
@@ -103,6 +106,62 @@ def _verifier(width: int, percent: int):
     return run
 
 
+def _block_links(width: int, percent: int):
+    """Links of one block's documents (``asks``) with another's of other components, reduced to a spanning forest."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        from .texthash import as_bytes, pieces, shingle_sets
+
+        rows = {}
+        asks, told = [], []
+        for i, t, c, a in zip(table.column("rep").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("c").to_pylist(), table.column("asks").to_pylist()):
+            rows[i] = (t, c)
+            (asks if a else told).append(i)
+        ids = np.array(sorted(rows), np.int64)
+        texts, part = [rows[i][0] for i in ids.tolist()], np.array([rows[i][1] for i in ids.tolist()])
+        left, right = np.searchsorted(ids, sorted(asks)), np.searchsorted(ids, sorted(told))
+        sets: list = []
+        for a, b in pieces(texts):
+            sets += shingle_sets(texts[a:b], width)
+        size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        value, held = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)[1:]
+        shared = held[value] > 1
+        owner, value = owner[shared], value[shared]
+        order = np.argsort(value, kind="stable")
+        owner, value = owner[order], value[order]
+        both = np.zeros((len(left), len(right)), np.float64)
+        at = 0
+        while at < len(value):  # a slice of about 4096 distinct values at a time
+            end = int(np.searchsorted(value, value[at] + 4096))
+            _, column = np.unique(value[at:end], return_inverse=True)
+            dense = np.zeros((len(sets), int(column.max()) + 1), np.float32)
+            dense[owner[at:end], column] = 1
+            both += dense[left] @ dense[right].T
+            at = end
+        linked = (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (part[left][:, None] != part[right][None, :])
+        # A forest over the components that are known already and the new links between them.
+        names, part = np.unique(part, return_inverse=True)
+        root, edges = list(range(len(names))), []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k, j in zip(*np.nonzero(linked)):
+            x, y = find(int(part[left[k]])), find(int(part[right[j]]))
+            if x != y:
+                root[x] = y
+                edges.append((int(ids[left[k]]), int(ids[right[j]])))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
 def least_shared(sketch: int, percent: int, miss: float) -> int:
     """The most values that two sketches of similar sets share, but for a probability below ``miss``.
 
@@ -179,43 +238,53 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     whole = (F.col("na") < bound) & (F.col("nb") < bound)
     likely = F.when(whole, 100 * F.col("i") >= percent * F.col("u")).otherwise(F.col("i") * bound >= F.col("u") * shared)
 
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (``a, b``) that are links: estimated by the union's sketch, confirmed on full sets."""
-        estimate = pairs.join(sa, "a").join(sb, "b").withColumn("last", F.expr(last))
-        estimate = estimate.withColumn("i", F.expr(f"size(filter(array_intersect(sa, sb), x -> {unsigned} <= last))"))
-        estimate = estimate.withColumn("u", F.expr(f"size(filter(array_union(sa, sb), x -> {unsigned} <= last))"))
-        open_ = scratch.save(estimate.where(likely).select("a", "b"), f"likely-{label}")
-        needed = open_.select(F.col("a").alias("rep")).unionByName(open_.select(F.col("b").alias("rep"))).distinct()
-        # Of each class, the text that made it.
-        made = classes.join(needed, "rep", "left_semi").select("rep", F.col("least_id").alias("doc_id"), "text_hash")
-        texts = scratch.save(docs.join(made, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), f"texts-{label}")
-        ta, tb = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-        sure = open_.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(width, percent)), "a long, b long")
-        sure = scratch.save(sure, f"links-{label}")
-        scratch.drop(f"likely-{label}")
-        scratch.drop(f"texts-{label}")
-        return sure
-
-    left_in, links, joined = keys, None, spark.createDataFrame([], "node long, component long")
-    for k in count():
-        if links is not None:
-            joined = connected_components(links, scratch, f"cc{k}")
-        within = left_in.select("v", "rep", "n").join(joined, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        within = scratch.save(within, f"within-{k}")
-        parts = within.groupBy("v", "c").agg(F.count("*").alias("z")).groupBy("v").agg(F.sum("z").alias("m"), F.count("*").alias("d"))
-        spans = scratch.save(parts.where("d > 1").select("v", "m"), f"spans-{k}")
-        if spans.isEmpty():
-            break
-        chance = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        centre = chance * F.col("m") < CENTRES * 4.0**k
-        # Saved: a join of two plain shuffles can split a list that holds very many documents.
-        left_in = scratch.save(within.join(spans, "v").select("v", "rep", "n", "c", centre.alias("centre")), f"open-{k}")
-        other = left_in.where("centre").select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        near = (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (F.col("c") != F.col("cb"))
-        pairs = left_in.join(other, "v").where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        found = confirmed(pairs, str(k))
-        links = found if links is None else links.unionByName(found)
-        left_in = left_in.where("not centre")
+    def texts_of(reps: DataFrame, label: str) -> DataFrame:
+        """``rep, text``: of each class, the text that made it."""
+        made = classes.join(reps.distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("doc_id"), "text_hash")
+        return scratch.save(docs.join(made, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), label)
+
+    # Pairs with centres: estimated by the union's sketch, confirmed on full sets.
+    lists = scratch.save(keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "lists")
+    chance = F.pmod(F.xxhash64("rep", F.lit(0)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    centre = (F.col("m") <= FEW) | (chance * F.col("m") < STARS)
+    # Saved: a join of two plain shuffles can split a list that holds very many documents.
+    listed = scratch.save(keys.join(lists, "v").select("v", "rep", "n", "m", centre.alias("centre")), "listed")
+    other = listed.where("centre").select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    near = (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (F.col("rep") != F.col("b")) & (~F.col("centre") | (F.col("rep") < F.col("b")))
+    pairs = listed.join(other, "v").where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    estimate = pairs.join(sa, "a").join(sb, "b").withColumn("last", F.expr(last))
+    estimate = estimate.withColumn("i", F.expr(f"size(filter(array_intersect(sa, sb), x -> {unsigned} <= last))"))
+    estimate = estimate.withColumn("u", F.expr(f"size(filter(array_union(sa, sb), x -> {unsigned} <= last))"))
+    likely = scratch.save(estimate.where(likely).select("a", "b"), "likely")
+    texts = texts_of(likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))), "texts")
+    ta, tb = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    sure = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(width, percent)), "a long, b long")
+    links = scratch.save(sure, "links")
+    scratch.drop("texts")
+
+    # Long lists that still span several components.
+    joined = scratch.save(connected_components(links, scratch, "stars"), "joined")
+    left_in = listed.where(f"m > {FEW} and not centre").join(joined, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
+    left_in = scratch.save(left_in, "left")
+    spans = left_in.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
+    left_in = scratch.save(left_in.join(scratch.save(spans, "spans"), "v"), "open")
+    if not left_in.isEmpty():
+        home = left_in.groupBy("rep").agg(F.min("v").alias("home"), F.first("c").alias("c"))
+        ties = left_in.join(home.select("rep", "home"), "rep").where("v <> home").select(F.col("v").alias("x"), "home").distinct()
+        tied = connected_components(ties, scratch, "hotlists")
+        members = home.join(tied, F.col("home") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "home").alias("g"))
+        members = scratch.save(members, "members")
+        sizes = members.groupBy("g", "c").agg(F.count("*").alias("z")).groupBy("g").agg(F.max(F.struct("z", "c")).alias("most"), F.sum("z").alias("m"))
+        outside = F.ceil((F.col("m") - F.col("most.z")) / BLOCK).cast("int")
+        sizes = scratch.save(sizes.select("g", F.col("most.c").alias("most"), outside.alias("askers"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).where("askers > 0"), "sizes")
+        placed = scratch.save(members.join(sizes, "g").join(texts_of(members.select("rep"), "grouped-texts"), "rep"), "placed")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        told = placed.select("g", each("askers").alias("x"), place("blocks").alias("y"), "rep", "c", "text", F.lit(False).alias("asks"))
+        asked = placed.where("c <> most").select("g", place("askers").alias("x"), each("blocks").alias("y"), "rep", "c", "text", F.lit(True).alias("asks"))
+        inside = told.unionByName(asked).groupBy("g", "x", "y").applyInArrow(trimmed_group(_block_links(width, percent)), "a long, b long")
+        links = links.unionByName(scratch.save(inside, "inside"))
+        joined = connected_components(links, scratch)
 
     grouped = classes.select("fp", "rep", "least_id").join(joined, F.col("rep") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "rep").alias("group_key"))
     grouped = scratch.save(grouped, "grouped")

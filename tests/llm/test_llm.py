@@ -49,11 +49,12 @@ def shingles(t, width):
     return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("width,percent,sketch,centres", [(4, 80, 64, 16), (5, 80, 64, 1), (5, 60, 64, 16), (5, 35, None, 2), (2, 90, 32, 16)])
-def test_near_duplicates(spark, corpus, monkeypatch, width, percent, sketch, centres):
+@pytest.mark.parametrize("width,percent,sketch,stars", [(4, 80, 64, 4), (5, 60, 64, 0), (5, 35, None, 1), (2, 90, 32, 4)])
+def test_near_duplicates(spark, corpus, monkeypatch, width, percent, sketch, stars):
     from sparkloom.llm import near_dup
 
-    monkeypatch.setattr(near_dup, "CENTRES", centres)
+    monkeypatch.setattr(near_dup, "STARS", stars)
+    monkeypatch.setattr(near_dup, "BLOCK", 20)
     got = near_dup.near_duplicates(frame(spark, corpus), width=width, percent=percent, sketch=sketch).collect()
     sets = {i: shingles(t, width) for i, t in corpus if i is not None}
     root = {i: i for i in sets}
