@@ -42,6 +42,20 @@ def json_string(x: str) -> str:
     return f"substring(to_json(named_struct('s', {x})), 6, length(to_json(named_struct('s', {x}))) - 6)"
 
 
+def double_text(x: str) -> str:
+    """The dialect's text of a DOUBLE: plain from 1e-4 to below 1e16, else an exponent of two digits or more."""
+    power = "cast(substring_index(s, 'E', -1) as int)"
+    plain = "regexp_replace(regexp_replace(cast(cast(s as decimal(38,20)) as string), '0+$', ''), '[.]$', '.0')"
+    bare = "regexp_replace(substring_index(s, 'E', 1), '[.]?0+$', '')"
+    short = f"concat({bare}, if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
+    arms = "when s = 'NaN' then 'nan' when s = 'Infinity' then 'inf' when s = '-Infinity' then '-inf' when not contains(s, 'E') then s"
+    # Java writes some numbers with one digit more than they need.
+    tries = " ".join(f"when n > {d + 1} and cast(format_string('%.{d - 1}e', v) as double) = v then upper(format_string('%.{d - 1}e', v))" for d in (16, 17))
+    tries = tries.replace("n >", "length(substring_index(replace(cast(v as string), '-', ''), 'E', 1)) >")
+    text = f"case {tries} else cast(v as string) end"
+    return f"transform(transform(array({x}), v -> {text}), s -> case {arms} when {power} between -4 and 15 then {plain} else {short} end)[0]"
+
+
 def list_text(e: Sql) -> str:
     return f"concat('[', array_join({e.text}, ','), ']')"
 
@@ -85,6 +99,8 @@ def cast(e: Sql, to: str, soft: bool = False) -> Sql:
     elif to == "string":
         if t == "list":
             return Sql(list_text(e), to)
+        if t in ("float", "double"):
+            return Sql(double_text(x), to)
         if t == "boolean" or is_numeric(t) or t in ("json", "uuid", "date", "interval") or t.startswith("time"):
             return Sql(x if t in ("json", "uuid") else f"cast({x} as string)", to)
         if t == "binary":

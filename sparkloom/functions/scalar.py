@@ -411,14 +411,18 @@ simple("to_timestamp", 1, "case when {0} rlike '^\\\\d{{4}}-\\\\d{{2}}-\\\\d{{2}
 def _strftime(e, fmt):
     # The conversions of the dialect; anything else stands for itself.
     known = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss"}
-    out = []
+    out, literal = [], ""
+
+    def plain() -> list[str]:  # one literal: two side by side would read as an escaped quote
+        return ["'" + literal.replace("'", "''") + "'"] if literal else []
+
     for m in re.finditer(r"%(.)|([^%]+|%$)", constant(fmt), re.S):
         if m[1] and m[1] in known:
-            out.append(known[m[1]])
+            out += [*plain(), known[m[1]]]
+            literal = ""
         else:
-            literal = "%" if m[1] == "%" else m.group()
-            out.append("'" + literal.replace("'", "''") + "'")
-    return Sql(f"date_format({stamp(e)}, {quote(''.join(out))})", "string")
+            literal += "%" if m[1] == "%" else m.group()
+    return Sql(f"date_format({stamp(e)}, {quote(''.join([*out, *plain()]))})", "string")
 
 
 define("current_date today", 0)(lambda: Sql("current_date()", "date"))
@@ -436,8 +440,14 @@ def whole(e: Sql) -> str:
     return list_text(e) if e.type == "list" else text(e)
 
 
+def _length(e: Sql) -> str:
+    """How many elements a list has; 0 for other JSON."""
+    n = f"size({e.text})" if e.type == "list" else f"coalesce(json_array_length({text(e)}), 0)"
+    return f"case when {e.text} is not null then cast({n} as bigint) end"
+
+
 simple("json_array_length array_length list_length", 1, "", "bigint")
-FUNCTIONS["json_array_length"] = FUNCTIONS["array_length"] = FUNCTIONS["list_length"] = (1, 1, lambda e: Sql(f"case when {e.text} is not null then cast(coalesce(size({elements(e)}), 0) as bigint) end", "bigint"))
+FUNCTIONS["json_array_length"] = FUNCTIONS["array_length"] = FUNCTIONS["list_length"] = (1, 1, lambda e: Sql(_length(e), "bigint"))
 
 
 @define("json_extract", 2)

@@ -9,16 +9,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import LoomError
+
 _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; else the warehouse, or a temporary folder for a local master."""
+    """``spark.checkpoint.dir``; a temporary folder only for a local master that names none."""
     value = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if value:
         return value.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
+        raise LoomError("NoSharedFolder", "set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if not _LOCAL:
         folder = tempfile.mkdtemp(prefix="loom_")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -18,9 +18,11 @@ from .operators.summarize import summarize
 from .plans.parser import Node, parse
 from .plans.translator import Scope, Translator
 from .shipping import ship
-from .sources.readers import flatten, read_files
+from .sources.readers import SAMPLE, flatten, read_files
 from .sources.writers import write_file
 
+#: Parts that INSERT statements add to a table before it is written as one.
+PARTS = 32
 #: Semantics that the dialect needs from Spark.
 SETTINGS = {
     "spark.sql.ansi.enabled": "false",
@@ -56,14 +58,18 @@ class Engine:
         register_functions(self.spark)
         self.files: dict[str, tuple[str, list[tuple[str, str]]]] = {}
         self.memory: dict[str, tuple[DataFrame, list[tuple[str, str, bool]]]] = {}
+        self.parts: dict[str, int] = {}  # INSERT statements by table
         self.views: dict[str, Node] = {}
         self._depth = 0
         self._paths: dict[tuple, tuple[str, list]] = {}
 
     # -- registration -----------------------------------------------------------
-    def register(self, name: str, *paths: str, format: str | None = None) -> None:
-        """One table of one or more files, globs or directories with the same columns."""
-        self.register_frame(name, read_files(self.spark, list(paths), format))
+    def register(self, name: str, *paths: str, format: str | None = None, sample: int | None = SAMPLE) -> None:
+        """One table of one or more files, globs or directories with the same columns.
+
+        ``sample`` records of a text file decide its keys and types; None: all.
+        """
+        self.register_frame(name, read_files(self.spark, list(paths), format, sample))
 
     def register_frame(self, name: str, df: DataFrame) -> None:
         """Any DataFrame as a read-only table; nested columns are flattened or become JSON."""
@@ -175,7 +181,7 @@ class Engine:
 
     def _copy(self, node, tr):
         df, columns = self._result(node.query, tr)
-        count = write_file(df, node.path, node.format, {n for n, t in columns if t == "json"})
+        count = write_file(df, node.path, node.format, {n for n, t in columns if t == "json"}, bool(node.query.order) if node.query.kind != "table_ref" else False)
         return self._count(count)
 
     def _count(self, n: int) -> DataFrame:
@@ -208,11 +214,14 @@ class Engine:
             raise LoomError("DuplicateColumn", name)
         required = [n for n, _, r in columns if r]
         df = materialize(df)
-        if required and df.where(" or ".join(f"{ident(n)} is null" for n in required)).limit(1).count():
-            raise LoomError("NotNullViolation", name)
+        self._complete(name, df, required)
         self.views.pop(name.lower(), None)  # a view that OR REPLACE takes the place of
         self.memory[name.lower()] = (df, columns)
 
+    def _complete(self, name: str, df: DataFrame, required: list[str]) -> None:
+        if required and df.where(" or ".join(f"{ident(n)} is null" for n in required)).limit(1).count():
+            raise LoomError("NotNullViolation", name)
+
     def _create_table(self, node, tr):
         if not self._free(node.name, node.replace, node.quiet):
             return self._count(0)
@@ -300,8 +309,13 @@ class Engine:
         given = {n for n, _, _ in chosen}
         new = new.selectExpr(*[ident(n) if n in given else f"cast(null as {spark_type(t)}) as {ident(n)}" for n, t, _ in columns])
         new = materialize(new)
+        self._complete(node.name, new, [n for n, _, r in columns if r])
         count = new.count()
-        self._store(node.name, df.unionByName(new), columns)
+        key, whole = node.name.lower(), df.unionByName(new)
+        self.parts[key] = self.parts.get(key, 0) + 1
+        if self.parts[key] % PARTS == 0:  # few files to read, however many statements
+            whole = materialize(whole)
+        self.memory[key] = (whole, columns)
         return self._count(count)
 
     def _changes(self, node, tr, df, columns):

@@ -13,7 +13,7 @@ from ..errors import LoomError
 
 #: Extensions and the formats they name; anything else is Parquet.
 FORMATS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet"}
-#: Rows of a text file whose values decide the columns' types.
+#: Rows of a text file whose values decide the columns' types, unless all are asked for.
 SAMPLE = 1000
 
 
@@ -22,13 +22,15 @@ def detect(path: str) -> str:
     return FORMATS.get(bare.rstrip("/").rsplit(".", 1)[-1].lower(), "parquet")
 
 
-def read_files(spark: SparkSession, paths: list[str], format: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], format: str | None = None, sample: int | None = SAMPLE) -> DataFrame:
     """One table of files whose columns have the same names in the same order.
 
-    ``a+b`` names several files.  Types are unified pairwise.
+    ``a+b`` names several files.  Types are unified pairwise.  Keys and types of
+    text files come from the first ``sample`` records, or from all with None:
+    then no value is lost, at the price of one more pass.
     """
     paths = [p for given in paths for p in (given.split("+") if "+" in given else [given])]
-    frames = [_read(spark, p, format if format and format != "json" else detect(p) if format != "json" else ("jsonl" if detect(p) == "jsonl" else "json")) for p in paths]
+    frames = [_read(spark, p, format if format and format != "json" else detect(p) if format != "json" else ("jsonl" if detect(p) == "jsonl" else "json"), sample) for p in paths]
     names = [c.lower() for c in frames[0].columns]
     if any([c.lower() for c in f.columns] != names for f in frames):
         raise LoomError("TypeMismatch", "files with other columns")
@@ -57,7 +59,7 @@ def _wider(kinds: list[T.DataType]) -> T.DataType:
     return out
 
 
-def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, kind: str, sample: int | None) -> DataFrame:
     reader = spark.read
     if "=" in path:
         base = re.split(r"/(?=[^/]*(?:=|\*))", path, maxsplit=1)[0]
@@ -71,8 +73,8 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "parquet":
         return reader.parquet(path)
     if kind in ("csv", "tsv"):
-        return _delimited(spark, path, "," if kind == "csv" else "\t")
-    return _json(spark, path, kind == "json")
+        return _delimited(spark, path, "," if kind == "csv" else "\t", sample)
+    return _json(spark, path, kind == "json", sample)
 
 
 def _infer(values: Column) -> dict[str, Column]:
@@ -96,18 +98,24 @@ def _choose(got: dict[str, bool], some: bool) -> str:
     return next((k for k in ("boolean", "double", "date", "timestamp_ntz") if got[k]), "string")
 
 
-def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """The first record names the columns; types from the first ``SAMPLE`` records; other values are NULL."""
-    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True, nullValue="", emptyValue="", inferSchema=False, enforceSchema=True).csv(path)
+def _delimited(spark: SparkSession, path: str, sep: str, sample: int | None) -> DataFrame:
+    """The first record names the columns; other values than those of the types chosen are NULL.
+
+    Files are split over tasks, unless a line with an odd number of quotes shows
+    that a record goes on after its line's end.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    open_ended = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=open_ended, nullValue="", emptyValue="", inferSchema=False, enforceSchema=True).csv(path)
     names = []
     for k, c in enumerate(raw.columns):
         names.append(c if not re.fullmatch(r"_c\d+", c) else f"column{k}")
     raw = raw.toDF(*names)
-    return _typed(raw, names)
+    return _typed(raw, names, sample)
 
 
-def _typed(raw: DataFrame, names: list[str]) -> DataFrame:
-    sample = raw.limit(SAMPLE)
+def _typed(raw: DataFrame, names: list[str], first: int | None) -> DataFrame:
+    sample = raw.limit(first) if first else raw
     checks = [[*_infer(F.col(f"`{c}`")).values(), F.count(F.col(f"`{c}`")) > 0] for c in names]
     row = sample.agg(*[x.alias(f"_{k}_{j}") for k, parts in enumerate(checks) for j, x in enumerate(parts)]).first()
     keys, out = ("boolean", "bigint", "double", "date", "timestamp_ntz"), []
@@ -118,7 +126,7 @@ def _typed(raw: DataFrame, names: list[str]) -> DataFrame:
     return raw.select(*out)
 
 
-def _json(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+def _json(spark: SparkSession, path: str, whole: bool, sample: int | None) -> DataFrame:
     """JSON lines, or one document: an array of objects is rows, an object one row, an array of scalars a column ``json``.
 
     Nested values keep their text; columns come in order of first appearance.
@@ -128,22 +136,17 @@ def _json(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         lines = text.select(F.explode(F.when(F.trim("value").startswith("["), F.expr("loom_elements(value)")).otherwise(F.array(F.trim("value")))).alias("value"))
     else:
         lines = spark.read.text(path).where(F.trim("value") != "")
-    keys: dict[str, None] = {}
-    head = [r["value"] for r in lines.limit(SAMPLE).collect()]
-    from ..functions.texts import members
-
-    for line in head:
-        for name, _ in members(line) or []:
-            keys.setdefault(name)
+    # A row for each key: where it comes first, and what its values start with.
+    head = (lines.limit(sample) if sample else lines).select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.expr("loom_heads(value)")).alias("p", "m"))
+    found = head.groupBy("m.k").agg(F.min(F.struct("at", "p")).alias("first"), F.collect_set("m.c").alias("starts")).orderBy("first").collect()
+    keys = [r["k"] for r in found]
     if not keys:
         return lines.select(F.col("value").alias("json"))
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
     parsed = lines.select(F.from_json("value", schema).alias("r"), "value").select("r.*")
-    nested = {k for k in keys if any(v[:1] in "[{" for line in head for n, v in members(line) or [] if n == k)}
-    flat = [k for k in keys if k not in nested]
-    # Numbers that are quoted in the file stay text: only unquoted ones decide the type.
-    quoted = {k for k in flat if any(v[:1] == '"' for line in head for n, v in members(line) or [] if n == k)}
-    typed = _typed(parsed, [k for k in flat if k not in quoted]) if len(quoted) < len(flat) else None
+    # Nested values and quoted numbers stay text: only plain ones decide the type.
+    flat = [r["k"] for r in found if not set(r["starts"]) & {"[", "{", '"'}]
+    typed = _typed(parsed, flat, sample) if flat else None
     if typed is None:
         return parsed
     kinds = dict(typed.dtypes)

@@ -134,8 +134,9 @@ case("pivot", "PIVOT orders ON o_orderstatus IN ('F' AS done, 'O' AS open, 'X' A
 case("unpivot", "SELECT * FROM (UNPIVOT supplier ON s_suppkey, s_acctbal INTO NAME field VALUE amount)",
      "SELECT s_name, s_nationkey, 's_suppkey' AS field, CAST(s_suppkey AS DOUBLE) AS amount FROM supplier UNION ALL SELECT s_name, s_nationkey, 's_acctbal', s_acctbal FROM supplier")
 case("range_series", "SELECT a.range AS x, b.g AS y FROM range(2, 20, 3) a CROSS JOIN generate_series(5, 1, -2) AS b(g)")
-case("sample_rows", "SELECT count(*) AS n FROM lineitem USING SAMPLE 100 ROWS", "SELECT CAST(100 AS BIGINT) AS n")
-case("sample_percent", "SELECT count(*) BETWEEN 4000 AND 8000 AS near FROM (SELECT * FROM lineitem TABLESAMPLE BERNOULLI (10%)) t CROSS JOIN (SELECT 1 AS one FROM region WHERE r_regionkey = 0) u", "SELECT count(*) BETWEEN 40000 AND 80000 AS near FROM lineitem")
+case("sample_rows", "SELECT count(*) AS n FROM lineitem USING SAMPLE 100 ROWS", "SELECT least(100, count(*)) AS n FROM lineitem")
+case("sample_percent", "SELECT (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (10%)) BETWEEN 0.07 * (SELECT count(*) FROM lineitem) AND 0.13 * (SELECT count(*) FROM lineitem) AS near FROM region",
+     "SELECT (SELECT count(*) FROM lineitem USING SAMPLE 10 PERCENT (bernoulli)) BETWEEN 0.07 * (SELECT count(*) FROM lineitem) AND 0.13 * (SELECT count(*) FROM lineitem) AS near FROM region")
 case("star_exclude", "SELECT * EXCLUDE (c_acctbal) REPLACE (upper(c_name) AS c_name) RENAME (c_custkey AS id) FROM customer", "SELECT c_custkey AS id, upper(c_name) AS c_name, c_nationkey, c_mktsegment FROM customer")
 case("columns_regex", "SELECT COLUMNS('^c_(.*)key$') AS '\\1' FROM customer", "SELECT c_custkey AS cust, c_nationkey AS nation FROM customer")
 case("columns_list", "SELECT COLUMNS(['n_name', 'n_regionkey']) FROM nation", "SELECT n_name, n_regionkey FROM nation")
@@ -218,6 +219,39 @@ case("any_null_logic", "SELECT n_nationkey, nullif(n_regionkey, 0) > ANY (SELECT
 case("join_using", "SELECT l_orderkey, o_custkey FROM (SELECT l_orderkey, l_quantity FROM lineitem) l JOIN (SELECT o_orderkey AS l_orderkey, o_custkey FROM orders) o USING (l_orderkey) WHERE l_quantity = 1")
 
 
+# -- aliases, literals and rarer forms -------------------------------------------------------------------
+case("no_from", "SELECT 6 * 7 AS a, 'x' || 'y' AS b, NULL AS c WHERE 1 < 2", "SELECT CAST(6 * 7 AS BIGINT) AS a, 'x' || 'y' AS b, NULL AS c WHERE 1 < 2")
+case("sample_methods", "SELECT (SELECT count(*) FROM orders USING SAMPLE reservoir(50 ROWS) REPEATABLE (7)) AS r, (SELECT count(*) FROM orders TABLESAMPLE SYSTEM (100%)) AS s, (SELECT count(*) FROM orders USING SAMPLE 100% (bernoulli, 3)) AS b FROM region",
+     "SELECT (SELECT least(50, count(*)) FROM orders) AS r, (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM orders) AS b FROM region")
+case("sample_repeats", "SELECT (SELECT sum(o_orderkey) FROM orders TABLESAMPLE BERNOULLI (20%) REPEATABLE (5)) = (SELECT sum(o_orderkey) FROM orders TABLESAMPLE BERNOULLI (20%) REPEATABLE (5)) AS same FROM region", "SELECT count(*) >= 0 AS same FROM orders GROUP BY o_orderkey % 5 ORDER BY 1 LIMIT 5")
+case("now_constants", "SELECT current_date = today() AS d, now() >= TIMESTAMP '2024-01-01 00:00:00' AS n, current_timestamp = get_current_timestamp() AS t, current_time IS NOT NULL AS c FROM region",
+     "SELECT current_date = today() AS d, now() >= TIMESTAMP '2024-01-01 00:00:00' AS n, current_timestamp = get_current_timestamp() AS t, current_time IS NOT NULL AS c FROM region")
+case("timestamps_with_zone", "SELECT n_nationkey, epoch_us(CAST('2024-03-31 01:30:00+02' AS TIMESTAMPTZ)) AS a, epoch_us(CAST('2024-03-31T01:30:00.25Z' AS TIMESTAMP WITH TIME ZONE)) AS b, epoch_us(TIMESTAMPTZ '2024-01-01 00:00:00-05:30') AS c FROM nation")
+case("map_extract", "SELECT n_nationkey, map_extract(json_object('k', n_nationkey, 'n', n_name), 'k') AS k, map_extract(json_object('n', n_name), 'zz') AS z FROM nation",
+     "SELECT n_nationkey, CAST(json_extract(json_object('k', n_nationkey, 'n', n_name), '$.k') AS VARCHAR) AS k, CAST(json_extract(json_object('n', n_name), '$.zz') AS VARCHAR) AS z FROM nation")
+case("json_lengths", "SELECT n_nationkey, json_array_length('{}') AS o, json_array_length(CAST(n_nationkey AS VARCHAR)) AS s, json_array_length('[1, [2, 3], {}]') AS a, json_array_length(nullif('[]', '[]')) AS z, json_array_length(json_array(n_name, n_regionkey)) AS l FROM nation",
+     "SELECT n_nationkey, json_array_length('{}')::BIGINT AS o, json_array_length(CAST(n_nationkey AS VARCHAR))::BIGINT AS s, json_array_length('[1, [2, 3], {}]')::BIGINT AS a, json_array_length(nullif('[]', '[]'))::BIGINT AS z, json_array_length(json_array(n_name, n_regionkey))::BIGINT AS l FROM nation")
+case("json_raw_spans", "SELECT event_id, '{\"a\": {\"b\" : 1.50}, \"c\": [1,  2]}'->>'$.a.b' AS n, '{\"a\": {\"b\" : 1.50}}'->>'a' AS o, '{\"c\": [1,  \"x\"]}'->'c'->>1 AS x FROM events WHERE event_id % 50 = 0",
+     "SELECT event_id, '1.50' AS n, '{\"b\" : 1.50}' AS o, 'x' AS x FROM events WHERE event_id % 50 = 0")
+case("strftime_literals", "SELECT event_id, strftime(ts, '%Y-%q %H%% it''s %M') AS a, strftime(ts, '%d%m%%%S') AS b FROM events", "SELECT event_id, strftime(ts, '%Y') || '-%q ' || strftime(ts, '%H%% it''s %M') AS a, strftime(ts, '%d%m%%%S') AS b FROM events")
+case("mode_ties", "SELECT n_regionkey, mode(n_name) AS m, mode(n_nationkey % 3) AS k FROM nation GROUP BY n_regionkey",
+     "WITH c AS (SELECT n_regionkey, n_name AS v, count(*) AS n FROM nation GROUP BY 1, 2), d AS (SELECT n_regionkey, n_nationkey % 3 AS v, count(*) AS n FROM nation GROUP BY 1, 2) SELECT x.n_regionkey, x.m, y.k FROM (SELECT n_regionkey, min(v) AS m FROM c WHERE (n_regionkey, n) IN (SELECT n_regionkey, max(n) FROM c GROUP BY 1) GROUP BY 1) x JOIN (SELECT n_regionkey, min(v) AS k FROM d WHERE (n_regionkey, n) IN (SELECT n_regionkey, max(n) FROM d GROUP BY 1) GROUP BY 1) y USING (n_regionkey)")
+case("double_text", "SELECT event_id, CAST(value AS VARCHAR) AS v, CAST(value * 1e18 AS VARCHAR) AS big, CAST(value / 1e7 AS VARCHAR) AS small, CAST(CAST(event_id AS DOUBLE) * 1e8 AS VARCHAR) AS plain, CAST(CAST('inf' AS DOUBLE) AS VARCHAR) AS i FROM events",
+     "SELECT event_id, CAST(value AS VARCHAR) AS v, CAST(value * 1e18 AS VARCHAR) AS big, CAST(value / 1e7 AS VARCHAR) AS small, CAST(CAST(event_id AS DOUBLE) * 1e8 AS VARCHAR) AS plain, CAST(CAST('inf' AS DOUBLE) AS VARCHAR) AS i FROM events")
+case("bit_functions", "SELECT user_id, bit_and(user_id, 12) AS a, bit_or(user_id, 3) AS o, bit_not(user_id) AS n, bit_shift_left(user_id, 2) AS l, bit_shift_right(user_id, 1) AS r FROM events",
+     "SELECT user_id, (user_id & 12)::BIGINT AS a, (user_id | 3)::BIGINT AS o, (~user_id)::BIGINT AS n, (user_id::BIGINT << 2)::BIGINT AS l, (user_id >> 1)::BIGINT AS r FROM events")
+case("alias_functions", "SELECT n_nationkey, to_hex('ab') AS h, unhex('6162') AS u, isinf(n_nationkey / 1.0) AS f, ifnull(nullif(n_name, 'NATION_3'), '-') AS i, position('A' IN n_name) AS p, instr(n_name, 'T') AS s, make_timestamp(2024, 2, 29, n_regionkey, 5, 6.25) AS t, epoch_ns(TIMESTAMP '2024-01-01 00:00:00') AS ns FROM nation",
+     "SELECT n_nationkey, to_hex('ab') AS h, unhex('6162') AS u, isinf(n_nationkey::DOUBLE) AS f, ifnull(nullif(n_name, 'NATION_3'), '-') AS i, position('A' IN n_name)::BIGINT AS p, instr(n_name, 'T')::BIGINT AS s, make_timestamp(2024, 2, 29, n_regionkey, 5, 6.25) AS t, epoch_ns(TIMESTAMP '2024-01-01 00:00:00') AS ns FROM nation")
+case("alias_lists", "SELECT n_nationkey, array_extract([4, 5, 6], 2) AS e, array_slice([1, 2, 3, 4], 2, 3) AS s, list_has([1, n_regionkey], 3) AS h, array_indexof([7, 8, n_regionkey], 8) AS p, array_sort([3, 1, 2]) AS o, array_reverse([1, 2]) AS r, array_concat([1], [2]) AS c, array_length([1, 2, 3]) AS l FROM nation",
+     "SELECT n_nationkey, '5' AS e, CAST(to_json(array_slice([1, 2, 3, 4], 2, 3)) AS VARCHAR) AS s, list_has([1, n_regionkey], 3) AS h, list_indexof([7, 8, n_regionkey], 8)::BIGINT AS p, CAST(to_json(array_sort([3, 1, 2])) AS VARCHAR) AS o, CAST(to_json(array_reverse([1, 2])) AS VARCHAR) AS r, CAST(to_json(array_concat([1], [2])) AS VARCHAR) AS c, array_length([1, 2, 3])::BIGINT AS l FROM nation")
+case("unknown_truths", "SELECT n_nationkey, (nullif(n_regionkey, 1) > 2) IS UNKNOWN AS u, (nullif(n_regionkey, 1) > 2) IS NOT UNKNOWN AS k, nullif(n_regionkey, 1) NOTNULL AS nn FROM nation",
+     "SELECT n_nationkey, (nullif(n_regionkey, 1) > 2) IS NULL AS u, (nullif(n_regionkey, 1) > 2) IS NOT NULL AS k, nullif(n_regionkey, 1) NOTNULL AS nn FROM nation")
+case("grouping_id", "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+case("columns_star", "SELECT COLUMNS(* EXCLUDE (n_regionkey)) FROM nation", "SELECT n_nationkey, n_name FROM nation")
+case("not_in_nested", "SELECT c_custkey FROM customer WHERE c_nationkey > 20 OR NOT (c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))")
+case("date_part_names", "SELECT event_id, millisecond(ts) AS ms, microsecond(ts) AS us, date_part('microsecond', ts) AS u FROM events")
+
+
 # -- statements and files: functions of (spark, sf_dir) ---------------------------------------------------
 PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -317,12 +351,12 @@ def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM t")
 
 
-@program("SELECT * FROM (VALUES ('c_custkey', 'BIGINT', 'YES'), ('c_name', 'VARCHAR', 'YES'), ('c_nationkey', 'INTEGER', 'YES'), ('c_acctbal', 'DOUBLE', 'YES'), ('c_mktsegment', 'VARCHAR', 'YES')) t(column_name, column_type, \"null\")")
+@program("SELECT column_name, column_type, \"null\" FROM (DESCRIBE customer)")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own(spark, sf_dir, "customer").sql("DESCRIBE customer")
 
 
-@program("SELECT * FROM (VALUES ('nation'), ('region')) t(name)")
+@program("SELECT table_name AS name FROM information_schema.tables WHERE table_name IN ('nation', 'region')")
 def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own(spark, sf_dir, "region", "nation").sql("SHOW TABLES")
 
@@ -338,6 +372,128 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own(spark, sf_dir, "orders").sql("SELECT o_orderkey FROM orders WHERE o_totalprice > ? AND o_orderstatus = ?", [100000.5, "F"])
 
 
+@program("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir).sql(f"SELECT n_nationkey, n_name, r_name FROM read_parquet('{sf_dir}/nation.parquet') n JOIN parquet('{sf_dir}/region.parquet') r ON n_regionkey = r_regionkey")
+
+
+@program("SELECT a.n_nationkey, a.n_name, b.n_regionkey, c.n_name AS other FROM nation a JOIN nation b USING (n_nationkey) JOIN nation c USING (n_nationkey)")
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path, tabs = _own(spark, sf_dir, "nation"), _path(spark, "n.csv"), _path(spark, "n.tsv")
+    e.sql(f"COPY nation TO '{path}'")
+    e.sql(f"COPY nation TO '{tabs}'")
+    return e.sql(f"SELECT a.n_nationkey, a.n_name, b.n_regionkey, c.n_name AS other FROM read_csv('{path}') a JOIN read_csv_auto('{path}') b ON a.n_nationkey = b.n_nationkey JOIN '{tabs}' c ON c.n_nationkey = a.n_nationkey")
+
+
+@program("SELECT a.n_nationkey, a.n_name, b.n_regionkey FROM nation a JOIN nation b USING (n_nationkey)")
+def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = _own(spark, sf_dir, "nation"), _path(spark, "n.jsonl")
+    e.sql(f"COPY nation TO '{path}'")
+    return e.sql(f"SELECT a.n_nationkey, a.n_name, b.n_regionkey FROM read_json('{path}') a JOIN read_json_auto('{path}') b ON a.n_nationkey = b.n_nationkey")
+
+
+@program("SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS even FROM nation")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = _own(spark, sf_dir, "nation"), _path(spark, "d.json")
+    one = "SELECT '[' || string_agg('{\"id\": ' || n_nationkey || ', \"name\": \"' || n_name || '\"' || CASE WHEN n_nationkey % 2 = 0 THEN ', \"even\": ' || n_regionkey ELSE '' END || '}', ', ') || ']' AS value FROM nation"
+    e.sql(one).write.text(path)
+    return e.sql(f"SELECT id, name, even FROM '{path}'")
+
+
+@program("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, count(DISTINCT o_custkey) AS c FROM orders")
+def globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = _own(spark, sf_dir), _path(spark, "g")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    for k in range(3):
+        orders.where(f"o_orderkey % 3 = {k}").write.parquet(f"{path}/d{k}/part.parquet")
+    return e.sql(f"SELECT a.n, b.s, c.c FROM (SELECT count(*) AS n FROM '{path}/*/part.parquet') a, (SELECT CAST(sum(o_orderkey) AS BIGINT) AS s FROM '{path}/**/*.parquet') b, (SELECT count(DISTINCT o_custkey) AS c FROM '{path}/d[0-2]/part.parquet') c")
+
+
+@program("SELECT n_nationkey AS id, n_name AS city, n_regionkey AS zip, '[{\"key\":\"r\",\"value\":' || n_regionkey || '}]' AS m, '[{\"x\":' || n_nationkey || ',\"y\":\"' || n_name || '\"}]' AS xs FROM nation")
+def nested_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = _own(spark, sf_dir), _path(spark, "nested.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows.selectExpr("n_nationkey as id", "named_struct('city', n_name, 'zip', n_regionkey) as address", "map('r', n_regionkey) as m", "array(named_struct('x', n_nationkey, 'y', n_name)) as xs").write.parquet(path)
+    e.register("t", path)
+    return e.sql("SELECT id, address.city AS city, address.zip AS zip, m, xs FROM t")
+
+
+@program("SELECT o_orderkey, o_totalprice, 'OLD' AS state FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey, o_totalprice, 'NEW' FROM orders WHERE o_orderkey BETWEEN 500 AND 600 UNION ALL SELECT o_orderkey, o_totalprice, 'NEW' FROM orders WHERE o_orderkey BETWEEN 601 AND 700")
+def statements_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _own(spark, sf_dir, "orders")
+    for s in (
+        "CREATE TABLE o AS SELECT o_orderkey, o_totalprice, o_custkey AS gone FROM orders WHERE o_orderkey < 500",
+        "ALTER TABLE o DROP COLUMN gone",
+        "ALTER TABLE o ADD COLUMN st VARCHAR DEFAULT 'OLD'",
+        "ALTER TABLE o RENAME COLUMN st TO state",
+        "INSERT INTO o SELECT o_orderkey, o_totalprice, 'NEW' FROM orders WHERE o_orderkey BETWEEN 500 AND 600",
+        "INSERT INTO o SELECT o_orderkey, o_totalprice, 'NEW' FROM orders WHERE o_orderkey BETWEEN 601 AND 700",
+    ):
+        e.sql(s)
+    return e.sql("SELECT * FROM o")
+
+
+def _code(e, sql: str) -> str:
+    from .errors import LoomError
+
+    try:
+        e.sql(sql)
+    except LoomError as error:
+        return error.code
+    return "none"
+
+
+@program("SELECT * FROM (VALUES ('drop', 'TableNotFound'), ('again', 'none'), ('insert', 'ReadOnlyTable'), ('update', 'ReadOnlyTable'), ('delete', 'ReadOnlyTable'), ('alter', 'ReadOnlyTable'), ('drop file', 'ReadOnlyTable'), ('asof', 'SyntaxError')) t(what, code)")
+def statements_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dropped names are gone, and files are read-only."""
+    e = _own(spark, sf_dir, "nation", "region")
+    e.sql("CREATE TABLE t AS SELECT n_nationkey AS k FROM nation")
+    e.sql("DROP TABLE t")
+    tried = {
+        "drop": "SELECT * FROM t", "again": "DROP TABLE IF EXISTS t", "insert": "INSERT INTO nation SELECT * FROM nation", "update": "UPDATE nation SET n_name = 'x'", "delete": "DELETE FROM nation",
+        "alter": "ALTER TABLE nation DROP COLUMN n_name", "drop file": "DROP TABLE nation", "asof": "SELECT n_name FROM nation ASOF JOIN region ON n_regionkey >= r_regionkey",
+    }
+    return spark.createDataFrame([(what, _code(e, sql)) for what, sql in tried.items()], "what string, code string")
+
+
+@program("SELECT count(*) > 0 AS scans, count(*) FILTER (WHERE n_regionkey > 2) > 0 AS pushed FROM nation")
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _own(spark, sf_dir, "nation").sql("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey > 2")
+    return plan.selectExpr("max(plan like '%nation.parquet%') as scans", "max(plan like '%PushedFilters%GreaterThan(n_regionkey,2)%') as pushed")
+
+
+@program("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS batch, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _own(spark, sf_dir, "orders")
+    batches = e.stream("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = ? ORDER BY o_orderkey", ["F"], size=700)
+    rows = [(k, r["o_orderkey"], r["o_custkey"]) for k, batch in enumerate(batches) for r in batch]
+    return spark.createDataFrame(rows, "batch long, o_orderkey long, o_custkey long")
+
+
+@program("""SELECT 'csv' AS form, 'r_regionkey,r_name' || chr(10) || string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region
+  UNION ALL SELECT 'tsv', 'r_regionkey' || chr(9) || 'r_name' || chr(10) || string_agg(r_regionkey || chr(9) || r_name, chr(10) ORDER BY r_regionkey) || chr(10) FROM region
+  UNION ALL SELECT 'list', 'r_regionkey|r_name' || chr(10) || string_agg(r_regionkey || '|' || r_name, chr(10) ORDER BY r_regionkey) || chr(10) FROM region
+  UNION ALL SELECT 'jsonlines', string_agg('{"r_regionkey": ' || r_regionkey || ', "r_name": "' || r_name || '"}', chr(10) ORDER BY r_regionkey) || chr(10) FROM region
+  UNION ALL SELECT 'json', '[' || string_agg('{"r_regionkey": ' || r_regionkey || ', "r_name": "' || r_name || '"}', ',' || chr(10) ORDER BY r_regionkey) || ']' || chr(10) FROM region
+  UNION ALL SELECT 'insert', string_agg('INSERT INTO "table" VALUES(' || r_regionkey || ',' || chr(39) || r_name || chr(39) || ');', chr(10) ORDER BY r_regionkey) || chr(10) FROM region
+  UNION ALL SELECT 'line', string_agg('r_regionkey = ' || r_regionkey || chr(10) || '     r_name = ' || r_name || chr(10), chr(10) ORDER BY r_regionkey) FROM region
+  UNION ALL SELECT 'markdown', '| r_regionkey | ' || rpad('r_name', max(length(r_name))::INT, ' ') || ' |' || chr(10) || '|-------------|' || repeat('-', (max(length(r_name)) + 2)::INT) || '|' || chr(10) || (SELECT string_agg('| ' || rpad(r_regionkey::VARCHAR, 11, ' ') || ' | ' || rpad(r_name, (SELECT max(length(r_name)) FROM region)::INT, ' ') || ' |', chr(10) ORDER BY r_regionkey) FROM region) || chr(10) FROM region
+  UNION ALL SELECT 'trash', '' FROM region WHERE r_regionkey = 0""")
+def output_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cli import render
+
+    df = _own(spark, sf_dir, "region").sql("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey")
+    rows = [tuple(r) for r in df.collect()]
+    forms = ("csv", "tsv", "list", "jsonlines", "json", "insert", "line", "markdown", "trash")
+    return spark.createDataFrame([(f, render(df.columns, rows, f)) for f in forms], "form string, text string")
+
+
+@program("SELECT column_name, column_type, \"min\" AS lo, \"max\" AS hi, round(CAST(avg AS DOUBLE), 6) AS mean, round(CAST(std AS DOUBLE), 6) AS dev, \"count\" AS n, CAST(null_percentage AS DOUBLE) AS nulls FROM (SUMMARIZE SELECT o_orderkey, o_custkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)")
+def summarize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _own(spark, sf_dir, "orders").sql("SUMMARIZE SELECT o_orderkey, o_custkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS p FROM orders")
+    return s.selectExpr("column_name", "column_type", "`min` as lo", "`max` as hi", "round(avg, 6) as mean", "round(std, 6) as dev", "`count` as n", "round(null_percentage, 2) as nulls")
+
+
 _ENGINES: dict = {}
 
 
