@@ -190,8 +190,8 @@ def _search(k: int):
                     exact = (c[near] * q[a + r]).sum(axis=1)  # the same order of additions for every pair
                     order = np.lexsort((ci[near], -exact))[:k]
                     found.append((int(qi[a + r]), exact[order], ci[near][order]))
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-        hits = [[{"score": s, "vec_id": i} for s, i in zip(f[1].tolist(), f[2].tolist())] for f in found]
+        kind = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+        hits = [[{"far": -s, "vec_id": i} for s, i in zip(f[1].tolist(), f[2].tolist())] for f in found]
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "hits": pa.array(hits, kind)})
 
     return run
@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, id_col: str = "vec_
         if reach >= most or full == found.count() == rows.where(F.pmod("vec_id", F.lit(step)) == 0).count():
             break
         reach *= 4
-    return found.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))
+    return found.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), (-F.col("h.far")).alias("score"))
 
 
 def _windows(ranked: DataFrame, scratch: Scratch, reach: int, most: int, k: int) -> DataFrame:
@@ -276,7 +276,8 @@ def _windows(ranked: DataFrame, scratch: Scratch, reach: int, most: int, k: int)
         asked = asked.join(busy, ["curve", "cell"], "left").withColumn("copy", F.pmod(F.xxhash64("vec_id"), copies).cast("int"))
     names = ["curve", "cell", "copy", "vec_id", "query", "v"]
     met = cells.select(*names).unionByName(asked.select(*names)).groupBy("curve", "cell", "copy")
-    found = met.applyInArrow(trimmed_group(_search(k)), "query_id long, hits array<struct<score:double,vec_id:long>>")
-    merged = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
-    best = F.expr(f"slice(array_sort(hits, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.vec_id < b.vec_id then -1 when a.vec_id > b.vec_id then 1 else 0 end), 1, {k})")
+    found = met.applyInArrow(trimmed_group(_search(k)), "query_id long, hits array<struct<far:double,vec_id:long>>")
+    merged = found.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    # A row found twice has one score, so its copies are neighbours.
+    best = F.expr(f"transform(array(hits), a -> slice(filter(a, (x, i) -> i = 0 or x.vec_id <> a[i - 1].vec_id), 1, {k}))[0]")
     return merged.select("query_id", best.alias("hits"))
