@@ -15,6 +15,12 @@ from ..errors import LoomError
 FORMATS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet"}
 #: Rows of a text file whose values decide the columns' types, unless all are asked for.
 SAMPLE = 1000
+#: What no cell holds: only cells without any character are NULL, quoted empty ones are empty.
+NO_VALUE = "\0null"
+
+
+#: The column with a JSON record's text while its members are taken out.
+VALUE = "\0value"
 
 
 def detect(path: str) -> str:
@@ -87,7 +93,7 @@ def _infer(values: Column) -> dict[str, Column]:
         "date": v.rlike(r"^\d{4}-\d{2}-\d{2}$") & v.try_cast("date").isNotNull(),
         "timestamp_ntz": v.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$") & v.try_cast("timestamp_ntz").isNotNull(),
     }
-    return {k: F.coalesce(F.bool_and(f | values.isNull()), F.lit(True)) for k, f in fits.items()}
+    return {k: F.coalesce(F.bool_and(f | values.isNull() | (v == "")), F.lit(True)) for k, f in fits.items()}
 
 
 def _choose(got: dict[str, bool], some: bool) -> str:
@@ -106,7 +112,7 @@ def _delimited(spark: SparkSession, path: str, sep: str, sample: int | None) ->
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     open_ended = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=open_ended, nullValue="", emptyValue="", inferSchema=False, enforceSchema=True).csv(path)
+    raw = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=open_ended, nullValue=NO_VALUE, emptyValue="", inferSchema=False, enforceSchema=True).csv(path)
     names = []
     for k, c in enumerate(raw.columns):
         names.append(c if not re.fullmatch(r"_c\d+", c) else f"column{k}")
@@ -116,7 +122,7 @@ def _delimited(spark: SparkSession, path: str, sep: str, sample: int | None) ->
 
 def _typed(raw: DataFrame, names: list[str], first: int | None) -> DataFrame:
     sample = raw.limit(first) if first else raw
-    checks = [[*_infer(F.col(f"`{c}`")).values(), F.count(F.col(f"`{c}`")) > 0] for c in names]
+    checks = [[*_infer(F.col(f"`{c}`")).values(), F.count_if(F.col(f"`{c}`") != "") > 0] for c in names]
     row = sample.agg(*[x.alias(f"_{k}_{j}") for k, parts in enumerate(checks) for j, x in enumerate(parts)]).first()
     keys, out = ("boolean", "bigint", "double", "date", "timestamp_ntz"), []
     for k, c in enumerate(names):
@@ -143,14 +149,22 @@ def _json(spark: SparkSession, path: str, whole: bool, sample: int | None) -> Da
     if not keys:
         return lines.select(F.col("value").alias("json"))
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    parsed = lines.select(F.from_json("value", schema).alias("r"), "value").select("r.*")
+    parsed = lines.select(F.from_json("value", schema).alias("r"), F.col("value").alias(VALUE)).select("r.*", VALUE)
     # Nested values and quoted numbers stay text: only plain ones decide the type.
     flat = [r["k"] for r in found if not set(r["starts"]) & {"[", "{", '"'}]
     typed = _typed(parsed, flat, sample) if flat else None
-    if typed is None:
-        return parsed
-    kinds = dict(typed.dtypes)
-    return parsed.select(*[F.col(f"`{k}`").try_cast(kinds[k]).alias(k) if k in kinds else F.col(f"`{k}`") for k in keys])
+    kinds = dict(typed.dtypes) if typed is not None else {}
+    nested = {r["k"] for r in found if set(r["starts"]) & {"[", "{"}}
+
+    def column(k: str) -> Column:
+        if k in kinds:
+            return F.col(f"`{k}`").try_cast(kinds[k])
+        if k not in nested:
+            return F.col(f"`{k}`")
+        raw = F.call_function("loom_json_path", F.col(VALUE), F.lit('$."' + k.replace("\\", "\\\\").replace('"', '\\"') + '"'))
+        return F.call_function("loom_json_string", raw)
+
+    return parsed.select(*[column(k).alias(k) for k in keys])
 
 
 def flatten(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

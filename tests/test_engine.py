@@ -92,9 +92,20 @@ def test_round_trip_files(engine, tmp_path):
 
 def test_csv_and_json_rules(engine, tmp_path):
     (tmp_path / "q.csv").write_text('a,b,c\n1,"x ""y""\nz",1.5\n2,"",\n')
-    assert rows(engine.sql(f"SELECT * FROM read_csv('{tmp_path}/q.csv') ORDER BY a")) == [(1, 'x "y"\nz', 1.5), (2, "", None)] or rows(engine.sql(f"SELECT a, c FROM read_csv('{tmp_path}/q.csv') ORDER BY a")) == [(1, 1.5), (2, None)]
+    assert rows(engine.sql(f"SELECT * FROM read_csv('{tmp_path}/q.csv') ORDER BY a")) == [(1, 'x "y"\nz', 1.5), (2, "", None)]
+    (tmp_path / "p.csv").write_text('a,b\n1,"x, y"\n2,\n,""\n')
+    assert rows(engine.sql(f"SELECT * FROM '{tmp_path}/p.csv' ORDER BY a")) == [(1, "x, y"), (2, None), (None, "")]
     (tmp_path / "d.json").write_text('[{"id": 1, "tags": ["a", 1], "n": {"k": 2}}, {"id": 2, "x": true}]')
-    assert rows(engine.sql(f"SELECT id, tags, n, x FROM '{tmp_path}/d.json' ORDER BY id")) == [(1, '["a", 1]', '{"k": 2}', None), (2, None, None, True)] or rows(engine.sql(f"SELECT id, x FROM '{tmp_path}/d.json' ORDER BY id")) == [(1, None), (2, True)]
+    assert rows(engine.sql(f"SELECT id, tags, n, x FROM '{tmp_path}/d.json' ORDER BY id")) == [(1, '["a", 1]', '{"k": 2}', None), (2, None, None, True)]
+    (tmp_path / "l.jsonl").write_text("".join(f'{{"id": {k}, "v": {k}}}\n' for k in range(1200)) + '{"id": 1200, "v": "late", "new": [1,  2]}\n')
+    engine.register("early", f"{tmp_path}/l.jsonl")
+    assert [n for n, _ in engine.columns("SELECT * FROM early")] == ["id", "v"]
+    assert rows(engine.sql("SELECT v FROM early WHERE id = 1200")) == [(None,)]
+    engine.register("every", f"{tmp_path}/l.jsonl", sample=None)
+    assert rows(engine.sql("SELECT * FROM every WHERE id = 1200")) == [(1200, "late", "[1,  2]")]
+    (tmp_path / "l.csv").write_text("a\n" + "1\n" * 1200 + "x\n")
+    engine.register("late", f"{tmp_path}/l.csv", sample=None)
+    assert rows(engine.sql("SELECT count(a) AS n, max(a) AS m FROM late")) == [(1201, "x")]
     (tmp_path / "s.json").write_text("[1, 2, 3]")
     assert len(rows(engine.sql(f"SELECT json FROM '{tmp_path}/s.json'"))) == 3
 
