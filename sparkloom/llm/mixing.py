@@ -66,7 +66,7 @@ def _with_source(rows: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
     return rows.withColumn("_salt", salt).join(copies, same & (F.col("_salt") == F.col("_copy"))).drop("_source", "_salt", "_copy")
 
 
-def mix_sources(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
+def mix_sources(sized: DataFrame, weights: DataFrame | tuple[float, ...], share: float = 1.5, epochs: float = 2.0, seed: int = 17, tie: str | None = None) -> DataFrame:
     """``sized`` (``doc_id, source, size`` and any others) with ``source_size, target, copies``.
 
     ``weights`` is a table ``source, weight`` with a positive weight for every
@@ -74,7 +74,8 @@ def mix_sources(sized: DataFrame, weights: DataFrame | tuple[float, ...], share:
     takes the document, at most ``epochs`` rounded up.  A null source is a source
     of its own; null and repeated ids are documents like others; sizes of 0 give
     0 copies only if the whole source has size 0.  The same input, seed and
-    parameters give the same result, whatever the partitions.
+    parameters give the same result, whatever the partitions; ``tie`` names a
+    column that tells rows of one id and size apart, if there are such.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     if isinstance(weights, tuple):
@@ -90,11 +91,16 @@ def mix_sources(sized: DataFrame, weights: DataFrame | tuple[float, ...], share:
     # A source as a key that is never null, so that ranking and joining share one partitioning.
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
     rows = rows.withColumn("_k", key)
-    inside = Window.partitionBy("_k", "_b").orderBy(F.desc("size"), "_h")
+    inside = Window.partitionBy("_k", "_b").orderBy(F.desc("size"), "_h", *([tie] if tie else []))
     counts = _with_source(sized.select("doc_id", "source", "size"), per, many).withColumn("_h", digest)
     counts = counts.select(key.alias("_k"), bucket.alias("_b")).groupBy("_k", "_b").agg(F.count("*").alias("_c"))
-    ahead = F.sum("_c").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_k", "_b", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    # Documents in the buckets before, by groups of buckets, so that no task sees all buckets of a hot source.
+    counts = counts.withColumn("_g", F.floor(F.col("_b") / BUCKET))
+    before = (Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_k", "_g").agg(F.sum("_c").alias("_c"))
+    groups = groups.select("_k", "_g", F.coalesce(F.sum("_c").over(Window.partitionBy("_k").orderBy("_g").rowsBetween(*before)), F.lit(0)).alias("_first"))
+    inside_group = F.coalesce(F.sum("_c").over(Window.partitionBy("_k", "_g").orderBy("_b").rowsBetween(*before)), F.lit(0))
+    counts = counts.withColumn("_in", inside_group).join(groups, ["_k", "_g"]).select("_k", "_b", (F.col("_first") + F.col("_in")).alias("_ahead"))
     ranked = rows.withColumn("_r", F.row_number().over(inside) - 1)
     ranked = ranked.join(counts, ["_k", "_b"]).withColumn("_r", F.col("_r") + F.col("_ahead"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -108,6 +114,6 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | tuple[float, ...], sha
 
     Other columns stay, whatever their names.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    mixed = mix_sources(rows, weights, share, epochs, seed).where("copies > 0")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    mixed = mix_sources(rows, weights, share, epochs, seed, "_text").where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

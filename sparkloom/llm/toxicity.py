@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import Scratch, bound_batches
 from .workers import trimmed
 
 SAMPLE, FEATURES, FOLDS, BUCKETS = 6000, 300, 5, 1 << 22
@@ -49,48 +49,37 @@ def _nth(base, n: int):
     return (base * 2654435761 + n * 40503) % BUCKETS
 
 
+def text_buckets(text: str, of: dict[str, list[int]]) -> "np.ndarray":
+    """Buckets of a whole text; ``of`` remembers those of words."""
+    import re
+
+    import numpy as np
+
+    words = set(re.findall(_WORD, text.lower()))
+    of.update([(w, word_features(w)) for w in words if w not in of])
+    held = np.unique(text_features([f for w in words for f in of[w]])).astype(np.int32)
+    if len(of) > 200_000:
+        of.clear()
+    return held
+
+
 class Chain:
-    """One linear model for each category, in order."""
+    """One linear model for each category, in order.
 
-    def __init__(self, texts: list[str], labels: dict[str, list[int]], folds: int = FOLDS, features: int = FEATURES):
-        import re
+    ``index`` numbers the buckets that are features, ``held`` has the numbers that
+    each text holds, and ``fold`` the texts' folds.
+    """
 
+    def __init__(self, held: list[list[int]], labels: dict[str, list[int]], index: dict[int, int], fold):
         import numpy as np
 
         from .linear import logistic, sigmoid
 
-        find, of = re.compile(_WORD).findall, {}
-        held = []
-        for t in texts:
-            words = set(find(t.lower()))
-            of.update([(w, word_features(w)) for w in words if w not in of])
-            held.append(np.unique(text_features([f for w in words for f in of[w]])).astype(np.int32))
-            if len(of) > 200_000:
-                of.clear()
-        every = np.zeros(BUCKETS, np.int32)
-        for h in held:
-            every[h] += 1
-        self.categories = list(labels)
-        self.index: dict[int, int] = {}
-        names = np.flatnonzero(every >= 5)
-        for name in self.categories:
-            y = np.array(labels[name])
-            inside = np.zeros(BUCKETS, np.int32)
-            for h, v in zip(held, y):
-                if v:
-                    inside[h] += 1
-            p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-            a, b = inside[names], every[names] - inside[names]
-            odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-            sure = odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what the odds are at least
-            for k in np.argsort(-sure, kind="stable")[:features].tolist():
-                if sure[k] > MARGIN:
-                    self.index.setdefault(int(names[k]), len(self.index))
-        x = np.zeros((len(texts), len(self.index)), np.float32)
+        self.categories, self.index = list(labels), index
+        x = np.zeros((len(held), len(index)), np.float32)
         for k, h in enumerate(held):
-            x[k, [self.index[f] for f in h.tolist() if f in self.index]] = 1
-        del held, every
-        fold = np.array([zlib.crc32(t.encode()) % folds for t in texts])  # copies of a text share a fold
+            x[k, h] = 1
+        fold, folds = np.asarray(fold), FOLDS
         self.models = []
         chain = x
         for name in self.categories:
@@ -145,15 +134,49 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     ``categories`` maps names to SQL conditions on ``labels`` (``doc_id`` and
     others), in the chain's order.  Labels that are null count as 0; an id that
     is labelled twice has a category if one of its rows has; ids without a text
-    are left out.  None if nothing is left.
+    are left out, and of an id with several texts the one of smallest hash is
+    taken.  None if nothing is left.
+
+    Executors read the texts and count their features; the driver gets the
+    chosen features, and for each text which of them it holds.
     """
-    flags = [F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))).alias(f"c{k}") for k, c in enumerate(categories.values())]
+    import numpy as np
+
+    names = [f"c{k}" for k in range(len(categories))]
+    flags = [F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))).alias(n) for n, c in zip(names, categories.values())]
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    if not rows:
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))  # at most ``sample`` rows
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        of: dict[str, list[int]] = {}
+        for batch in batches:
+            texts = batch.column(len(names) + 1).to_pylist()
+            fold = pa.array([zlib.crc32(t.encode()) % FOLDS for t in texts], pa.int32())  # copies of a text share a fold
+            held = pa.array([text_buckets(t, of) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fold, held], names=[*batch.schema.names[:-1], "fold", "held"])
+
+    schema = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", fold int, held array<int>"
+    read_rows = rows.select(F.col("doc_id").cast("long"), *names, "t.text").mapInArrow(trimmed(read), schema)
+    texts = Scratch(docs.sparkSession, "toxicity").save(read_rows, "texts")
+    total, *positive = texts.agg(F.count("*"), *[F.sum(n) for n in names]).first()
+    if not total:
         return None
-    return Chain([r["text"] for r in rows], {name: [r[f"c{k}"] for r in rows] for k, name in enumerate(categories)})
+    counts = texts.select(*names, F.explode("held").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("every"), *[F.sum(n).alias(n) for n in names]).where("every >= 5")
+    index: dict[int, int] = {}
+    for n, p in zip(names, positive):
+        p, q = max(1, p), max(1, total - p)
+        a, b = F.col(n), F.col("every") - F.col(n)
+        odds = F.log((a + 0.5) / (p - a + 0.5)) - F.log((b + 0.5) / (q - b + 0.5))
+        sure = odds - 2 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what the odds are at least
+        for r in counts.select("bucket", sure.alias("sure")).where(F.col("sure") > MARGIN).orderBy(F.desc("sure"), "bucket").limit(FEATURES).collect():
+            index.setdefault(r["bucket"], len(index))
+    useful = F.array(*[F.lit(b) for b in index]).cast("array<int>")
+    got = texts.select("doc_id", *names, "fold", F.array_intersect("held", useful).alias("held")).orderBy("doc_id").collect()
+    held = [[index[b] for b in r["held"]] for r in got]
+    return Chain(held, {c: [r[n] for r in got] for n, c in zip(names, categories)}, index, np.array([r["fold"] for r in got]))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
