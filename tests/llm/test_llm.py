@@ -249,6 +249,128 @@ def test_toxicity_chain(spark):
     assert score_toxicity(docs, None).where("toxic > 0").count() == 0
 
 
+def newton(x, y, l2):
+    """A logistic regression solved to the end by Newton steps, on columns of mean 0 and variance 1."""
+    mean, scale = x.mean(axis=0), 1 / np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    z = np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
+    keep = np.append(np.full(x.shape[1], l2), 0.0)
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z / len(y) + np.diag(keep + 1e-12), z.T @ (p - y) / len(y) + keep * w)
+    return lambda v: 1 / (1 + np.exp(-(np.hstack([(v - mean) * scale, np.ones((len(v), 1))]) @ w)))
+
+
+def test_toxicity_by_a_dense_chain(spark):
+    """Features, folds and both models of the chain against plain loops and an exact solver over the same rows."""
+    import math
+    import re
+
+    from sparkloom.llm import toxicity as t
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        words = [w for w in sentence(rng, rng.randrange(5, 60)).split()]
+        words += [rng.choice(["vile", "rotten"]) for _ in range(rng.choice([0, 1, 3]) if k % 4 == 0 else rng.random() < 0.05)] + ["%%%"] * (k % 3 == 0 and rng.random() < 0.9)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(k % 4 == 0), int(k % 3 != 0)))
+    rows += [(7, None, 0, 1), (9, "", 0, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, tox, q) for k, _, tox, q in rows[:400]], "doc_id long, toxic int, quality int")
+    chain = t.train(docs, labels, {"low_quality": "quality = 0", "toxic": "toxic = 1"})
+
+    def features(text):
+        count = collections.Counter()
+        for w in set(re.findall(r"[^\W\d_]+|[^\w\s]{2,}|[|]", text.lower())):
+            for raw in {b"=" + w.encode()} | {w[:n].encode() for n in (4, 5, 6, 7) if len(w) >= n}:
+                count[zlib.crc32(raw) % t.BUCKETS] += 1
+        out = set()
+        for b, n in count.items():
+            out |= {b} | {(b * 2654435761 + m * 40503) % t.BUCKETS for m in (2, 3) if n >= m}
+        return out
+
+    # Id 9 has two texts; the one of smaller hash was fitted.
+    first = {r.doc_id: r.text for r in docs.where("text is not null and doc_id < 400").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()}
+    held = [features(first[k]) for k in range(400)]
+    y = {"low_quality": np.array([1.0 - r[3] for r in rows[:400]]), "toxic": np.array([float(r[2]) for r in rows[:400]])}
+    every = collections.Counter(b for h in held for b in h)
+    chosen = set()
+    for v in y.values():
+        inside = collections.Counter(b for h, one in zip(held, v) if one for b in h)
+        p, n, sure = v.sum(), (1 - v).sum(), {}
+        for f, c in every.items():
+            a, b = inside[f], c - inside[f]
+            odds = math.log((a + 0.5) / (p - a + 0.5)) - math.log((b + 0.5) / (n - b + 0.5)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if c >= 5 and odds > t.MARGIN:
+                sure[f] = odds
+        chosen |= set(sorted(sure, key=lambda f: (-sure[f], f))[: t.FEATURES])
+    assert chosen == set(chain.index)
+    x = np.array([[float(f in h) for f in chain.index] for h in held])
+    fold = np.array([zlib.crc32(first[k].encode()) % t.FOLDS for k in range(400)])
+    early = np.zeros(400)
+    for f in range(t.FOLDS):
+        early[fold == f] = newton(x[fold != f], y["low_quality"][fold != f], t.L2)(x[fold == f])
+    low = newton(x, y["low_quality"], t.L2)
+    toxic = newton(np.hstack([x, early[:, None]]), y["toxic"], t.L2)
+    got = chain.predict([first[k] for k in range(400)])
+    want = np.stack([low(x), toxic(np.hstack([x, low(x)[:, None]]))], axis=1)
+    assert np.abs(got - want).mean() < 0.02 and ((got >= 0.5) == (want >= 0.5)).mean() > 0.99
+
+
+def test_language_by_plain_loops(spark):
+    """Frequencies and votes against loops over bytes, and every machine against a longer descent on its objective."""
+    from itertools import combinations
+
+    from sparkloom.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").where("lang is not null")
+    texts = [(r.text, r.lang) for r in docs.dropDuplicates(["text"]).collect() if r.text][:120]
+    assert len({lang for _, lang in texts}) >= 3
+
+    def frequencies(text):
+        table = {65 + k: 97 + k for k in range(26)} | {48 + k: 48 for k in range(10)} | {k: 32 for k in (9, 10, 11, 12, 13)}
+        b = [table.get(c, c) for c in b" " + text.encode() + b"  "]
+        count = np.zeros(langid.DIMENSIONS)
+        for i in range(len(b) - 2):
+            h = (b[i] * 0x9E3779B1 ^ b[i + 1] * 0x85EBCA77 ^ b[i + 2] * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            count[h >> 20] += 1
+        return np.sqrt(count / (len(b) - 2))
+
+    x = langid.featurize([t.encode() for t, _ in texts])
+    plain = np.array([frequencies(t) for t, _ in texts[:30]])
+    assert np.allclose(x[:30], plain, atol=1e-6)
+    y = np.array([lang for _, lang in texts])
+    model = langid.Model(x, list(y))
+    family = np.array([langid._family(v) for v in y])
+    for (level, a, b), w, bias in zip(model.machines, model.w, model.b):
+        names = family if not level else y
+        mask = (names == a) | (names == b)
+        z, sign = x[mask].astype(float), np.where(names[mask] == a, 1.0, -1.0)
+        loss = lambda w, c: 0.5 * (np.maximum(0, 1 - sign * (z @ w + c)) ** 2).mean() + 0.5e-5 * w @ w  # noqa: E731, B023
+        v, c = np.zeros(z.shape[1]), 0.0
+        for _ in range(600):
+            short = np.maximum(0, 1 - sign * (z @ v + c)) * -sign / len(sign)
+            v, c = v - 0.5 * (z.T @ short + 1e-5 * v), c - 0.5 * short.sum()
+        assert loss(w, bias) <= loss(v, c) * 1.01 + 1e-4
+    told = model.predict([t.encode() for t, _ in texts[:30]])
+    for row, (lang, score) in zip(plain, told):
+        margins = dict(zip(model.machines, model.w @ row + model.b))
+
+        def winner(level, names):
+            votes = {n: [0, 0.0] for n in names}
+            for a, b in combinations(names, 2):
+                m = margins[level, a, b]  # noqa: B023
+                votes[a if m >= 0 else b][0] += 1
+                votes[a][1] += m
+                votes[b][1] -= m
+            return max(names, key=lambda n: tuple(votes[n]))
+
+        group = winner("", sorted(model.families))
+        assert lang == winner(group, model.families[group]) and 0 < score <= 1
+
+
 def test_language_id(spark):
     from sparkloom.llm.langid import identify, train
 
@@ -440,12 +562,36 @@ def test_audio_every_offset(spark):
     assert {r.n_links for r in audio.align_recordings(spark.createDataFrame(same, kind), step=1).collect()} == {0}
 
 
+@pytest.mark.parametrize("name", ["op1_url_filters", "op4_minhash_near_dedup", "op5_suffix_array_dedup", "op6_source_mixing"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from sparkloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*names).collect()
+    plain = lambda rows: sorted(tuple("" if v is None else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert plain(got) == plain(want.fetchall())
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 
-    from sparkloom.llm import bpe, mixing, near_dup, suffix_dedup, token_store, url_filter
+    import corpus_pipeline
+    from sparkloom.llm import bpe, langid, mixing, near_dup, suffix_dedup, token_store, toxicity, url_filter
 
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs, labels, {"toxic": "toxic = 1"}) is None
+    assert toxicity.score_toxicity(docs, None).count() == 0 and toxicity.drop_toxic(docs, None).count() == 0
+    assert langid.identify(docs, None).count() == 0
+    whole = docs.selectExpr("doc_id", "text", "'x' as lang", "source", "1 as n_chars")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, whole, "").count() == 0, name
     assert near_dup.near_duplicates(docs).count() == 0
     assert suffix_dedup.suffix_dedup(docs).count() == 0
     assert suffix_dedup.remove_repeats(docs).count() == 0
@@ -476,19 +622,107 @@ def test_components(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """The rows of ``run`` against a plain chain in Python; every stage takes something away or repeats it."""
     import corpus_pipeline as p
+    import public_tokenizers as P
+    import tiktoken
+
+    from sparkloom.llm import mixing, queries, toxicity
+    from sparkloom.llm.bpe import load_ranks
 
     rng = random.Random(8)
-    rows = [(k, sentence(rng, 60) if k % 10 else None, "en", f"s{k % 3}", 1) for k in range(60)]
-    rows += [(100 + k, rows[1][1] + f" end{k}", "en", "s0", 1) for k in range(3)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == p.COLUMNS, name
-        if name == "minhash_near_dedup":
-            assert {r.doc_id for r in docs.collect()} == {r[0] for r in rows if r[0] < 100}
-    out = p.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} <= {r[0] for r in rows if r[0] < 100}
+    passage = sentence(rng, 60)
+    rows = []
+    for k in range(300):
+        words = sentence(rng, rng.randrange(30, 80)).split()
+        if k % 6 == 0:
+            words[3:3] = ["vile", "rotten"]
+        text = " ".join(words)
+        if k % 10 == 1:
+            text = text[: len(text) // 2] + passage + text[len(text) // 2 :]
+        rows.append((k, text, "en", f"s{k % 3}" if k % 7 else None, len(text)))
+    rows += [(400 + k, rows[5 + 2 * k][1] + f" end{k}", "en", "s0", 1) for k in range(20)]
+    rows += [(7, rows[50][1] + " x", "en", "s1", 1), (None, None, None, None, None), (500, "", "en", "s1", 0), (None, rows[8][1], "en", "s2", 1), rows[20]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumn("text_hash", F.lit("clash")).withColumn("copies", F.lit(0))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = rows
+
+    # Toxicity: the same chain, asked text by text.
+    chain = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), queries.TOXIC_CATEGORIES)
+    clean = [r for r in now if chain.predict([r[1] or ""])[0][1] < 0.5]
+    assert 0 < len(clean) < len(now)
+    now = clean
+
+    # Near-duplicates: of each group the row of smallest id, then of smallest text hash.
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    named = sorted({r for r in now if r[0] is not None}, key=lambda r: (r[0], hashes[r[1]]))
+    sets, group = [shingles(r[1], 5) for r in named], list(range(len(named)))
+    for i in range(len(named)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    kept = {}
+    for r, g, h in zip(named, group, sets):
+        kept.setdefault(("set", g) if h else ("none", r[0], r[1]), r)
+    now = [r for r in now if r[0] is None] + list(kept.values())
+    assert len(now) < len(clean)
+
+    # Repeated strings of 200 bytes.
+    texts = [(r[1] or "").encode() for r in now]
+    seen = collections.Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
+    cut, removed = [], 0
+    for r, b in zip(now, texts):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        removed += int(gone.sum())
+        left = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") if b else ""
+        cut.append((r[0], None if r[1] is None else left, r[3]))
+    assert removed > 0
+
+    # Mixing, with the bucket order of the operator's seed.
+    size = [len((t or "").split()) for _, t, _ in cut]
+    total = collections.defaultdict(int)
+    for (_, _, s), n in zip(cut, size):
+        total[s] += n
+    order = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(size)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 2 * total[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * total[s] for s in over}
+        left -= sum(target[s] for s in over)
+        free -= over
+    target |= {s: weight[s] * level for s in free}
+    mixed = []
+    later = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t, _ in cut], "t string").select("t", F.xxhash64("t").alias("h")).distinct().collect()}
+    for s in order:
+        mine = [k for k in range(len(cut)) if cut[k][2] == s]
+        digest = {k: hashlib.md5(f"17:{'' if cut[k][0] is None else cut[k][0]}".encode()).hexdigest() for k in mine}
+        buckets = -(-len(mine) // mixing.BUCKET)
+        mine.sort(key=lambda k: (int(digest[k][:8], 16) % buckets, -size[k], digest[k], later[cut[k][1]]))
+        rate = target[s] / total[s] if total[s] else 0.0
+        part = rate - np.floor(rate)
+        for at, k in enumerate(mine):
+            copies = int(np.floor(rate) + np.floor((at + 1) * part + 0.5) - np.floor(at * part + 0.5))
+            mixed += [cut[k][:2]] * copies
+    assert len(mixed) > len(cut)
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = collections.Counter()
+    for i, t in mixed:
+        ids = enc.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, str(tmp_path)).collect())
+    assert got == want
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in p.STAGES[:-1]:
+        assert f(spark, stage, str(tmp_path)).columns == p.COLUMNS, name
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES] == ["toxicity", "minhash_near_dedup", "suffix_array_dedup", "source_mixing", "byte_bpe"]
