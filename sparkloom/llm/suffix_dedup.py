@@ -1,21 +1,22 @@
 """Removal of long strings that occur more than once in a corpus.
 
-A sampled suffix array is kept instead of a full one: in every window of
-``min_bytes`` the suffix with the smallest fingerprint of its first ``GRAM``
-bytes is sampled, so equal windows sample the same suffix and a sampled suffix
-stands for a run of neighbouring windows.  An array is a table of suffix
-fingerprints in sorted order.
-
-``SuffixIndexFamily`` holds arrays of geometrically growing size.  The array of
-a new batch is merge-scanned against each level (a sort-merge join of sorted
-runs) and against itself; suffixes seen before are recorded as repeated.  Then
-two levels of equal size are merged into one of the next size.
-
-Only windows around repeated suffixes can be repeated.  A suffix whose whole
-run of windows occurs elsewhere is settled by one fingerprint of that run.  For
-the others, which stand at the ends of matches, windows are dealt into bins; bins
-whose shared bytes occur elsewhere have each window fingerprinted and counted.  All counts are pre-aggregated, so no passage, however
-common, meets in one task.
+In every window of ``min_bytes`` the suffix with the smallest fingerprint of its
+first ``GRAM`` bytes is sampled, so equal windows sample the same suffix, and a
+sampled suffix stands for a run of neighbouring windows.  Suffixes whose first
+``GRAM`` bytes occur once only can't belong to a repeated window and go; runs
+whose whole bytes occur again are settled.
+
+The other suffixes, one for each kind of run, enter ``SuffixIndexFamily``: every
+batch gets its suffix array, a table of suffixes in order of their bytes, which
+is merge-scanned with each level of earlier batches.  Neighbours in a merged
+order share the longest beginnings, so the scan tells how far any other suffix
+agrees with each.  Two levels of equal size merge into one of the next.  A
+window that reaches beyond the longest match of its suffix occurs once only.
+
+What is left stands at the ends of matches, where text before the suffix decides
+too.  Windows are dealt into bins; bins whose shared bytes occur elsewhere have
+each window compared.  All counts are pre-aggregated, so no passage, however
+common, meets in one task.  Where fingerprints decide, two of 64 bits must agree.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def _probe(width: int, cores: bool):
 
         from .texthash import RollingHash, as_bytes, mix
 
-        names = ["w", "h", "tk", "n_bytes", "p", "lo", "hi"] if cores else ["w", "tk", "n_bytes", "p", "i"]
+        names = ["w", "h", "tk", "n_bytes", "p", "lo", "hi"] if cores else ["w", "w2", "tk", "n_bytes", "p", "i"]
         out: list = []
 
         def batch_of():
@@ -163,7 +164,8 @@ def _probe(width: int, cores: bool):
                 else:
                     i, of = _expand(np, s, e)
                     w = mix(rolling.slices(i, i + width))
-                    first, more = (w.view(np.int64),), (p[of], i)
+                    second = mix(RollingHash(np.frombuffer(t, np.uint8), 1).slices(i, i + width))
+                    first, more = (w.view(np.int64), second.view(np.int64)), (p[of], i)
                 out.append((*first, np.full(len(w), key[k]), np.full(len(w), size[k]), *more))
                 rows += len(w)
                 if rows >= 100_000:
@@ -217,37 +219,120 @@ def _digest(batches: Iterator) -> Iterator:
         )
 
 
+def _suffixes(width: int):
+    """The bytes of the given suffixes, as far as their run's last window reaches."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .texthash import as_bytes
+
+        fields = ("k1", "k2", "p", "s", "e")
+        for batch in batches:
+            values, bounds = _flat(batch.column(3), fields)
+            for row, t in enumerate(as_bytes(batch.column(2))):
+                part = slice(bounds[row], bounds[row + 1])
+                p, e = values[2][part].tolist(), values[4][part].tolist()
+                bytes_ = [t[x : y + width] for x, y in zip(p, e)]
+                same = [pa.array(np.full(len(p), batch.column(c)[row].as_py())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(bytes_, pa.binary()), *same, *(pa.array(v[part]) for v in values)], names=["suffix", "tk", "n_bytes", *fields])
+
+    return run
+
+
+def _common(np, suffixes: list[bytes]):
+    """How many bytes each of some suffixes shares with the next."""
+    size = np.array([len(x) for x in suffixes])
+    grid = np.zeros((len(suffixes), int(size.max()) + 1), np.uint8)
+    for k, x in enumerate(suffixes):
+        grid[k, : len(x)] = np.frombuffer(x, np.uint8)
+    differ = grid[1:] != grid[:-1]
+    differ[:, -1] = True
+    return np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+
+
+def _neighbours(batches: Iterator) -> Iterator:
+    """The longest match of each suffix with its neighbours in the order of its partition.
+
+    The first and the last of a partition come with their bytes: what they share
+    with the partitions beside it is known only when all are done.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, before, held = TaskContext.get().partitionId(), None, None
+    names = ["part", "k1", "k2", "reach", "edge", "suffix"]
+
+    def rows(k1, k2, reach, edge=0, suffix=None):
+        n = len(k1)
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(reach, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array([suffix] * n, pa.binary())], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k1, k2, suffixes = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(0).to_pylist()
+        if before is None:
+            yield rows(k1[:1], k2[:1], [0], 1, suffixes[0])
+        else:
+            k1, k2, suffixes = [before[0], *k1], [before[1], *k2], [before[2], *suffixes]
+        shared = _common(np, suffixes) if len(suffixes) > 1 else np.zeros(0, np.int64)
+        reach = np.maximum(np.append(shared, 0), np.append(held if before is not None else 0, shared))
+        # The last one's reach is open until the next batch is there.
+        yield rows(k1[:-1], k2[:-1], reach[:-1])
+        before, held = (k1[-1], k2[-1], suffixes[-1]), int(reach[-1])
+    if before is not None:
+        yield rows([before[0]], [before[1]], [held], 2, before[2])
+
+
 class SuffixIndexFamily:
-    """Sorted arrays of suffix fingerprints, in levels that grow geometrically."""
+    """Suffix arrays in levels that grow geometrically."""
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.repeated, self.tables = scratch, [], [], []
-
-    def _array(self, keys: DataFrame, label: str) -> DataFrame:
-        self.tables.append(f"{label}-{len(self.tables)}")
-        return self.scratch.save(keys, self.tables[-1])
+        self.scratch, self.levels, self.reaches, self.made = scratch, [], [], 0
+        self.parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _sorted(self, suffixes: DataFrame) -> DataFrame:
+        return suffixes.select("suffix", "k1", "k2").repartitionByRange(self.parts, "suffix", "k1", "k2").sortWithinPartitions("suffix", "k1", "k2")
+
+    def _save(self, df: DataFrame, label: str) -> DataFrame:
+        self.made += 1
+        return self.scratch.save(df, f"{label}-{self.made}")
+
+    def _scan(self, suffixes: DataFrame) -> None:
+        """Records the longest match of every suffix among the given ones."""
+        schema = "part int, k1 long, k2 long, reach int, edge int, suffix binary"
+        found = self._save(self._sorted(suffixes).mapInArrow(trimmed(_neighbours), schema), "scan")
+        self.reaches.append(found.groupBy("k1", "k2").agg(F.max("reach").alias("reach")))
+        # Two rows for each partition, so their number doesn't grow with the corpus.
+        edges = sorted(found.where("edge > 0").select("part", "edge", "k1", "k2", "suffix").collect(), key=lambda r: (r["part"], r["edge"]))
+        met = []
+        for x, y in zip(edges, edges[1:]):
+            if x["part"] != y["part"]:
+                n = next((k for k, (c, d) in enumerate(zip(x["suffix"], y["suffix"])) if c != d), min(len(x["suffix"]), len(y["suffix"])))
+                met += [(r["k1"], r["k2"], n) for r in (x, y)]
+        if met:
+            self.reaches.append(self.scratch.spark.createDataFrame(met, "k1 long, k2 long, reach int"))
 
     def insert(self, suffixes: DataFrame) -> None:
-        """Add a batch (one column, ``k1``); levels hold ``(size, array)``, largest first."""
+        """Add a batch (``suffix, k1, k2``); levels hold ``(size, array)``, largest first."""
+        array = self._save(self._sorted(suffixes), "batch")
+        if not self.levels:
+            self._scan(array)
+        for _, level in self.levels:
+            self._scan(array.unionByName(level))
+        self.levels.append((1, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, new), (_, old) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, self._array(old.unionByName(new).distinct().sortWithinPartitions("k1"), "level")))
-        counted = self._array(suffixes.groupBy("k1").agg((F.count("*") > 1).alias("again")), "batch")
-        hits = [counted.where("again").select("k1")]
-        for _, level in self.levels:
-            hits.append(counted.where("not again").select("k1").join(level, "k1", "left_semi"))
-        found = hits[0]
-        for h in hits[1:]:
-            found = found.unionByName(h)
-        self.repeated.append(self._array(found, "repeated"))
-        self.levels.append((1, counted.select("k1")))
+            self.levels.append((2 * n, self._save(self._sorted(old.unionByName(new)), "level")))
 
     def matches(self) -> DataFrame:
-        """Fingerprints of all suffixes met more than once so far."""
-        out = self.repeated[0]
-        for r in self.repeated[1:]:
+        """``k1, k2, reach``: how many bytes any other suffix shares with each."""
+        out = self.reaches[0]
+        for r in self.reaches[1:]:
             out = out.unionByName(r)
-        return out.distinct()
+        return out.groupBy("k1", "k2").agg(F.max("reach").alias("reach"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -273,17 +358,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = scratch.save(texts.mapInArrow(trimmed(_sampler(min_bytes)), _RAW), "raw")
     whole = scratch.save(raw.where(F.col("n_bytes") >= min_bytes).groupBy("tk", "n_bytes").agg(F.count("*").alias("c")).where("c > 1").select("tk", "n_bytes"), "whole")
 
-    family = SuffixIndexFamily(scratch)
-    for b in range(batches):
-        family.insert(raw.where(F.pmod("tk", F.lit(batches)) == b).select(F.explode("suffixes.k1").alias("k1")))
     entry = raw.select("tk", "n_bytes", F.explode("suffixes").alias("x")).select("tk", "n_bytes", "x.*")
     # Saved first: a join of two plain shuffles can split a common passage over tasks.
-    matches = scratch.save(family.matches(), "matches")
+    matches = scratch.save(entry.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1"), "matches")
     seen = scratch.save(entry.join(matches, "k1", "left_semi"), "seen")
 
     # The fingerprints are used up: only what was seen more than once goes on.
     rows = scratch.save(raw.drop("suffixes"), "rows")
-    for used in ("raw", "matches", *family.tables):
+    for used in ("raw", "matches"):
         scratch.drop(used)
     text_id = ["tk", "n_bytes"]
 
@@ -293,7 +375,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = scratch.save(kinds, f"{label}-kinds")
         several = scratch.save(kinds.groupBy(key).agg(F.count("*").alias("d")).where("d > 1").select(key), f"{label}-several")
         again = found.join(kinds.where("c > 1").select(key, whole_key), [key, whole_key], "left_semi").select(*text_id, *place).distinct()
-        unclear = kinds.join(several, key, "left_semi").select("r.*").distinct()
+        unclear = kinds.join(several, key, "left_semi").select(key, whole_key, "r.*")
         return scratch.save(again, f"{label}-settled"), scratch.save(unclear, f"{label}-open")
 
     def spans_of(found: DataFrame, first: str, last: str) -> DataFrame:
@@ -306,17 +388,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sized = texts.select("tk", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     some = scratch.save(sized.join(needed, text_id, "left_semi").groupBy(*text_id).agg(F.first("text").alias("text")), "texts")
 
-    # Likewise for bins: one whose shared bytes occur nowhere else holds no repeated
-    # window, and one whose covered bytes occur again holds only such.
-    def probe(of: DataFrame, place: list[str], cores: bool, schema: str, label: str) -> DataFrame:
+    def probe(of: DataFrame, place: list[str], read, schema: str, label: str) -> DataFrame:
         runs = of.groupBy(*text_id).agg(F.collect_list(F.struct(*place)).alias("runs"))
-        return scratch.save(some.join(runs, text_id).select(*text_id, "text", "runs").mapInArrow(trimmed(_probe(min_bytes, cores)), schema), label)
+        return scratch.save(some.join(runs, text_id).select(*text_id, "text", "runs").mapInArrow(trimmed(read), schema), label)
 
-    bins = probe(unclear, ["p", "s", "e"], True, "w long, h long, tk long, n_bytes long, p long, lo long, hi long", "bins")
+    # How far any other suffix agrees with each decides which windows can occur again.
+    open_ = probe(unclear, ["k1", "k2", "p", "s", "e"], _suffixes(min_bytes), "suffix binary, tk long, n_bytes long, k1 long, k2 long, p long, s long, e long", "suffixes")
+    family = SuffixIndexFamily(scratch)
+    for b in range(batches):
+        family.insert(open_.where(F.pmod("tk", F.lit(batches)) == b))
+    last = F.least(F.col("e"), F.col("p") + F.col("reach") - min_bytes)
+    unclear = open_.drop("suffix").join(family.matches(), ["k1", "k2"]).withColumn("e", last).where("e >= s")
+    unclear = scratch.save(unclear, "matched")
+
+    # Likewise for bins: one whose shared bytes occur nowhere else holds no repeated
+    # window, and one whose covered bytes occur again holds only such.
+    bins = probe(unclear, ["p", "s", "e"], _probe(min_bytes, True), "w long, h long, tk long, n_bytes long, p long, lo long, hi long", "bins")
     settled_bins, unclear = settle(bins, "w", "h", ["p", "lo", "hi"], "bins")
-    windows = probe(unclear, ["p", "lo", "hi"], False, "w long, tk long, n_bytes long, p long, i long", "windows")
-    again = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    ends = windows.join(again, "w", "left_semi").groupBy(*text_id, "p").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    windows = probe(unclear, ["p", "lo", "hi"], _probe(min_bytes, False), "w long, w2 long, tk long, n_bytes long, p long, i long", "windows")
+    again = windows.groupBy("w", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w", "w2")
+    ends = windows.join(again, ["w", "w2"], "left_semi").groupBy(*text_id, "p").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     settled = spans_of(settled, "s", "e").unionByName(spans_of(settled_bins, "lo", "hi"))
     ends = spans_of(ends, "lo", "hi")
     spans = settled.unionByName(ends.select(*text_id, "a", "b")).groupBy(*text_id).agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -9,14 +9,14 @@ from __future__ import annotations
 import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: One random 64-bit value for each byte value.
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bases of two independent rolling hashes, and for each one random 64-bit value for each byte value.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTES = tuple(np.random.Generator(np.random.PCG64(s)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (20240229, 20250301))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POW: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
+_POW: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,23 +27,25 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW["p"]) < n + 1:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POW[which][0]) < n + 1:
         size = 1 << max(16, n.bit_length())
-        for key, base in (("p", _P), ("i", _PINV)):
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POW[key] = np.cumprod(steps)
-    return _POW["p"][: n + 1], _POW["i"][: n + 1]
+            made.append(np.cumprod(steps))
+        _POW[which] = (made[0], made[1])
+    return _POW[which][0][: n + 1], _POW[which][1][: n + 1]
 
 
 class RollingHash:
     """Hashes of arbitrary slices of one buffer in constant time each."""
 
-    def __init__(self, buf: np.ndarray):
-        power, self.inverse = _powers(len(buf))
+    def __init__(self, buf: np.ndarray, which: int = 0):
+        power, self.inverse = _powers(len(buf), which)
         self.prefix = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * power[:-1], out=self.prefix[1:])
+        np.cumsum(_BYTES[which][buf] * power[:-1], out=self.prefix[1:])
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unmixed hashes of ``buf[start:end]`` for arrays of bounds."""

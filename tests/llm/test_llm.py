@@ -116,14 +116,58 @@ def test_suffix_dedup(spark, corpus, batches):
 
 
 def test_long_text_in_segments(spark, monkeypatch):
+    import pyarrow as pa
+
     from sparkloom.llm import suffix_dedup as s
+    from sparkloom.llm import texthash
 
     rng = random.Random(1)
     passage = sentence(rng, 60)
-    texts = [(0, sentence(rng, 400) + passage + sentence(rng, 300)), (1, passage + sentence(rng, 200))]
-    r = {x.doc_id: x for x in s.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert r[0].n_spans == r[1].n_spans == 1
-    assert r[0].n_removed >= len(passage)
+    texts = [(0, sentence(rng, 400) + passage + sentence(rng, 300)), (1, passage + sentence(rng, 200)), (2, "ab" * 2000), (None, sentence(rng, 90) + passage[:250] + "é" * 400 + passage[100:])]
+    sizes = []
+    pieces = texthash.pieces
+    # Workers import the module anew, so what they do is done here too, with short segments.
+    monkeypatch.setattr(s, "SEGMENT", 300)
+    monkeypatch.setattr(texthash, "pieces", lambda t, limit: sizes.append(len(t)) or pieces(t, limit))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, None], pa.int64()), pa.array([0, 1, 2, 3]), pa.array([t for _, t in texts])], names=["doc_id", "tk", "text"])
+    (short,) = s._sampler(200)([batch])
+    monkeypatch.setattr(s, "SEGMENT", 1 << 20)
+    (whole,) = s._sampler(200)([batch])
+    assert sizes[0] > 3 * sizes[1] == 12
+    # A run that a segment's end divides comes in two parts; together they cover the same windows.
+    for one, two in zip(short.column("suffixes").to_pylist(), whole.column("suffixes").to_pylist()):
+        windows = [{(x["k1"], x["p"], i) for x in runs for i in range(x["s"], x["e"] + 1)} for runs in (one, two)]
+        assert windows[0] == windows[1] and windows[0]
+    got = {x.doc_id: x for x in s.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"), batches=3).collect()}
+    texts = {i: t.encode() for i, t in texts}
+    seen = collections.Counter(b[k : k + 200] for b in texts.values() for k in range(len(b) - 199))
+    for i, b in texts.items():
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        assert (got[i].n_removed, got[i].n_spans) == (int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())), i
+
+
+def test_suffix_arrays(spark):
+    """Each suffix's longest match with any other, against all pairs; levels grow geometrically."""
+    from sparkloom.llm import suffix_dedup as s
+    from sparkloom.llm.scratch import Scratch
+
+    rng = random.Random(2)
+    base = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    rows = [(x + bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 6))), k, rng.randrange(9)) for k, x in enumerate(base * 3)]
+    df = spark.createDataFrame([(bytearray(x), k, j) for x, k, j in rows], "suffix binary, k1 long, k2 long")
+    family = s.SuffixIndexFamily(Scratch(spark, "t"))
+    for b in range(5):
+        family.insert(df.where(f"k1 % 5 = {b}"))
+    assert [n for n, _ in family.levels] == [4, 1]
+    got = {(r.k1, r.k2): r.reach for r in family.matches().collect()}
+
+    def common(x, y):
+        return next((k for k, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+
+    assert got == {(k, j): max(common(x, y) for y, m, _ in rows if m != k) for x, k, j in rows}
 
 
 def test_bpe(spark, corpus):
