@@ -645,6 +645,25 @@ def test_empty_tables(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), [("block", "com/")]).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of millions of bytes, one of them a single word, among short ones and columns of clashing names."""
+    from sparkloom.llm import langid, near_dup, suffix_dedup, toxicity
+
+    rng = random.Random(12)
+    long = sentence(rng, 150_000)
+    rows = [(1, long), (2, long[:-2000] + " " + sentence(rng, 250)), (3, "x" * 1_500_000), (4, "short text here"), (None, "")]
+    docs = frame(spark, rows).withColumn("lang", F.lit("en")).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit("clash"))
+    near = {r.doc_id: r for r in near_dup.near_duplicates(docs).collect()}
+    assert near[2].component_id == 1 and not near[2].kept and near[3].component_id == 3 and near[1].n_shingles == len(shingles(long, 5))
+    cut = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert cut[1].n_bytes == len(long) and len(long) - 2000 <= cut[1].n_removed <= len(long) - 1900 and cut[3].n_removed == 1_500_000
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels, {"toxic": "toxic = 1"}))
+    assert scored.count() == 5 and scored.where("toxic is null").count() == 0
+    told = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert told == {1: "en", 2: "en", 3: "en", 4: "en", None: "und"}
+
+
 def test_components(spark):
     from sparkloom.llm.components import connected_components
     from sparkloom.llm.scratch import Scratch
