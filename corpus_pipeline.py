@@ -5,6 +5,9 @@ sf_dir) and returns the next stage's documents, the last one a digest of the
 encoded corpus.  ``run`` writes each stage's rows to shared storage and reads
 them again.  A stage's models and statistics come from what its predecessor
 kept, except that toxicity also reads the table of labels.
+
+Ids may be null or repeat, and columns beside those of ``documents`` are dropped
+by the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +22,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain finds toxic go; all others stay as they are."""
+    """Documents that the chain finds toxic go; all others stay as they are.
+
+    Null and empty texts are judged as texts without a known word.  Without a
+    labelled document nothing is learned and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.train(docs, labels, queries.TOXIC_CATEGORIES)).select(*COLUMNS)
 
@@ -39,18 +46,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 200 that occur twice go; every document stays, if only with what is left."""
+    """Bytes in strings of 200 that occur twice go; every document stays, if only with what is left.
+
+    A null text stays null, also in ``n_chars``.  Repeated rows of 200 bytes or
+    more lose their whole text.
+    """
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), min_bytes=200)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each copy."""
+    """Documents as often as the mix takes them: a row for each copy.
+
+    A null source is one of its own.  A null text has size 0 and is taken like
+    any other document of its source; with a source of size 0 nothing is taken.
+    """
     return mixing.mixed_documents(docs.select(*COLUMNS), (3.0, 1.0, 2.0), share=1.5, epochs=2.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row, and the decoded text's."""
+    """Token counts and digests of every row, and the decoded text's; a null text has no tokens."""
     import public_tokenizers
 
     return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
