@@ -249,6 +249,8 @@ case("unknown_truths", "SELECT n_nationkey, (nullif(n_regionkey, 1) > 2) IS UNKN
 case("grouping_id", "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 case("columns_star", "SELECT COLUMNS(* EXCLUDE (n_regionkey)) FROM nation", "SELECT n_nationkey, n_name FROM nation")
 case("not_in_nested", "SELECT c_custkey FROM customer WHERE c_nationkey > 20 OR NOT (c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))")
+case("all_equal", "SELECT n_nationkey, n_regionkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey = 2) AS a, nullif(n_regionkey, 1) = ALL (SELECT nullif(r_regionkey, 3) FROM region WHERE r_regionkey > 1) AS b, n_regionkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS c FROM nation")
+case("any_unequal", "SELECT n_nationkey, n_regionkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey = 2) AS a, nullif(n_regionkey, 1) <> ANY (SELECT nullif(r_regionkey, 3) FROM region WHERE r_regionkey IN (3, 4)) AS b, n_regionkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS c FROM nation")
 case("date_part_names", "SELECT event_id, millisecond(ts) AS ms, microsecond(ts) AS us, date_part('microsecond', ts) AS u FROM events")
 
 
