@@ -12,6 +12,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from ..errors import LoomError
 from ..shipping import ship
 
 _LOCAL: list[str] = []
+#: Seconds between two requests to the JVM to collect garbage.
+PAUSE = 2.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +51,9 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 class Scratch:
-    """Tables of one operator run, under one folder of the shared directory."""
+    """Tables of one operator run, under one folder of the shared directory, until the process ends."""
+
+    released = 0.0
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -65,7 +70,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark delete shuffle files of plans that nothing refers to any more."""
+        """Let Spark delete shuffle files of plans that nothing refers to any more, every few seconds."""
+        if time.monotonic() - Scratch.released < PAUSE:
+            return
+        Scratch.released = time.monotonic()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
