@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 from .workers import trimmed
 
-MAGIC, BLOCK, LANES, SLOTS, KNOWN, SMALL = b"TKB2", 2048, 1024, 1024, 256, 100_000
+MAGIC, BLOCK, LANES, SLOTS, KNOWN, SMALL = b"TKB2", 2048, 2048, 1024, 256, 100_000
 _U = np.uint64
 _LIMIT = _U(1 << 48)
 
