@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-RATE, FRAME, HOP, WIDTH = 5512, 1024, 344, 16
+RATE, FRAME, HOP, WIDTH, BLOCK = 5512, 1024, 344, 16, 4096
 #: Filters by rule: (kind, first pitch class, pitch classes, frames) for sixteen of them.
 FILTERS = [(k % 3, (5 * k) % 9, 3 + k % 2, 4 * (1 + k % 4)) for k in range(16)]
 #: Edges between the four levels of a filter's value.
@@ -42,13 +42,13 @@ def decode_wav(data: bytes | None):
         with wave.open(io.BytesIO(data)) as f:
             if f.getsampwidth() != 2:
                 return None
-            x = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(axis=1)
+            x = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(axis=1, dtype=np.float32)
             rate = f.getframerate()
     except (wave.Error, EOFError, ValueError):
         return None
     if rate != RATE and len(x):
         x = np.interp(np.arange(0, len(x) * RATE / rate) * rate / RATE, np.arange(len(x)), x)
-    return x / 32768.0
+    return x / np.float32(32768.0)
 
 
 def encode_wav(samples) -> bytes:
@@ -73,14 +73,16 @@ def chroma(x):
     n = (len(x) - FRAME) // HOP + 1
     if n <= 0:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n] * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
     hz = np.fft.rfftfreq(FRAME, 1 / RATE)
     used = (hz >= 200) & (hz <= 2000)
     pitch = np.round(12 * np.log2(hz[used] / 440.0)).astype(int) % 12
     fold = np.zeros((used.sum(), 12))
     fold[np.arange(used.sum()), pitch] = 1
-    c = np.sqrt(power[:, used] @ fold)
+    c = np.zeros((n, 12))
+    for a in range(0, n, BLOCK):  # so many frames of a long recording at a time
+        power = np.abs(np.fft.rfft(frames[a : a + BLOCK] * np.hanning(FRAME), axis=1)) ** 2
+        c[a : a + BLOCK] = np.sqrt(power[:, used] @ fold)
     norm = np.linalg.norm(c, axis=1, keepdims=True)
     return np.where(norm > 1e-6, c / np.maximum(norm, 1e-6), 0.0)
 

@@ -560,6 +560,10 @@ def test_audio(spark):
     got = {r.id: r for r in align_recordings(prints, step=20).collect()}
     assert got[0].class_id == got[2].class_id == 0 and got[1].class_id == 1
     assert (got[0].n_links, got[0].best_class, got[0].best_offset) == (1, 1, -12)
+    show = tune(rng.integers(0, 24, 8 * 400))  # some minutes, and ten seconds out of them
+    part = show[5000 * HOP : 5000 * HOP + 10 * RATE]
+    there = align_recordings(fingerprint(spark.createDataFrame([(0, encode_wav(show)), (1, encode_wav(part)), (2, encode_wav(songs[1]))], "id long, m binary"), "id", "m"), step=1).collect()
+    assert {r.id: (r.n_links, r.best_class, r.best_offset) for r in there} == {0: (1, 1, -5000), 1: (1, 0, 5000), 2: (0, None, None)}
     loud = [encode_wav(songs[0] * 0.5 + x * rng.normal(size=len(songs[0]))) for x in (0, 0.05, 0.1)]  # a tenth of the bits wrong at most
     heard = align_recordings(fingerprint(spark.createDataFrame(list(enumerate(loud)), "id long, m binary"), "id", "m"), step=1)
     assert {r.n_links for r in heard.collect()} == {2}
