@@ -9,12 +9,26 @@ with every step's rows on shared storage.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import LoomError
 from ..functions import ident
 from .storage import materialize
 
-LIMIT = 100_000
+LIMIT, SHORT = 100_000, 100_000
+
+
+def _met(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of ``seen`` that are in ``found``, or all; a short ``found`` comes to ``seen``, which then isn't shuffled."""
+    if found.limit(SHORT + 1).count() > SHORT:
+        return seen
+    given = found.toDF(*[f"_f{k}" for k in range(len(found.columns))])
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_f{k}")) for k, c in enumerate(seen.columns)]
+    return seen.join(F.broadcast(given), reduce(and_, same), "left_semi")  # checked: at most SHORT rows
 
 
 def recursive_view(engine, translator, cte, known: dict):
@@ -44,8 +58,8 @@ def recursive_view(engine, translator, cte, known: dict):
         step, have = translator.body(body.right, None, dict(known) | {cte.name.lower(): (ident(view), columns)})
         if len(have) != len(columns):
             raise LoomError("ColumnCountMismatch", cte.name)
-        found = engine.spark.sql(translator.conform(step, have, columns)).toDF(*names)
-        frontier = materialize(found.subtract(seen))
+        found = materialize(engine.spark.sql(translator.conform(step, have, columns)).toDF(*names).distinct())
+        frontier = materialize(found.subtract(_met(found, seen)))
         if not frontier.limit(1).count():
             break
         every.append(frontier)
