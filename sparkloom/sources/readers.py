@@ -28,15 +28,27 @@ def detect(path: str) -> str:
     return FORMATS.get(bare.rstrip("/").rsplit(".", 1)[-1].lower(), "parquet")
 
 
-def read_files(spark: SparkSession, paths: list[str], format: str | None = None, sample: int | None = SAMPLE) -> DataFrame:
+#: Columns that tell a row's place: file of the list, path below a folder or glob, row of the file.
+PLACE = ("_loom_list", "_loom_path", "_loom_row")
+
+
+def _placed(df: DataFrame, k: int) -> DataFrame:
+    at = df.metadataColumn("_metadata")
+    return df.select("*", *[c.alias(n) for c, n in zip((F.lit(k), at["file_path"], at["row_index"]), PLACE)])
+
+
+def read_files(spark: SparkSession, paths: list[str], format: str | None = None, sample: int | None = SAMPLE, place: bool = False) -> DataFrame:
     """One table of files whose columns have the same names in the same order.
 
     ``a+b`` names several files.  Types are unified pairwise.  Keys and types of
     text files come from the first ``sample`` records, or from all with None:
-    then no value is lost, at the price of one more pass.
+    then no value is lost, at the price of one more pass.  ``place`` adds PLACE,
+    which only Parquet files can tell.
     """
     paths = [p for given in paths for p in (given.split("+") if "+" in given else [given])]
     frames = [_read(spark, p, format if format and format != "json" else detect(p) if format != "json" else ("jsonl" if detect(p) == "jsonl" else "json"), sample) for p in paths]
+    if place:
+        frames = [_placed(f, k) for k, f in enumerate(frames)]
     names = [c.lower() for c in frames[0].columns]
     if any([c.lower() for c in f.columns] != names for f in frames):
         raise LoomError("TypeMismatch", "files with other columns")

@@ -165,3 +165,26 @@ def test_globs(engine, spark, tmp_path):
         spark.range(2).write.parquet(f"{tmp_path}/d{k}/deep{k}/f.parquet")
     assert engine.rows(f"SELECT count(*) AS n FROM '{tmp_path}/*/*/f.parquet'") == [{"n": 6}]
     assert engine.rows(f"SELECT count(*) AS n FROM '{tmp_path}/**/*.parquet'") == [{"n": 6}]
+
+
+def test_arg_of_equal_keys_is_the_first_rows(engine, spark, tmp_path):
+    def part(path, *values):
+        spark.createDataFrame([(k, v, x, {"n": k}) for k, v, x in values], "k int, v string, x double, m map<string,int>").coalesce(1).write.parquet(f"{tmp_path}/{path}")
+
+    part("t/a.parquet", (1, "b", 2.0), (1, "a", 2.0), (1, "c", 2.0), (1, "d", 1.0), (1, "e", 1.0), (2, None, 9.0), (2, "z", 9.0), (2, "y", None))
+    text = "SELECT k, arg_max(v, x) AS hi, arg_min(v, x) AS lo FROM {} GROUP BY k ORDER BY k"
+    want = [(1, "b", "d"), (2, "z", "z")]
+    engine.register("ties", f"{tmp_path}/t/a.parquet")
+    assert rows(engine.sql(text.format("ties"))) == want
+    assert rows(engine.sql(text.format("ties AS x"))) == want
+    assert rows(engine.sql(text.format(f"'{tmp_path}/t/a.parquet'"))) == want
+    assert rows(engine.sql("SELECT arg_max(v, x) AS hi, max_by(v, x) FILTER (WHERE v > 'b') AS f FROM ties WHERE k = 1")) == [("b", "c")]
+    assert rows(engine.sql("SELECT k FROM ties GROUP BY k HAVING arg_max(v, x) = 'b'")) == [(1,)]
+    assert rows(engine.sql("SELECT k, arg_max(v, x) AS hi FROM ties GROUP BY GROUPING SETS ((k), ()) ORDER BY k")) == [(1, "b"), (2, "z"), (None, "z")]
+    # Spark reads large files first, and the order of names is the files' order.
+    part("t/b.parquet", *[(1, f"w{j}", 2.0) for j in range(3000)])
+    engine.register("two", f"{tmp_path}/t/*.parquet")
+    assert rows(engine.sql(text.format("two"))) == want
+    engine.register("listed", f"{tmp_path}/t/b.parquet", f"{tmp_path}/t/a.parquet")
+    assert rows(engine.sql(text.format("listed"))) == [(1, "w0", "d"), (2, "z", "z")]
+    assert [n for n, _ in engine.columns("SELECT * FROM ties")] == ["k", "v", "x", "m"]
