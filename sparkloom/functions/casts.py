@@ -49,13 +49,29 @@ def double_text(x: str) -> str:
     bare = "regexp_replace(substring_index(s, 'E', 1), '[.]?0+$', '')"
     short = f"concat({bare}, if({power} < 0, 'e-', 'e+'), if(abs({power}) < 10, '0', ''), abs({power}))"
     arms = "when s = 'NaN' then 'nan' when s = 'Infinity' then 'inf' when s = '-Infinity' then '-inf' when not contains(s, 'E') then s"
-    # Java writes some numbers with one digit more than they need.
-    tries = " ".join(f"when n > {d + 1} and cast(format_string('%.{d - 1}e', v) as double) = v then upper(format_string('%.{d - 1}e', v))" for d in (16, 17))
-    tries = tries.replace("n >", "length(substring_index(replace(cast(v as string), '-', ''), 'E', 1)) >")
-    text = f"case {tries} else cast(v as string) end"
+    # Java writes some numbers with more digits than they need, or with another last one; with 15 at most only denormal ones.
+    many = "length(substring_index(replace(cast(v as string), '-', ''), 'E', 1)) > 16 or abs(v) between 4.9e-324D and 2.3e-308D"
+    text = f"case when {many} then concat(if(v < 0, '-', ''), {_shortest('abs(v)')}) else cast(v as string) end"
     return f"transform(transform(array({x}), v -> {text}), s -> case {arms} when {power} between -4 and 15 then {plain} else {short} end)[0]"
 
 
+def _shortest(a: str) -> str:
+    """``d.ddd0E<power>`` with the fewest digits that read as the DOUBLE ``a`` > 0, of these the nearest.
+
+    Digits come from the whole number that ``a`` is from 2^53 on, as far as decimals reach, else from Java's text.
+    """
+    high = f"floor({a} / 9223372036854775808D)"
+    whole = f"cast(cast({high} as decimal(20,0)) * 9223372036854775808BD + cast(cast({a} - {high} * 9223372036854775808D as bigint) as decimal(19,0)) as string)"
+    java = f"format_string('%.16e', {a})"
+    parts = f"case when {a} between 9007199254740992D and 8.5e37D then struct(concat({whole}, '00') as d, length({whole}) - 1 as e) else struct(concat(replace(substring_index({java}, 'e', 1), '.', ''), '00') as d, cast(substring_index({java}, 'e', -1) as int) as e) end"
+    near = lambda p, k: f"concat(cast(substring(t.d, 1, {p}) as bigint) + if(substring(t.d, {p} + 1, 1) >= '5', {k}, {1 - k}), 'E', t.e - {p} + 1)"
+    tries = " ".join(f"when cast({c} as double) = {a} then {c}" for c in (near(15, 1), near(16, 1), near(16, 0)))
+    denormal = f"filter(flatten(transform(sequence(1, 17), p -> array({near('p', 1)}, {near('p', 0)}))), c -> cast(c as double) = {a})[0]"
+    found = f"case when {a} < 2.3e-308D then {denormal} {tries} else {near(17, 1)} end"
+    dotted = "concat(substring(c, 1, 1), '.', substring(substring_index(c, 'E', 1), 2), '0E', cast(substring_index(c, 'E', -1) as int) + length(substring_index(c, 'E', 1)) - 1)"
+    return f"transform(transform(array({parts}), t -> {found}), c -> {dotted})[0]"
+
+
 def list_text(e: Sql) -> str:
     return f"concat('[', array_join({e.text}, ','), ']')"
 

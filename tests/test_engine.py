@@ -188,3 +188,12 @@ def test_arg_of_equal_keys_is_the_first_rows(engine, spark, tmp_path):
     engine.register("listed", f"{tmp_path}/t/b.parquet", f"{tmp_path}/t/a.parquet")
     assert rows(engine.sql(text.format("listed"))) == [(1, "w0", "d"), (2, "z", "z")]
     assert [n for n, _ in engine.columns("SELECT * FROM ties")] == ["k", "v", "x", "m"]
+
+
+def test_double_text_is_the_shortest(engine, spark):
+    values = [5.9035e20, 5.9041e20, 1e23, 2e23, 4.73e21, 1.2225760738274004e18, 2.1909452266626132e18, -5.8824334018909e17, 1.9650714483381724e25, 2.0**129, 2.0**-921, 5e-324, 8e-323, 1.012e-320]
+    values += [0.1, -0.0, 1e15, 1e16, 9007199254740993.0, 1.7976931348623157e308, 2.2250738585072014e-308, 1.2345678901234567e-4, float("inf"), None]
+    engine.register_frame("doubles", spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double"))
+    got = [t for _, t in rows(engine.sql("SELECT k, CAST(v AS VARCHAR) AS t FROM doubles ORDER BY k"))]
+    assert got == [None if v is None else repr(v) for v in values]
+    assert rows(engine.sql("SELECT CAST(CAST('nan' AS DOUBLE) AS VARCHAR) AS n")) == [("nan",)]
