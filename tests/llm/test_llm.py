@@ -218,6 +218,27 @@ def test_url_filter(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word as the contract has it, and hosts with line feeds."""
+    from sparkloom.llm.queries import op1_url_filters
+
+    want = {
+        "http://example.com/en/1": ("com/en/", "block"),
+        "http://example.com/en/71": ("example.com/en/7", "allow"),
+        "http://example.net/de/1": ("net/de/", "allow"),
+        "http://a.example.net/de/81": ("example.net/de/8", "block"),
+        "http://xexample.net/de/8": ("net/de/", "allow"),
+        "http://example.org/es/1": ("org/es/", "block"),
+        "http://example.org/en/1": (None, "allow"),
+        "http://a\nb.com/en/1": ("com/en/", "block"),
+        "http://com\n/en/1": (None, "allow"),
+        "http://x/y.com\n/en/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op1_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_mixing(spark):
     from sparkloom.llm.mixing import mix_sources, mixed_documents, water_fill
 
